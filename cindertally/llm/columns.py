@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 WORD_BREAK = "[ \\x09-\\x0D]+"
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Bounds Arrow batches, so that very long texts can't fill a worker's memory."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir, table
-from . import media_gif, packing, quality_gam, quality_rules, sharding, token_counts, token_files
+from . import line_dedup, media_gif, ngram_join, packing, quality_gam, quality_rules, sharding, token_counts, token_files
 
 
 def tokenizer(name: str) -> str:
@@ -19,6 +19,18 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under links of Jaccard similarity 0.8 over runs of five words."""
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without later repeats of runs of lines of 50 words or more."""
+    done = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    text = F.col("kept_text")
+    return done.select("doc_id", "n_lines", "n_removed", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("text_sha256"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frequency-ranked variable-length token files of all documents, read back."""
     return token_files.token_digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), keeps_space=True, end_id=0)
@@ -56,7 +68,22 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), [1.0] * 8, 1.0)
 
 
+#: Words by the contract's pattern; sets as distinct 5-grams; links by counting shared ones; least reachable id.
+OP1 = r"""
+WITH RECURSIVE
+w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+       ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS k FROM g GROUP BY doc_id),
+both_in AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM both_in JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.k + y.k - c)),
+edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach(src, at) AS (SELECT a, b FROM edge UNION SELECT r.src, e.b FROM reach r JOIN edge e ON e.a = r.at)
+SELECT d.doc_id, coalesce(n.k, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(m.least, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT src, min(at) AS least FROM reach GROUP BY src) m ON m.src = d.doc_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_token_files, op5_gif_media, op6_token_counts, op7_packing, op8_quality_gam, op9_quality_rules, op10_sharding)
+    f.__name__: f for f in (op1_ngram_join, op2_line_dedup, op4_token_files, op5_gif_media, op6_token_counts, op7_packing, op8_quality_gam, op9_quality_rules, op10_sharding)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_ngram_join": OP1}
