@@ -141,14 +141,23 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """All columns of docs, and kept_text, n_lines and n_removed."""
-    gone = stored(repeats(docs, min_words), "line-repeats", compression="zstd").select(F.col("doc").alias("_doc"), F.col("h").alias("_h"), F.col("gone").alias("_gone"))
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    joined = keyed.join(gone, (F.col("doc_id") == F.col("_doc")) & (F.col("_key") == F.col("_h")), "left")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
+    """All columns of docs, and kept_text, n_lines and n_removed (in place of any of these names)."""
+    gone = stored(repeats(docs, min_words), "line-repeats", compression="zstd").withColumnRenamed("h", "key")
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("doc"), F.xxhash64("text").alias("key"))
+    # by shuffle at any size: repeats grow with the input
+    joined = keyed.join(gone.hint("merge"), ["doc", "key"], "left")
+    text = F.col("row.text")
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
     return joined.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left).alias("kept_text"),
-        F.coalesce(F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
+        *[F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("kept_text", "n_lines", "n_removed")],
+        F.when(F.col("gone").isNull(), text).otherwise(left).alias("kept_text"),
+        F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
     )
+
+
+def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """docs with what is left of each text (and n_chars to match), less the documents of which no word is left."""
+    done = line_dedup(docs, min_words).filter((F.col("n_removed") == 0) | F.col("kept_text").rlike("[^ \\x09-\\x0D]"))
+    changed = {"text": F.col("kept_text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(F.col("n_chars")).cast("long") if "n_chars" in docs.columns else None}
+    return done.select(*[changed[c].alias(c) if changed.get(c) is not None else F.col(f"`{c}`") for c in docs.columns])

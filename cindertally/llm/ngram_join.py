@@ -289,3 +289,12 @@ def ngram_join(docs: DataFrame, n: int = N) -> DataFrame:
     members, _, labels = links_and_classes(docs, n)
     placed = label_of(labels, members.select("doc_id", "n", F.col("stands")), "stands")
     return placed.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("label").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, n: int = N) -> DataFrame:
+    """The rows of docs, with all their columns, of which the doc_id is the least of its component; one row for a doc_id."""
+    stay = ngram_join(docs, n).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("stays")).distinct()
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("stays"))
+    # by shuffle at any size: what stays grows with the input
+    met = keyed.join(stay.hint("merge"), "stays").withColumn("k", F.row_number().over(Window.partitionBy("stays").orderBy(F.xxhash64("row.text"))))
+    return met.filter("k = 1").select("row.*").union(docs.filter(F.col("doc_id").isNull()))

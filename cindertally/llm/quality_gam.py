@@ -252,3 +252,15 @@ def scored(docs: DataFrame, model: Gam, cut: float = CUT) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, most: int = 20_000, cut: float = CUT) -> DataFrame:
     """Trains on `labels` and scores all docs."""
     return scored(docs, train(docs, labels, most), cut)
+
+
+def accepted(docs: DataFrame, model: Gam, cut: float = CUT) -> DataFrame:
+    """The rows of docs that score `cut` or more, with all their columns."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in sliced(whole, "text"):
+                yield batch.filter(pa.array(model.score(features(batch.column("text"))) >= cut))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -78,9 +78,9 @@ n AS (SELECT doc_id, count(*) AS k FROM g GROUP BY doc_id),
 both_in AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
 link AS (SELECT a, b FROM both_in JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.k + y.k - c)),
 edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
-reach(src, at) AS (SELECT a, b FROM edge UNION SELECT r.src, e.b FROM reach r JOIN edge e ON e.a = r.at)
-SELECT d.doc_id, coalesce(n.k, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(m.least, d.doc_id)) AS component_id
-FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT src, min(at) AS least FROM reach GROUP BY src) m ON m.src = d.doc_id
+reach(src, dst) AS (SELECT a, b FROM edge UNION SELECT r.src, e.b FROM reach r JOIN edge e ON e.a = r.dst)
+SELECT d.doc_id, coalesce(n.k, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(m.low, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT src, min(dst) AS low FROM reach GROUP BY src) m ON m.src = d.doc_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
