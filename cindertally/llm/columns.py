@@ -10,8 +10,6 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WORD_BREAK = "[ \\x09-\\x0D]+"
-
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Bounds Arrow batches, so that very long texts can't fill a worker's memory."""
@@ -31,9 +29,22 @@ def sliced(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[
         at = to
 
 
+BREAKS = "\x09\x0a\x0b\x0c\x0d"
+
+
 def words(text: Column) -> Column:
-    """Words `[^\\x20\\x09-\\x0D]+` of a text; none for null."""
-    return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_BREAK), "")
+    """Words `[^\\x20\\x09-\\x0D]+` of a text; none for null. Cut at one literal space, which needs no pattern."""
+    out = F.coalesce(text, F.lit(""))
+    for c in BREAKS:
+        out = F.replace(out, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(out, " "), "")
+
+
+def without_breaks(text: Column) -> Column:
+    """The text without the characters that part words."""
+    for c in " " + BREAKS:
+        text = F.replace(text, F.lit(c), F.lit(""))
+    return text
 
 
 def id_bitmap(ids: DataFrame, bits: int = 1 << 25) -> np.ndarray:
