@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir, table
-from . import line_dedup, media_gif, ngram_join, packing, quality_gam, quality_rules, sharding, token_counts, token_files
+from . import line_dedup, media_gif, ngram_join, packing, piece_lattice, quality_gam, quality_rules, sharding, token_counts, token_files
 
 
 def tokenizer(name: str) -> str:
@@ -31,6 +31,12 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_removed", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("text_sha256"))
 
 
+def op3_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded over the lattice of a public model's pieces, with digests of the ids."""
+    done = piece_lattice.encode(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+    return done.select("doc_id", "n_bytes", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), "decodes")
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frequency-ranked variable-length token files of all documents, read back."""
     return token_files.token_digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), keeps_space=True, end_id=0)
@@ -84,6 +90,6 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT src, min(dst) AS l
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_join, op2_line_dedup, op4_token_files, op5_gif_media, op6_token_counts, op7_packing, op8_quality_gam, op9_quality_rules, op10_sharding)
+    f.__name__: f for f in (op1_ngram_join, op2_line_dedup, op3_piece_lattice, op4_token_files, op5_gif_media, op6_token_counts, op7_packing, op8_quality_gam, op9_quality_rules, op10_sharding)
 }
 ORACLES: dict[str, str] = {"op1_ngram_join": OP1}
