@@ -1,23 +1,27 @@
 """Token ids of whole texts by the tokenizers library, with a cache of the words between spaces.
 
 Words between single spaces are encoded apart where that gives the ids of the whole text:
-- byte-level BPE whose pre-tokenizer lets a space begin the next word: the text is cut before
-  every space that a non-space follows. Texts where another white space follows a space, or
-  that end in one, go to the library whole.
-- BPE with word ends that drops white space: the text is cut at every space.
-Each distinct word is encoded by the library once per worker; the cache has a fixed bound.
+- byte-level BPE whose pre-tokenizer lets a space begin the next word (keeps_space): the text is
+  cut before every space. Texts in which another white space follows a space, or that end in a
+  space, go to the library whole.
+- BPE with word ends that drops white space: the text is cut before every space.
+Each distinct word is encoded by the library once per worker. Words are told apart by 64-bit hashes
+of their bytes; the cache has a fixed bound, and drops what it hasn't met lately.
 """
 
 from __future__ import annotations
 
 import os
-import re
-from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
-ODD_SPACE = re.compile(r" \s|\s$|^\s")
+from .textbytes import Words, text_bytes
+
+SEPARATOR, TOGETHER = "<|endoftext|>", 200
+#: Second and third bytes of white space in UTF-8, by first byte: [c2 85], [c2 a0], [e1 9a], ...
+WIDE_SPACE = {0xC2: (0x85, 0xA0), 0xE1: (0x9A,), 0xE2: (0x80, 0x81), 0xE3: (0x80,)}
 
 
 @lru_cache(maxsize=4)
@@ -29,45 +33,112 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
+def pieces(texts: pa.Array, keeps_space: bool) -> Words:
+    """The texts cut before every space; a text where that could change its ids is one piece."""
+    raw, ends = text_bytes(texts)
+    space = np.flatnonzero(raw == 0x20)
+    n = len(ends) - 1
+    whole = np.zeros(n, dtype=bool)
+    of = np.searchsorted(ends, space, side="right") - 1
+    if keeps_space and len(space):
+        after = np.concatenate([raw, np.zeros(2, np.uint8)])
+        one, two = after[space + 1], after[space + 2]
+        bad = (one == 0x20) | ((one >= 0x09) & (one <= 0x0D)) | ((one >= 0x1C) & (one <= 0x1F)) | (space + 1 == ends[of + 1])
+        for lead, seconds in WIDE_SPACE.items():
+            at = np.flatnonzero(one == lead)
+            bad[at] |= np.isin(two[at], seconds)
+        whole[of[bad]] = True
+        space = space[~whole[of]]
+    start = np.sort(np.concatenate([space, ends[:-1][np.diff(ends) > 0]]))
+    if len(start):
+        start = start[np.append(True, start[1:] != start[:-1])]
+    end = np.append(start[1:], len(raw)) if len(start) else start
+    return Words(raw, ends, start, end, np.searchsorted(start, ends))
+
+
 class WordCache:
-    """Encodes texts to ids as little-endian unsigned 32-bit bytes."""
+    """Encodes texts to unsigned 32-bit ids."""
 
-    def __init__(self, path: str, keeps_space: bool, most: int = 300_000):
+    def __init__(self, path: str, keeps_space: bool, most: int = 2_000_000):
         self.tokenizer, self.keeps_space, self.most = load(path), keeps_space, most
-        self.known: dict[str, bytes] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        """The ids of every text; null is empty."""
-        texts = [t or "" for t in texts]
-        cut: list[list[str] | None] = []
-        for t in texts:
-            if self.keeps_space:
-                if ODD_SPACE.search(t):
-                    cut.append(None)
-                    continue
-                cut.append(t.replace(" ", "\x00 ").split("\x00") if "\x00" not in t else None)
-            else:
-                cut.append(t.split(" "))
-        known = self.known
-        fresh = {w for ws in cut if ws is not None for w in ws}
-        fresh.difference_update(known)
-        extra: dict[str, bytes] = {}
-        if fresh:
-            todo = list(fresh)
-            got = dict(zip(todo, self.whole(todo), strict=True))
-            if len(known) + len(got) <= self.most:
-                known.update(got)
-            else:
-                extra = got
-        odd = [k for k, ws in enumerate(cut) if ws is None]
-        rest = dict(zip(odd, self.whole([texts[k] for k in odd]), strict=True)) if odd else {}
-        if extra:
-            look = lambda w: known.get(w) or extra.get(w, b"")
-            return [rest[k] if ws is None else b"".join(map(look, ws)) for k, ws in enumerate(cut)]
-        return [rest[k] if ws is None else b"".join(map(known.__getitem__, ws)) for k, ws in enumerate(cut)]
+        self.mark = self.tokenizer.token_to_id(SEPARATOR)
+        self.key = np.zeros(0, dtype=np.uint64)  # sorted hashes of the words known
+        self.at, self.n, self.met = (np.zeros(0, dtype=np.int64) for _ in range(3))  # place in pool, ids, turn of last use
+        self.pool = np.zeros(1 << 16, dtype=np.uint32)
+        self.used = self.turn = 0
+
+    def library(self, words: list[str]) -> list[np.ndarray]:
+        """The library's ids of each word. Many go in one call, parted by a special token that none of them holds."""
+        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(words)
+        apart = [k for k, w in enumerate(words) if self.mark is None or "<|" in w or len(w) > 1000]
+        for k, e in zip(apart, self.tokenizer.encode_batch([words[k] for k in apart], add_special_tokens=False), strict=True):
+            out[k] = np.array(e.ids, dtype=np.uint32)
+        odd = set(apart)
+        rest = [k for k in range(len(words)) if k not in odd]
+        groups = [rest[k : k + TOGETHER] for k in range(0, len(rest), TOGETHER)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([SEPARATOR.join(words[k] for k in g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype=np.uint32)
+            stops = np.flatnonzero(ids == self.mark)
+            for k, a, b in zip(group, [0, *(stops + 1).tolist()], [*stops.tolist(), len(ids)], strict=True):
+                out[k] = ids[a:b]
+        return out
+
+    def learn(self, keys: np.ndarray, words: list[str]) -> None:
+        """Adds words that the cache lacks; keys are their sorted hashes."""
+        got = self.library(words)
+        n = np.array([len(x) for x in got], dtype=np.int64)
+        if self.used + n.sum() > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(len(self.pool), int(n.sum())), dtype=np.uint32)])
+        self.pool[self.used : self.used + n.sum()] = np.concatenate(got) if got else 0
+        at = self.used + np.cumsum(n) - n
+        self.used += int(n.sum())
+        where = np.searchsorted(self.key, keys)
+        self.key, self.at, self.n = np.insert(self.key, where, keys), np.insert(self.at, where, at), np.insert(self.n, where, n)
+        self.met = np.insert(self.met, where, self.turn)
+
+    def forget(self) -> None:
+        """Keeps the words met latest, half of the bound at most."""
+        keep = np.sort(np.argsort(-self.met, kind="stable")[: self.most // 2])
+        self.key, self.at, self.n, self.met = self.key[keep], self.at[keep], self.n[keep], self.met[keep]
+        self.pool = self.pool[spread(self.at, self.n)]
+        self.used, self.at = len(self.pool), np.cumsum(self.n) - self.n
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end (null is empty), and each text's first one (n + 1)."""
+        w = pieces(texts, self.keeps_space)
+        self.turn += 1
+        unique, place, back = np.unique(w.hashes(), return_index=True, return_inverse=True)
+        pos = np.searchsorted(self.key, unique)
+        new = np.ones(len(unique), dtype=bool)
+        if len(self.key):
+            new = self.key[np.minimum(pos, len(self.key) - 1)] != unique
+        if new.any():
+            data = w.raw.tobytes()
+            words = [data[a:b].decode() for a, b in zip(w.start[place[new]].tolist(), w.end[place[new]].tolist(), strict=True)]
+            self.learn(unique[new], words)
+            pos = np.searchsorted(self.key, unique)
+        self.met[pos] = self.turn
+        n = self.n[pos][back]
+        ids = self.pool[spread(self.at[pos][back], n)]
+        first = np.concatenate([[0], np.cumsum(n)])[w.first]
+        if len(self.key) > self.most:
+            self.forget()
+        return ids, first
+
+
+def spread(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The indexes of runs of n from `at`, end to end."""
+    ends = np.cumsum(n)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(at - ends + n, n)
+
+
+def with_end(ids: np.ndarray, first: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Every text's ids with the end id after them."""
+    n = len(first) - 1
+    out = np.full(len(ids) + n, end_id, dtype=np.uint32)
+    after = first + np.arange(n + 1)
+    out[np.arange(len(ids)) + np.repeat(np.arange(n), np.diff(first))] = ids
+    return out, after
 
 
 @lru_cache(maxsize=4)

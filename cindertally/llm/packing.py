@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 from .columns import sliced, small_batches
-from .encoding import load, worker_cache
+from .encoding import load, with_end, worker_cache
 
 WINDOW, SCALE = 2048, 1 << 15
 TOKENS = "part int, queue string, before long, doc_id long, n long, ids binary"
@@ -109,20 +109,21 @@ def cut(which: np.ndarray, start: np.ndarray, n: np.ndarray, place: np.ndarray,
 
 def tokenized(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     """Ordered documents with their ids and the tokens before them in this part of their queue."""
-    cache, end = worker_cache(path, False), np.uint32(end_id).tobytes()
+    cache = worker_cache(path, False)
     part, queue, before = TaskContext.get().partitionId(), object(), 0
     narrow = load(path).get_vocab_size() < 1 << 16
     for whole in batches:
-        for batch in sliced(whole, "text"):
+        for batch in sliced(whole, "text", 2 << 20):
             queues, at, sizes, held = batch.column("queue").to_pylist(), [], [], []
-            for name, ids in zip(queues, cache.encode(batch.column("text").to_pylist()), strict=True):
+            ids, first = with_end(*cache.encode(batch.column("text")), end_id)
+            ids = ids.astype("<u2" if narrow else "<u4")
+            for name, a, b in zip(queues, first[:-1].tolist(), first[1:].tolist(), strict=True):
                 if name != queue:
                     queue, before = name, 0
-                ids += end
                 at.append(before)
-                sizes.append(len(ids) // 4)
-                before += sizes[-1]
-                held.append(np.frombuffer(ids, dtype="<u4").astype("<u2").tobytes() if narrow else ids)
+                sizes.append(b - a)
+                before += b - a
+                held.append(ids[a:b].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array([part] * len(at), pa.int32()), batch.column("queue"), pa.array(at, pa.int64()), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(held, pa.binary())], [x.split(" ")[0] for x in TOKENS.split(", ")])
 
 

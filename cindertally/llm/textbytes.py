@@ -25,7 +25,7 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     """base ** 0..n-1 modulo 2 ** 64."""
     have = _powers.get(int(base))
     if have is None or len(have) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
+        size = max(1 << 16, n + n // 8)
         have = np.full(size, base, dtype=np.uint64)
         have[0] = 1
         with np.errstate(over="ignore"):
@@ -61,15 +61,20 @@ class Words:
             return mix((run[self.end] - run[self.start]) * powers(INVERSE, len(raw) + 1)[self.start] + (self.end - self.start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def split_words(texts: pa.Array, breaks: np.ndarray = SPACE) -> Words:
-    """Words (runs of bytes that `breaks` doesn't mark) of a string column; null is empty."""
-    texts = texts.fill_null("").cast(pa.large_string())
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string column end to end (null is empty), and where each text starts (n + 1)."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
+    texts = texts.fill_null("").cast(pa.large_string())
     _, offsets, data = texts.buffers()
-    ends = np.frombuffer(offsets, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    raw = np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]] if data is not None and len(texts) else np.zeros(0, dtype=np.uint8)
-    ends = ends - ends[0] if len(ends) else np.zeros(1, dtype=np.int64)
+    ends = np.frombuffer(offsets, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, dtype=np.int64)
+    raw = np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]] if data is not None and ends[-1] > ends[0] else np.zeros(0, dtype=np.uint8)
+    return raw, ends - ends[0]
+
+
+def split_words(texts: pa.Array, breaks: np.ndarray = SPACE) -> Words:
+    """Words (runs of bytes that `breaks` doesn't mark) of a string column; null is empty."""
+    raw, ends = text_bytes(texts)
     inside = np.zeros(len(raw) + 2, dtype=bool)
     inside[1:-1] = ~breaks[raw]
     begins = inside[1:-1] & ~inside[:-2]

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_dir
 from .columns import sliced, small_batches
-from .encoding import worker_cache
+from .encoding import with_end, worker_cache
 
 BLOCK = "part int, start_in_part long, n_tokens long, doc_ids array<bigint>, lengths array<bigint>, ranked binary, control binary, data binary"
 #: For each control byte, the lengths of its four ranks.
@@ -73,36 +73,36 @@ def unpack(ranked: bytes, control: bytes, data: bytes, n: int) -> np.ndarray:
 
 def blocks(batches: Iterator[pa.RecordBatch], path: str, keeps_space: bool, end_id: int, block_tokens: int) -> Iterator[pa.RecordBatch]:
     """Batches of (doc_id, text) in order, as blocks."""
-    cache, end = worker_cache(path, keeps_space), np.uint32(end_id).tobytes()
+    cache = worker_cache(path, keeps_space)
     part, before = TaskContext.get().partitionId(), 0
     docs: list[int | None] = []
-    held: list[bytes] = []
-    room = 0
+    held: list[np.ndarray] = []
+    lengths: list[np.ndarray] = []
 
     def closed() -> pa.RecordBatch:
         nonlocal before
-        lengths = [len(x) // 4 for x in held]
-        ranked, control, data = pack(np.frombuffer(b"".join(held), dtype="<u4"))
-        row = [part, before, sum(lengths), docs, lengths, ranked, control, data]
-        before += sum(lengths)
+        sizes = np.concatenate(lengths)
+        ranked, control, data = pack(np.concatenate(held))
+        row = [part, before, int(sizes.sum()), docs, sizes, ranked, control, data]
+        before += row[2]
         kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
         names = [x.split(" ")[0] for x in BLOCK.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
 
     for whole in batches:
-        for batch in sliced(whole, "text"):
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), cache.encode(batch.column("text").to_pylist()), strict=True):
-                docs.append(doc)
-                held.append(ids + end)
-                room += len(ids) // 4 + 1
-                if room >= block_tokens:
-                    yield closed()
-                    docs, held, room = [], [], 0
+        for batch in sliced(whole, "text", 2 << 20):
+            ids, first = with_end(*cache.encode(batch.column("text")), end_id)
+            docs += batch.column("doc_id").to_pylist()
+            held.append(ids)
+            lengths.append(np.diff(first))
+            if sum(map(len, held)) >= block_tokens:
+                yield closed()
+                docs, held, lengths = [], [], []
     if docs:
         yield closed()
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, keeps_space: bool = True, end_id: int = 0, parts: int | None = None, block_tokens: int = 1 << 20) -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, keeps_space: bool = True, end_id: int = 0, parts: int | None = None, block_tokens: int = 1 << 19) -> None:
     """Encodes docs (doc_id, text) and writes their token files at `path`, in ascending order of doc_id."""
     spark = docs.sparkSession
     small_batches(spark)
