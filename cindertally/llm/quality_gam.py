@@ -75,10 +75,10 @@ def features(texts: pa.Array) -> np.ndarray:
     if len(h) > 1:
         with np.errstate(over="ignore"):
             pair = mix(keyed[1:] * np.uint64(3) + h[:-1])
-        _, at = np.unique(pair, return_index=True)
-        again[1:] = True
-        again[1 + at] = False
-        again[1:] &= of[1:] == of[:-1]
+        inside = np.flatnonzero(of[1:] == of[:-1])
+        _, at = np.unique(pair[inside], return_index=True)
+        again[1 + inside] = True
+        again[1 + inside[at]] = False
     upto = lambda m: (lambda run: run[w.first[1:]] - run[w.first[:-1]])(np.concatenate([[0], np.cumsum(m, dtype=np.int64)]))
     # lines: texts cut at line feeds as words are at spaces
     v = split_words(texts, LINE)
