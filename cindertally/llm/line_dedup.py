@@ -148,12 +148,14 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     joined = keyed.join(gone.hint("merge"), ["doc", "key"], "left")
     text = F.col("row.text")
     left = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
-    return joined.select(
-        *[F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("kept_text", "n_lines", "n_removed")],
+    made = joined.select(
+        "row",
         F.when(F.col("gone").isNull(), text).otherwise(left).alias("kept_text"),
         F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
     )
+    added = ("kept_text", "n_lines", "n_removed")
+    return made.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in added], *added)
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
