@@ -172,10 +172,11 @@ def role_assignment(t: Load) -> DataFrame:
     return t("documents").select("doc_id", F.when(u < 0.60, "pos").when(u < 0.75, "hardneg").otherwise("neg").alias("role"))
 
 
-@query("""SELECT c_custkey AS k, 'missing' AS status FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)
-UNION ALL SELECT DISTINCT o_custkey, 'extra' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 0) AND o_custkey % 10 = 0 AND o_custkey NOT IN (SELECT c_custkey FROM customer)""")
+@query("""WITH e AS (SELECT p_partkey AS k FROM part WHERE p_size <= 30), a AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_quantity > 45)
+SELECT k, 'missing' AS status FROM e WHERE k NOT IN (SELECT k FROM a) UNION ALL SELECT k, 'extra' FROM a WHERE k NOT IN (SELECT k FROM e)""")
 def reconcile_missing_extra(t: Load) -> DataFrame:
-    return splits.reconcile(t("customer").select(F.col("c_custkey").alias("k")), t("orders").select(F.col("o_custkey").alias("k")), "k")
+    actual = t("lineitem").filter("l_quantity > 45").select(F.col("l_partkey").alias("k"))
+    return splits.reconcile(t("part").filter("p_size <= 30").select(F.col("p_partkey").alias("k")), actual, "k")
 
 
 @query("""SELECT o_orderkey AS k, coalesce(e, 0) AS expected, coalesce(a, 0) AS actual, coalesce(a, 0) - coalesce(e, 0) AS diff FROM
@@ -500,7 +501,7 @@ WHERE k <= CASE kind WHEN 'miss' THEN 9 WHEN 'hit' THEN 3 ELSE 6 END""")
 def topk_per_kind(t: Load) -> DataFrame:
     click, over = F.col("event_type") == "click", F.col("value") >= 25
     kind = F.when(click & ~over, "miss").when(click, "hit").when(over, "fp")
-    return sequence.top_per_kind(t("events"), kind, {"miss": 9, "hit": 3, "fp": 6}, ["ts", "event_id"]).select("kind", "event_id", "k")
+    return sequence.top_per_kind(t("events"), kind, {"miss": 9, "hit": 3, "fp": 6}, ["ts", "event_id"]).select("kind", "event_id", F.col("k").cast("long").alias("k"))
 
 
 @query("SELECT p_brand, p_partkey FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS k, count(*) OVER (PARTITION BY p_brand) AS n FROM part) WHERE k % greatest(1, n // 7) = 0 OR k = n - 1")
