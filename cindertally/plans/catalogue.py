@@ -556,12 +556,12 @@ def channels(t: Load) -> DataFrame:
     return t("lineitem").filter("l_linenumber <= 6").select(*KEYS, (F.col("l_quantity") * 5).alias("r"), (F.col("l_discount") * 2500).alias("g"), (F.col("l_tax") * 3000).alias("b"))
 
 
-@query(f"""SELECT l_orderkey, l_partkey, round((x0 + x1) / 2 / 640, 6) AS cx, round((x1 - x0) / 640, 6) AS w, CAST(least(greatest(0, CAST(trunc(r - g / 2) AS INTEGER)), greatest(0, 255 - CAST(g AS INTEGER))) AS INTEGER) AS x_start, count(*) AS n FROM
+@query(f"""SELECT l_orderkey, l_partkey, round((x0 + x1) / 2 / 640, 6) AS cx, round((x1 - x0) / 640, 6) AS w, CAST(least(greatest(0, trunc(r - CAST(round(g) AS INTEGER) / 2)), greatest(0, 255 - CAST(round(g) AS INTEGER))) AS INTEGER) AS x_start, count(*) AS n FROM
 (SELECT *, r AS x0, r + g AS x1 FROM {CHANNELS}) GROUP BY ALL""")
 def box_geometry(t: Load) -> DataFrame:
     x0, x1, size = F.col("r"), F.col("r") + F.col("g"), F.lit(640.0)
     box = scalar.corners_to_centre(x0, x0, x1, x1, size, size)
-    made = channels(t).select("l_orderkey", "l_partkey", box[0], box[2], scalar.clamp_start(F.col("r"), F.col("g"), 255 - F.round("g").cast("int")).alias("x_start"))
+    made = channels(t).select("l_orderkey", "l_partkey", box[0], box[2], scalar.clamp_start(F.col("r"), F.round("g").cast("int"), F.lit(255)).alias("x_start"))
     return rounded(made, "cx", "w").groupBy("l_orderkey", "l_partkey", "cx", "w", "x_start").agg(F.count("*").alias("n"))
 
 
