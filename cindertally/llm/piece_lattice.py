@@ -19,6 +19,7 @@ model turns into a space.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -50,13 +51,20 @@ def piece_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(pa.table([pa.array(x) for x in zip(*rows, strict=True)], ["piece", "id", "score"]).to_pandas(), "piece string, id int, score float")
 
 
-def edges(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """word, n (its uses) and its lattice: array of (end, start, id, score), from the columns word and n."""
+#: An edge as one number: start, length and id; NO_ID for a single character without a piece.
+START, LENGTH, NO_ID = 1 << 32, 1 << 24, (1 << 24) - 1
+
+
+def edges(words: DataFrame, pieces: DataFrame, longest: int, packed: bool = False) -> DataFrame:
+    """word, n (its uses) and its lattice, from the columns word and n: array of (end, start, id, score), or of packed numbers."""
     size = F.length("word")
     starts = words.select("word", "n", F.explode(F.sequence(F.lit(1), size)).alias("s"))
     spans = starts.select("word", "n", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), size - F.col("s") + 1))).alias("l"))
     # a single character stays without a piece (id null), so that no word is lost
     found = spans.withColumn("piece", F.substring(F.col("word"), F.col("s"), F.col("l"))).join(F.broadcast(pieces), "piece", "left").filter("id is not null or l = 1")
+    if packed:
+        edge = (F.col("s") - 1).cast("long") * START + F.col("l") * LENGTH + F.coalesce("id", F.lit(NO_ID))
+        return found.groupBy("word", "n").agg(F.collect_list(edge).alias("edges"))
     return found.groupBy("word", "n").agg(F.collect_list(F.struct((F.col("s") + F.col("l") - 1).alias("end"), (F.col("s") - 1).alias("start"), "id", "score")).alias("edges"))
 
 
@@ -93,42 +101,83 @@ def unigram_ids(words: DataFrame, pieces: DataFrame, longest: int, unknown: floa
     return lattice.select("word", "n", viterbi(F.col("word"), F.col("edges"), unknown, zero_byte).alias("ids"))
 
 
-def merged(chars: list[str], found: dict[tuple[int, int], tuple[float, int]], byte_id: dict[int, int]) -> list[int]:
-    """Symbols of a word: joins neighbouring symbols, the best score first and the leftmost of equals, while they make a piece."""
-    cuts = list(range(len(chars) + 1))
+SPAN = 1 << 24
+
+
+def merged(n: int, found: dict[int, int], rank: list[float]) -> list[int]:
+    """Ends of the symbols of a word of n characters: joins neighbours, the best rank first and the
+    leftmost of equals, while they make a piece. found: ids by start * SPAN + end; rank: by id, low is good."""
+    if n > 48:
+        return merged_long(n, found, rank)
+    cuts = list(range(n + 1))
+    get = found.get
     while len(cuts) > 2:
         best, at = None, 0
         for k in range(len(cuts) - 2):
-            edge = found.get((cuts[k], cuts[k + 2]))
-            if edge is not None and (best is None or edge[0] > best):
-                best, at = edge[0], k
+            edge = get(cuts[k] * SPAN + cuts[k + 2])
+            if edge is not None and (best is None or rank[edge] < best):
+                best, at = rank[edge], k
         if best is None:
             break
         del cuts[at + 1]
-    out: list[int] = []
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        edge = found.get((a, b))
-        out += [edge[1]] if edge else [byte_id[x] for c in chars[a:b] for x in c.encode()]
-    return out
-
-
-def bpe_ids(words: DataFrame, pieces: DataFrame, longest: int, byte_id: dict[int, int]) -> DataFrame:
+    return cuts
+
+
+def merged_long(n: int, found: dict[int, int], rank: list[float]) -> list[int]:
+    """The same by a heap of joins, for words of any length."""
+    after, before = list(range(1, n + 2)), list(range(-1, n + 1))  # neighbours of each cut
+    heap: list[tuple[float, int, int, int]] = []
+
+    def offer(a: int) -> None:
+        middle = after[a]
+        if middle < n:
+            edge = found.get(a * SPAN + after[middle])
+            if edge is not None:
+                heapq.heappush(heap, (rank[edge], a, middle, after[middle]))
+
+    for a in range(n):
+        offer(a)
+    gone = bytearray(n + 1)
+    while heap:
+        _, a, middle, b = heapq.heappop(heap)
+        if gone[a] or gone[middle] or gone[b] or after[a] != middle or after[middle] != b:
+            continue
+        gone[middle] = 1
+        after[a], before[b] = b, a
+        offer(a)
+        if a > 0:
+            offer(before[a])
+    return [k for k in range(n + 1) if not gone[k]]
+
+
+def bpe_ids(words: DataFrame, pieces: DataFrame, longest: int, byte_id: dict[int, int], rank: list[float]) -> DataFrame:
     """word, n, ids by merges over the lattice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("edges")
-            flat = lists.flatten()
-            end, start, ids, score = (flat.field(k).to_pylist() for k in range(4))
-            offsets = lists.offsets.to_pylist()
-            base = offsets[0] if offsets else 0
+            flat = np.asarray(lists.flatten())
+            ids = flat & NO_ID
+            start = flat // START
+            key = start * SPAN + start + (flat // LENGTH & 0xFF)
+            some = np.flatnonzero(ids != NO_ID)
+            offsets = np.searchsorted(some, np.asarray(lists.offsets) - lists.offsets[0].as_py()).tolist()
+            key, ids = key[some].tolist(), ids[some].tolist()
             out = []
             for word, a, b in zip(batch.column("word").to_pylist(), offsets, offsets[1:], strict=False):
-                found = {(start[k], end[k]): (score[k], ids[k]) for k in range(a - base, b - base) if ids[k] is not None}
-                out.append(merged(list(word), found, byte_id))
+                found = dict(zip(key[a:b], ids[a:b], strict=True))
+                cuts = merged(len(word), found, rank)
+                own: list[int] = []
+                for x, y in zip(cuts, cuts[1:], strict=False):
+                    edge = found.get(x * SPAN + y)
+                    if edge is None:
+                        own += [byte_id[v] for v in word[x:y].encode()]
+                    else:
+                        own.append(edge)
+                out.append(own)
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(out, pa.list_(pa.int32()))], ["word", "n", "ids"])
 
-    return edges(words, pieces, longest).mapInArrow(run, "word string, n long, ids array<int>")
+    return edges(words, pieces, longest, packed=True).mapInArrow(run, "word string, n long, ids array<int>")
 
 
 def pieces_of(texts: pa.Array) -> Words:
@@ -195,7 +244,7 @@ def encode(docs: DataFrame, path: str, kind: str = "bpe", hot: int = 1 << 18) ->
     words = distinct_words(docs)
     byte_id = {int(model.id_to_piece(i)[3:5], 16): i for i in range(model.get_piece_size()) if model.is_byte(i)}
     if kind == "bpe":
-        table = bpe_ids(words, pieces, longest, byte_id)
+        table = bpe_ids(words, pieces, longest, byte_id, [-model.get_score(i) for i in range(model.get_piece_size())])
     else:
         low = min(model.get_score(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i)))
         table = unigram_ids(words, pieces, longest, low - 10.0, byte_id.get(0))

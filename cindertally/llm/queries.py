@@ -89,7 +89,22 @@ SELECT d.doc_id, coalesce(n.k, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesc
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT src, min(dst) AS low FROM reach GROUP BY src) m ON m.src = d.doc_id
 """
 
+#: Windows are the shortest runs of 50 words forwards or backwards from a line; lines of windows seen before go.
+OP2 = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS num FROM documents),
+n AS (SELECT doc_id, num, trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body, words, row_number() OVER (PARTITION BY doc_id ORDER BY num) AS i,
+       sum(words) OVER (PARTITION BY doc_id ORDER BY num) AS run FROM (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM l) WHERE words > 0),
+win AS (SELECT a.doc_id, a.i AS s, min(b.i) AS e FROM n a JOIN n b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.run - a.run + a.words >= 50 GROUP BY 1, 2
+  UNION SELECT a.doc_id, max(b.i) AS s, a.i AS e FROM n a JOIN n b ON a.doc_id = b.doc_id AND b.i <= a.i AND a.run - b.run + b.words >= 50 GROUP BY a.doc_id, a.i),
+c AS (SELECT w.doc_id, w.s, w.e, string_agg(n.body, chr(10) ORDER BY n.i) AS body FROM win w JOIN n ON n.doc_id = w.doc_id AND n.i BETWEEN w.s AND w.e GROUP BY 1, 2, 3),
+f AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, s) AS k FROM c),
+gone AS (SELECT DISTINCT f.doc_id, n.num FROM f JOIN n ON n.doc_id = f.doc_id AND n.i BETWEEN f.s AND f.e WHERE f.k > 1),
+kept AS (SELECT l.doc_id, count(*) AS n_lines, count(g.num) AS n_removed, coalesce(string_agg(l.line, chr(10) ORDER BY l.num) FILTER (WHERE g.num IS NULL), '') AS text
+  FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.num = l.num GROUP BY 1)
+SELECT doc_id, n_lines, n_removed, strlen(text) AS n_bytes, sha256(text) AS text_sha256 FROM kept
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_ngram_join, op2_line_dedup, op3_piece_lattice, op4_token_files, op5_gif_media, op6_token_counts, op7_packing, op8_quality_gam, op9_quality_rules, op10_sharding)
 }
-ORACLES: dict[str, str] = {"op1_ngram_join": OP1}
+ORACLES: dict[str, str] = {"op1_ngram_join": OP1, "op2_line_dedup": OP2}

@@ -80,7 +80,7 @@ def check_pieces(df, weights=None, window=2048):
         of.setdefault(r["doc_id"], []).append(r)
     for i, t in rows:
         ids = np.array([*library(WORDS, t), 1], dtype="<u4")
-        if i == 8:  # two equal rows
+        if sum(j == i for j, _ in rows) > 1:  # equal rows
             assert sum(r["length"] for r in of[i]) == 2 * len(ids)
             continue
         own = sorted(of[i], key=lambda r: r["start"])
@@ -115,7 +115,7 @@ def test_packing_with_target_shares(docs):
 
 def test_lattice_gives_the_library_ids(odd, docs):
     model = piece_lattice.processor(PIECES)
-    both = odd.union(docs.limit(40))
+    both = odd.union(docs.limit(40).withColumn("doc_id", docs["doc_id"] + 1000))
     texts = {r["doc_id"]: r["text"] for r in both.collect()}
     encoded = piece_lattice.encode(both, PIECES, hot=200)
     got = encoded.collect()
@@ -127,7 +127,7 @@ def test_lattice_gives_the_library_ids(odd, docs):
 
 
 def test_viterbi_gives_the_library_ids(docs, make, tmp_path):
-    """The same file with its model type set to unigram; lines without unknown characters."""
+    """The same file with its model type set to unigram, and the best of the library's lattice paths."""
     import sentencepiece
 
     data = open(PIECES, "rb").read()
@@ -135,13 +135,16 @@ def test_viterbi_gives_the_library_ids(docs, make, tmp_path):
     path = str(tmp_path / "unigram.model")
     open(path, "wb").write(data.replace(b"\x12\x06tok_v0\x18\x02", b"\x12\x06tok_v0\x18\x01"))
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    lines = [x[:400] for r in docs.limit(25).collect() for x in r["text"].split("\n")[:3]]
+    lines = [x[:400] for r in docs.limit(25).collect() for x in r["text"].split("\n")[:3] if x]
     texts = dict(enumerate(lines))
-    texts[-1] = "日本 ä"
-    for r in piece_lattice.encode(make(list(texts.items())), path, kind="unigram", hot=50).collect():
-        ids, want = np.frombuffer(r["ids"], dtype="<u4").tolist(), model.encode(texts[r["doc_id"]])
-        score = lambda x: sum(model.get_score(k) for k in x)
-        assert ids == want or abs(score(ids) - score(want)) < 0.01  # ties
+    score = lambda x: sum(model.get_score(k) for k in x)
+    same = 0
+    rows = piece_lattice.encode(make(list(texts.items())), path, kind="unigram", hot=50).collect()
+    for r in rows:
+        ids, want = np.frombuffer(r["ids"], dtype="<u4").tolist(), (model.nbest_encode_as_ids(texts[r["doc_id"]], 2) or [[]])[0]
+        assert r["decodes"] and score(ids) >= score(want) - 0.01  # the library adds in single precision
+        same += ids == want
+    assert same > 0.8 * len(rows)
 
 
 @pytest.mark.parametrize("n", [1, 2, 192, 5000, 70_000])
