@@ -12,11 +12,13 @@ their sets' Jaccard similarity is 0.8 or more; the join is exact.
    dealt to B(n) buckets, and pairs of tokens of one bucket are indexed instead: among B + 1 shared
    tokens, one is rare or two share a bucket, so no link is lost. B depends on the size's power of
    two; sizes whose partners may lie in the power below use both.
-4. Round one verifies, for every index key, each document against the key's first and against its
-   neighbour: enough to join groups of near copies without their pairs. Components follow. Round
-   two takes only keys that still hold several components, and verifies the pairs of different
-   components that size and index prefix allow. So what remains is exact, and a group that is
-   already one component yields no pairs.
+4. Round one verifies, for every index key, each document against the key's first: enough to join
+   groups of near copies without their pairs. Components follow. Round two takes only keys that
+   still hold several components. Of keys of rare tokens it verifies the pairs of different
+   components that sizes and positions in the prefixes allow. Documents that share keys of frequent
+   tokens form clusters, which are verified in blocks: each block with each, but none within a
+   cluster's largest component. So what remains is exact, and a group that is already one component
+   yields no pairs.
 
 Cases: null and empty texts have empty sets and link with nothing; with fewer than five words the
 whole sequence is the one token. Repeated rows are equal sets. A null doc_id gets no component and
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
@@ -40,6 +42,8 @@ N, KEEP, OF = 5, 4, 5  # words of a token; similarity KEEP / OF
 SKETCH, SKETCH_BLOCK = 1 << 20, 1 << 12
 #: A token in more prefixes than this is indexed in pairs.
 FREQUENT = 16
+#: Documents of a block, two of which are verified at a time.
+BLOCK = 128
 #: Keys that the sketch holds to be this common are dealt to several tasks in round one.
 CROWD = 256
 SCANNED = "doc_id long, n int, d1 long, d2 long, block int, counts binary"
@@ -49,7 +53,12 @@ def token_sets(texts: pa.Array, n: int = N) -> list[np.ndarray]:
     """The set of each text as sorted 64-bit hashes."""
     w = split_words(texts)
     tokens, first = shingles(w.hashes(lower=True), w.first, n)
-    return [np.unique(tokens[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+    out = []
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        own = np.sort(tokens[a:b])
+        fresh = own[1:] != own[:-1]
+        out.append(own if fresh.all() else own[np.append(True, fresh)])
+    return out
 
 
 def digest(tokens: np.ndarray) -> tuple[int, int]:
@@ -103,11 +112,11 @@ def levels(scanned: DataFrame) -> np.ndarray:
 
 def spare(n: int) -> int:
     """B(n): tokens by which prefixes are extended, and buckets of frequent tokens."""
-    return max(1, 1 << n.bit_length() - 1 >> 4)
+    return max(1, 1 << n.bit_length() - 1 >> 6)
 
 
 def prefixes(docs: DataFrame, standing: np.ndarray, level: np.ndarray, n: int) -> DataFrame:
-    """token, salt, doc, n, idx of the extended prefixes of standing documents.
+    """token, salt, doc, n, pos, idx of the extended prefixes of standing documents.
 
     A token is salted (salt >= 0) if the sketch holds it to be far more common than its counters are on average.
     """
@@ -127,25 +136,28 @@ def prefixes(docs: DataFrame, standing: np.ndarray, level: np.ndarray, n: int) -
                     index = k - -(-2 * KEEP * k // (KEEP + OF)) + 1 + spare(k)
                     crowd = (2.0 ** (own[order] / 4.0) / usual).astype(np.int64)
                     salt = np.where(crowd > 0, doc % (crowd + 1), -1)
-                    out.append((s[order].astype(np.int64), salt.astype(np.int32), np.full(len(order), doc), np.full(len(order), k, dtype=np.int32), np.arange(len(order)) < index))
+                    out.append((s[order].astype(np.int64), salt.astype(np.int32), np.full(len(order), doc), np.full(len(order), k, dtype=np.int32), np.arange(len(order), dtype=np.int32), np.arange(len(order)) < index))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["token", "salt", "doc", "n", "idx"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["token", "salt", "doc", "n", "pos", "idx"])
 
     slot = bitmap_slot(F.col("doc_id"))
-    return docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text", slot.alias("slot")).mapInArrow(run, "token long, salt int, doc long, n int, idx boolean")
+    return docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text", slot.alias("slot")).mapInArrow(run, "token long, salt int, doc long, n int, pos int, idx boolean")
 
 
-def near_sizes(a: str, b: str) -> F.Column:
-    small, large = F.least(F.col(a), F.col(b)).cast("long"), F.greatest(F.col(a), F.col(b)).cast("long")
-    return OF * small >= KEEP * large
+def may_link(na: str, pa: str, nb: str, pb: str) -> Column:
+    """Whether sets of na and nb tokens that share one at pa and pb can link.
 
+    If they do, a key exists for which at most B shared tokens come before it; the rest of the overlap
+    must fit behind it.
+    """
+    small, large = F.least(F.col(na), F.col(nb)).cast("long"), F.greatest(F.col(na), F.col(nb)).cast("long")
+    spare_ = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.length(F.bin(large)) - 7, F.lit(0)))
+    behind = F.least(F.col(na) - F.col(pa), F.col(nb) - F.col(pb)).cast("long")
+    return (OF * small >= KEEP * large) & ((KEEP + OF) * (spare_ + behind) >= KEEP * (small + large))
 
-def verified(pairs: DataFrame, docs: DataFrame, n: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sets link. Sets are made again for their documents alone."""
-    if not pairs.take(1):
-        return pairs.select("a", "b")
-    small_batches(docs.sparkSession, 128)
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+
+def sets_of(ids: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """id, tokens (sorted 64-bit hashes) of at least these documents: made again from their texts and stored."""
     wanted = id_bitmap(ids)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,6 +166,14 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int) -> DataFrame:
             for batch in sliced(whole, "text"):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in token_sets(batch.column("text"), n)], pa.binary())], ["id", "tokens"])
 
+    small_batches(docs.sparkSession, 128)
+    made = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text", bitmap_slot(F.col("doc_id")).alias("slot")).mapInArrow(sets, "id long, tokens binary")
+    return stored(made, "ngram-sets", compression="none")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose sets link."""
+
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -167,12 +187,71 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int) -> DataFrame:
                 keep.append(OF * both >= KEEP * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    made = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text", bitmap_slot(F.col("doc_id")).alias("slot")).mapInArrow(sets, "id long, tokens binary")
-    made = stored(made, "ngram-sets", compression="none")
-    left, right = made.select(F.col("id").alias("a"), F.col("tokens").alias("x")), made.select(F.col("id").alias("b"), F.col("tokens").alias("y"))
+    left, right = sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("id").alias("b"), F.col("tokens").alias("y"))
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(linked, "a long, b long").distinct()
 
 
+def overlaps(sets: list[np.ndarray], chunk: int = 1 << 14) -> np.ndarray:
+    """How many tokens each two of the sets share."""
+    of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    tokens = np.concatenate(sets)
+    order = np.argsort(tokens, kind="stable")
+    tokens, of = tokens[order], of[order]
+    new = np.append(True, tokens[1:] != tokens[:-1])
+    number = np.cumsum(new) - 1
+    common = np.bincount(number)[number] > 1  # a token of one set is shared with none
+    number, of = number[common], of[common]
+    number = np.unique(number, return_inverse=True)[1] if len(number) else number
+    out = np.zeros((len(sets), len(sets)), dtype=np.float64)
+    for k in range(0, int(number[-1]) + 1 if len(number) else 0, chunk):
+        a, b = np.searchsorted(number, [k, k + chunk])
+        held = np.zeros((len(sets), chunk), dtype=np.float32)
+        held[of[a:b], number[a:b] - k] = 1
+        out += held @ held.T
+    return out.astype(np.int64)
+
+
+def block_links(crowd: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) enough to join what links in each cluster of crowd (doc, label, cluster).
+
+    A cluster's documents are dealt to blocks by hash, those of its largest component apart from the
+    rest, and two blocks at a time meet in a task of their own; two of the largest component never
+    do. A task holds two blocks, and returns a link for each two components that it joins.
+    """
+    count = crowd.groupBy("cluster", "label").agg(F.count("*").alias("c"))
+    top = count.groupBy("cluster").agg(F.max(F.struct("c", "label")).alias("t"), F.sum("c").alias("all")).select("cluster", F.col("t.label").alias("main"), F.col("t.c").alias("cm"), (F.col("all") - F.col("t.c")).alias("co"))
+    number = lambda c: F.ceil(F.col(c) / F.lit(BLOCK)).cast("int")
+    dealt = crowd.join(top, "cluster").withColumn("is_main", F.col("label") == F.col("main"))
+    own = F.when(F.col("is_main"), F.pmod(F.xxhash64("doc"), number("cm"))).otherwise(number("cm") + F.pmod(F.xxhash64("doc"), F.greatest(number("co"), F.lit(1)))).cast("int")
+    meets = F.when(F.col("is_main"), F.when(F.col("co") > 0, F.sequence(number("cm"), number("cm") + number("co") - 1))).otherwise(F.sequence(F.lit(0), number("cm") + number("co") - 1))
+    placed = dealt.select("doc", "label", "cluster", own.alias("own"), F.explode(meets).alias("other"))
+    placed = placed.select("doc", "label", "cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def run(group: pa.Table) -> pa.Table:
+        doc, label = group.column("doc").to_pylist(), group.column("label").to_pylist()
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in group.column("tokens").to_pylist()]
+        size = np.array([len(s) for s in sets])
+        both = overlaps(sets)
+        hit = OF * both >= KEEP * (size[:, None] + size[None, :] - both)
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while up.get(x, x) != x:
+                x = up[x]
+            return x
+
+        out = []
+        for x, y in zip(*np.nonzero(np.triu(hit, 1)), strict=True):
+            p, q = root(label[x]), root(label[y])
+            if p != q:
+                up[p] = q
+                out.append((min(doc[x], doc[y]), max(doc[x], doc[y])))
+        return pa.table([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
+
+    held = placed.join(sets.withColumnRenamed("id", "doc"), "doc")
+    return held.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long").distinct()
+
+
 def components(links: DataFrame, most: int = 200) -> DataFrame:
     """id, label of every linked document: the least id that links lead to. Small rows, no lineage kept.
 
@@ -200,30 +279,30 @@ def label_of(labels: DataFrame | None, keys: DataFrame, column: str) -> DataFram
 
 
 def combinations_of(postings: DataFrame) -> DataFrame:
-    """Keys of pairs of tokens of one bucket, from the frequent tokens (doc, n, token, idx)."""
+    """Keys of pairs of tokens of one bucket, from the frequent tokens (doc, n, token, pos, idx)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple[np.ndarray, ...]] = []
             for row in batch.to_pylist():
-                tokens, idx, k = np.array(row["tokens"], dtype=np.int64).astype(np.uint64), np.array(row["idx"]), row["n"]
+                tokens, idx, pos, k = np.array(row["tokens"], dtype=np.int64).astype(np.uint64), np.array(row["idx"]), np.array(row["pos"], dtype=np.int32), row["n"]
                 power = k.bit_length() - 1
                 for p in {power, power - 1} if KEEP * k < OF * (1 << power) and power else {power}:
                     # tokens of one bucket lie together; pair each with those up to d places on
                     bucket = (mix(tokens) % np.uint64(spare(1 << p))).astype(np.int64)
                     order = np.lexsort((tokens, bucket))
-                    t, b, i = tokens[order], bucket[order], idx[order]
+                    t, b, i, o = tokens[order], bucket[order], idx[order], pos[order]
                     d = 1
                     while d < len(t) and len(same := np.flatnonzero(b[d:] == b[:-d])):
                         with np.errstate(over="ignore"):
                             key = mix(mix(t[same] + np.uint64(p)) * np.uint64(3) + t[same + d])
-                        out.append((key.astype(np.int64), np.full(len(same), row["doc"]), np.full(len(same), k, dtype=np.int32), i[same] & i[same + d]))
+                        out.append((key.astype(np.int64), np.full(len(same), row["doc"]), np.full(len(same), k, dtype=np.int32), np.maximum(o[same], o[same + d]), i[same] & i[same + d]))
                         d += 1
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["token", "doc", "n", "idx"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["token", "doc", "n", "pos", "idx"])
 
-    grouped = postings.groupBy("doc", "n").agg(F.collect_list(F.struct("token", "idx")).alias("t"))  # a document's own prefix at most
-    return grouped.select("doc", "n", F.col("t.token").alias("tokens"), F.col("t.idx").alias("idx")).mapInArrow(run, "token long, doc long, n int, idx boolean")
+    grouped = postings.groupBy("doc", "n").agg(F.collect_list(F.struct("token", "pos", "idx")).alias("t"))  # a document's own prefix at most
+    return grouped.select("doc", "n", F.col("t.token").alias("tokens"), F.col("t.pos").alias("pos"), F.col("t.idx").alias("idx")).mapInArrow(run, "token long, doc long, n int, pos int, idx boolean")
 
 
 def several(postings: DataFrame) -> DataFrame:
@@ -234,10 +313,10 @@ def several(postings: DataFrame) -> DataFrame:
 
 def cross_pairs(postings: DataFrame) -> DataFrame:
     """Pairs of documents of different labels that share a key, as sizes and index prefixes allow."""
-    x = postings.filter("idx").select("token", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    y = postings.select("token", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+    x = postings.filter("idx").select("token", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("label").alias("la"))
+    y = postings.select("token", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("label").alias("lb"))
     later = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    met = x.join(y, (x["token"] == y["token"]) & (F.col("la") != F.col("lb")) & later & near_sizes("na", "nb"))
+    met = x.join(y, (x["token"] == y["token"]) & (F.col("la") != F.col("lb")) & later & may_link("na", "pa", "nb", "pb"))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -251,36 +330,38 @@ def links_and_classes(docs: DataFrame, n: int = N) -> tuple[DataFrame, DataFrame
     members = sets.join(classes, ["n", "d1", "d2"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("stands", "doc_id")).alias("stands"))
 
     found = prefixes(docs, id_bitmap(classes.filter(F.col("n") >= KEEP).select("stands")), levels(scanned), n)
-    by_key = Window.partitionBy("token", "salt").orderBy(F.desc("idx"), "n", "doc")
+    by_key = Window.partitionBy("token", "salt").orderBy("pos", "n", "doc")
     beside = found.select(
         "*",
         F.first("doc").over(by_key).alias("head"),
         F.first("n").over(by_key).alias("head_n"),
-        F.lag("doc").over(by_key).alias("prev"),
-        F.lag("n").over(by_key).alias("prev_n"),
+        F.first("pos").over(by_key).alias("head_pos"),
         F.lead("doc").over(by_key).alias("next"),
-        F.first("idx").over(by_key).alias("indexed"),
+        F.max("idx").over(Window.partitionBy("token", "salt")).alias("indexed"),
     )
     # keys of one document, or without an index prefix, make no candidates; a salted key's parts may meet
-    useful = ((F.col("prev").isNotNull() | F.col("next").isNotNull()) & F.col("indexed")) | (F.col("salt") >= 0)
+    useful = (((F.col("head") != F.col("doc")) | F.col("next").isNotNull()) & F.col("indexed")) | (F.col("salt") >= 0)
     kept = stored(beside.filter(useful).drop("next", "indexed"), "ngram-keys", compression="zstd")
-    star = kept.select(F.col("head").alias("p"), F.col("head_n").alias("pn"), "doc", "n")
-    chain = kept.filter("prev is not null").select(F.col("prev").alias("p"), F.col("prev_n").alias("pn"), "doc", "n")
-    heads = kept.filter("salt >= 0").select("token", F.struct(F.col("head_n").alias("n"), F.col("head").alias("doc")).alias("h")).distinct()
-    across = heads.join(heads.groupBy("token").agg(F.min("h").alias("t")), "token").select(F.col("t.doc").alias("p"), F.col("t.n").alias("pn"), F.col("h.doc").alias("doc"), F.col("h.n").alias("n"))
-    tested = star.union(chain).union(across).filter(F.col("p") != F.col("doc")).filter(near_sizes("pn", "n")).select(F.least("p", "doc").alias("a"), F.greatest("p", "doc").alias("b")).distinct()
+    star = kept.filter("head <> doc").filter(may_link("head_n", "head_pos", "n", "pos")).select(F.col("head").alias("p"), "doc")
+    # the heads of a salted key's parts meet the least of them
+    heads = kept.filter("salt >= 0").select("token", F.struct(F.col("head_pos").alias("pos"), F.col("head").alias("doc")).alias("h")).distinct()
+    across = heads.join(heads.groupBy("token").agg(F.min("h").alias("t")), "token").select(F.col("t.doc").alias("p"), F.col("h.doc").alias("doc")).filter("p <> doc")
+    tested = star.union(across).select(F.least("p", "doc").alias("a"), F.greatest("p", "doc").alias("b")).distinct()
     tested = stored(tested, "ngram-tested")
-    links = stored(verified(tested, docs, n), "ngram-links")
+    ends = lambda pairs: pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+    links = stored(verified(tested, sets_of(ends(tested), docs, n)), "ngram-links")
     labels = components(links)
 
-    left = several(label_of(labels, kept.select("token", "doc", "n", "idx"), "doc"))
+    left = several(label_of(labels, kept.select("token", "doc", "n", "pos", "idx"), "doc"))
     left = stored(left.join(left.groupBy("token").agg(F.count("*").alias("many")), "token"), "ngram-left")
-    pairs_of = combinations_of(left.filter(F.col("many") > FREQUENT))
-    alone = left.filter(F.col("many") <= FREQUENT).select("token", "doc", "n", "idx", "label")
-    together = several(label_of(labels, pairs_of, "doc")).select("token", "doc", "n", "idx", "label")
-    more = cross_pairs(alone).union(cross_pairs(together)).distinct().join(tested, ["a", "b"], "left_anti")
-    more = stored(more, "ngram-more")
-    second = stored(verified(more, docs, n), "ngram-links")
+    more = stored(cross_pairs(left.filter(F.col("many") <= FREQUENT)).join(tested, ["a", "b"], "left_anti"), "ngram-more")
+    paired = several(label_of(labels, combinations_of(left.filter(F.col("many") > FREQUENT)), "doc"))
+    # documents that share keys of frequent tokens are a cluster
+    first = paired.groupBy("token").agg(F.min("doc").alias("a"))
+    joins = stored(paired.select("token", F.col("doc").alias("b")).join(first, "token").select("a", "b").distinct(), "ngram-clusters")
+    crowd = stored(label_of(labels, components(joins).select(F.col("id").alias("doc"), F.col("label").alias("cluster")), "doc"), "ngram-crowd")
+    sets = sets_of(ends(more).union(crowd.select("doc")), docs, n)
+    second = stored(verified(more, sets).union(block_links(crowd, sets)), "ngram-links")
     return members, classes, components(links.union(second))
 
 
