@@ -112,7 +112,7 @@ def levels(scanned: DataFrame) -> np.ndarray:
 
 def spare(n: int) -> int:
     """B(n): tokens by which prefixes are extended, and buckets of frequent tokens."""
-    return max(1, 1 << n.bit_length() - 1 >> 6)
+    return max(1, 1 << n.bit_length() - 1 >> 5)
 
 
 def prefixes(docs: DataFrame, standing: np.ndarray, level: np.ndarray, n: int) -> DataFrame:
@@ -151,7 +151,7 @@ def may_link(na: str, pa: str, nb: str, pb: str) -> Column:
     must fit behind it.
     """
     small, large = F.least(F.col(na), F.col(nb)).cast("long"), F.greatest(F.col(na), F.col(nb)).cast("long")
-    spare_ = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.length(F.bin(large)) - 7, F.lit(0)))
+    spare_ = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.length(F.bin(large)) - 6, F.lit(0)))
     behind = F.least(F.col(na) - F.col(pa), F.col(nb) - F.col(pb)).cast("long")
     return (OF * small >= KEEP * large) & ((KEEP + OF) * (spare_ + behind) >= KEEP * (small + large))
 
