@@ -1,6 +1,7 @@
 """Quality classifier: a generalised additive model with pairwise interactions.
 
-Every feature is cut into at most `bins` bins at quantiles of the training rows. Boosting visits
+Every feature is cut at quantiles of the training rows and of their distinct values, at most
+2 x `bins` of them. Boosting visits
 the features in turn; each visit fits a shallow tree (three leaves) to the gradient of the log
 loss over the feature's bins and adds a small step of it to the feature's table. The pairs of
 features that then lower the loss most are boosted in the same way, by trees of one cut on either
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from .columns import sliced, small_batches
 from .textbytes import SPACE, mix, split_words
 
-FEATURES = ("log_words", "mean_word", "upper", "digits", "symbols", "pipes", "marks", "stops", "lines", "distinct", "repeats", "runs", "same_lines", "longest")
+FEATURES = ("log_words", "mean_word", "upper", "digits", "symbols", "links", "pipes", "marks", "stops", "lines", "distinct", "repeats", "runs", "same_lines", "longest")
 CUT = 0.7
 
 
@@ -40,7 +41,7 @@ def marked(chars: str) -> np.ndarray:
     return out
 
 
-UPPER, DIGIT, SYMBOL, PIPE, MARK, STOP, LINE = (marked(x) for x in ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "#*$%&<>@^~_=+/\\{}[]", "|", "!?", ".,;:", "\n"))
+UPPER, DIGIT, SYMBOL, LINK, PIPE, MARK, STOP, LINE = (marked(x) for x in ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "#*$%&<>^~", "@_=+/\\{}[]", "|", "!?", ".,;:", "\n"))
 
 
 def features(texts: pa.Array) -> np.ndarray:
@@ -93,7 +94,7 @@ def features(texts: pa.Array) -> np.ndarray:
         has = words > 0
         longest[has] = np.maximum.reduceat(width, w.first[:-1][has])
     return np.column_stack([
-        np.log1p(words), share(upto(width), words), share(per_text(UPPER[w.raw]), size), share(per_text(DIGIT[w.raw]), size), share(per_text(SYMBOL[w.raw]), size),
+        np.log1p(words), share(upto(width), words), share(per_text(UPPER[w.raw]), size), share(per_text(DIGIT[w.raw]), size), share(per_text(SYMBOL[w.raw]), size), share(per_text(LINK[w.raw]), size),
         share(per_text(PIPE[w.raw]), words), share(per_text(MARK[w.raw]), words), share(per_text(STOP[w.raw]), words), share(lines, words), share(distinct, np.sqrt(words)),
         share(upto(again), words), share(upto(same), words), share(lines - only, lines), np.log1p(longest),
     ]).astype(np.float64)
@@ -187,7 +188,9 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 32, rounds: int = 120, n_pairs
         return Gam(base=float(np.log(share / (1 - share))))
     share = y.mean()
     model = Gam(base=float(np.log(share / (1 - share))))
-    model.cuts = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, bins + 1)[1:-1])) for k in range(x.shape[1])]
+    at = np.linspace(0, 1, bins + 1)[1:-1]
+    # quantiles of the distinct values too: most rows of a sparse feature are 0
+    model.cuts = [np.unique(np.concatenate([np.quantile(x[:, k], at), np.quantile(np.unique(x[:, k]), at)])) for k in range(x.shape[1])]
     model.tables = [np.zeros(len(c) + 1) for c in model.cuts]
     at = model.bins(x)
     total = np.full(len(y), model.base)
