@@ -11,6 +11,9 @@ to ids:
 The most frequent words' ids (`hot` at most) go to every worker; the rest are joined by word and
 come back to their documents, whose pieces are then laid end to end. Decoding looks pieces up by id.
 
+What is shuffled: distinct words by partition, rare words, their ids, and the texts these come back
+to; about 2.5 times a compressed input.
+
 Cases: null and empty texts have no ids. Characters without a piece become byte pieces, or
 the unknown id where the model has none. Repeated rows are encoded each. An empty table gives an empty result. Other
 columns play no part. `decodes` is false where a text itself holds the boundary sign, which the
