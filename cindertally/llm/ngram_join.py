@@ -275,7 +275,8 @@ def label_of(labels: DataFrame | None, keys: DataFrame, column: str) -> DataFram
     """keys with the label of a column of ids (the id itself where it has no link)."""
     if labels is None:
         return keys.withColumn("label", F.col(column))
-    return keys.join(labels.withColumnRenamed("id", column), column, "left").withColumn("label", F.coalesce("label", column))
+    # by shuffle at any size: labels grow with the input
+    return keys.join(labels.withColumnRenamed("id", column).hint("merge"), column, "left").withColumn("label", F.coalesce("label", column))
 
 
 def combinations_of(postings: DataFrame) -> DataFrame:
@@ -308,7 +309,7 @@ def combinations_of(postings: DataFrame) -> DataFrame:
 def several(postings: DataFrame) -> DataFrame:
     """Rows (token, label, ...) whose token has more than one label; counted by partial sums, joined by token."""
     mixed = postings.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("idx").alias("any")).filter("lo <> hi and any").select("token")
-    return postings.join(mixed, "token")
+    return postings.join(mixed.hint("merge"), "token")
 
 
 def cross_pairs(postings: DataFrame) -> DataFrame:
