@@ -66,7 +66,7 @@ def op8_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, likelihood ratio and verdict of all documents; the target is what labels call good."""
     trusted = table(spark, sf_dir, "labels").filter(F.col("quality") == 1)
-    return quality_rules.quality_rules(table(spark, sf_dir, "documents"), trusted)
+    return quality_rules.by_words(table(spark, sf_dir, "documents"), trusted)
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
