@@ -13,16 +13,14 @@ sums of (queue, partition) meet on the driver, at most partitions + queues rows.
 carry over windows and partitions with no sequential pass, and a hot source is cut by range.
 
 Cases: a null or empty text is its end id alone; a null source is a queue of its own; repeated rows
-are packed once each; an empty table gives no piece. Beyond `max_queues` sources share queues by
-hash. Other columns play no part.
+are packed once each; an empty table gives no piece. Every source has a queue of its own at any
+number of sources. Other columns play no part.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right
 from collections.abc import Iterator, Mapping
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -40,59 +38,75 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 class Schedule:
-    """The deal of queues with `totals` tokens: phases of (first token of each queue, weights, rounds, place in the stream)."""
+    """The deal of queues with `totals` tokens: shares and the rounds of each phase, from which `phases` follow.
+
+    Memory grows with the number of queues only; time with its square, if each runs dry in its own phase.
+    """
 
     def __init__(self, totals: list[int], weights: list[float], window: int = WINDOW):
         top = max(weights, default=1)
-        self.window, self.phases = window, []
-        share = [max(1, round(w / top * SCALE)) for w in weights]
-        given, base = [0] * len(totals), 0
-        while alive := [j for j, t in enumerate(totals) if given[j] < t]:
-            w = [share[j] if given[j] < totals[j] else 0 for j in range(len(totals))]
-            whole = sum(w)
+        self.window, self.rounds = window, []
+        self.totals = np.array(totals, dtype=np.int64)
+        self.share = np.array([max(1, round(w / top * SCALE)) for w in weights], dtype=np.int64)
+        given = np.zeros(len(totals), dtype=np.int64)
+        while len(alive := np.flatnonzero(given < self.totals)):
+            w, left = self.share[alive], self.totals[alive] - given[alive]
+            whole = int(w.sum())
+            if int(left.max()) * whole < 1 << 62:
+                rounds = int(((left * whole - 1) // (window * w)).min()) + 1
+            else:
+                rounds = min((x * whole - 1) // (window * y) for x, y in zip(left.tolist(), w.tolist(), strict=True)) + 1
             # the round in which the first queue runs dry ends the phase
-            rounds = min(((totals[j] - given[j]) * whole - 1) // (window * w[j]) for j in alive) + 1
-            self.phases.append((list(given), w, whole, rounds, base))
-            for j in alive:
-                dealt = min(totals[j] - given[j], rounds * window * w[j] // whole)
-                given[j], base = given[j] + dealt, base + dealt
-        self.totals = totals
-
-    def phase_of(self, queue: int, token: int) -> int:
-        return bisect_right([p[0][queue] for p in self.phases], token) - 1
-
-
-def places(schedule: Schedule, queue: int, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Cuts token ranges [first, last) of a queue: (range, first token, number, place in the stream)."""
+            self.rounds.append(rounds)
+            given[alive] += np.minimum(left, rounds * window * w // whole)
+
+    def phases(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+        """By phase: queues with tokens left, tokens they have given before, tokens they give, place in the stream."""
+        given, base = np.zeros(len(self.totals), dtype=np.int64), 0
+        for rounds in self.rounds:
+            alive = np.flatnonzero(given < self.totals)
+            w = self.share[alive]
+            dealt = np.minimum(self.totals[alive] - given[alive], rounds * self.window * w // int(w.sum()))
+            yield alive, given[alive], dealt, base
+            given[alive] += dealt
+            base += int(dealt.sum())
+
+
+def places(schedule: Schedule, queue: np.ndarray, first: np.ndarray, last: np.ndarray, cells: int = 1 << 20) -> tuple[np.ndarray, ...]:
+    """Cuts token ranges [first, last) of their queues: (range, first token, number, place in the stream)."""
     out: list[tuple[np.ndarray, ...]] = []
-    for k, (given, w, whole, rounds, base) in enumerate(schedule.phases):
-        if not w[queue]:
-            continue
-        end = schedule.phases[k + 1][0][queue] if k + 1 < len(schedule.phases) else schedule.totals[queue]
-        a, b = np.maximum(first, given[queue]) - given[queue], np.minimum(last, end) - given[queue]
-        some = np.flatnonzero(a < b)
+    for alive, given, dealt, base in schedule.phases():
+        at = np.minimum(np.searchsorted(alive, queue), len(alive) - 1)
+        a, b = np.maximum(first - given[at], 0), np.minimum(last - given[at], dealt[at])
+        some = np.flatnonzero((a < b) & (alive[at] == queue))
         if not len(some):
             continue
-        a, b = a[some], b[some]
-        step = schedule.window * w[queue]
+        a, b, at = a[some], b[some], at[some]
+        steps, left = schedule.window * schedule.share[alive], schedule.totals[alive] - given
+        whole = int(schedule.share[alive].sum())
         # the last round that starts at or before a token: floor(r * step / whole) <= token
-        r0, r1 = -(-(a + 1) * whole // step) - 1, -(-b * whole // step) - 1
+        r0, r1 = -(-(a + 1) * whole // steps[at]) - 1, -(-b * whole // steps[at]) - 1
         n = r1 - r0 + 1
         which = np.repeat(np.arange(len(a)), n)
         r = r0[which] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        start = np.maximum(a[which], r * step // whole)
-        stop = np.minimum(b[which], (r + 1) * step // whole)
-        steps = schedule.window * np.asarray(w, dtype=np.int64)
-        place = base + start - r * step // whole
-        for j in range(len(w)):
-            if w[j]:
-                got = r * steps[j] // whole
-                place = place + got
-                if j < queue:
-                    left = schedule.totals[j] - given[j]
-                    place = place + np.minimum((r + 1) * steps[j] // whole, left) - got
-        full = stop > start
-        out.append((some[which][full], start[full] + given[queue], (stop - start)[full], place[full]))
+        own = at[which]
+        dealt_before = r * steps[own] // whole
+        start, stop = np.maximum(a[which], dealt_before), np.minimum(b[which], (r + 1) * steps[own] // whole)
+        full = np.flatnonzero(stop > start)
+        which, r, own, dealt_before, start, stop = (x[full] for x in (which, r, own, dealt_before, start, stop))
+        place = base + start - dealt_before
+        # what all queues gave before the round, and the queues before this one in it; `cells` bounds the table
+        order = np.argsort(r, kind="stable")
+        distinct, begin = np.unique(r[order], return_index=True)
+        ends = np.append(begin[1:], len(order))
+        for k in range(0, len(distinct), step := max(1, cells // len(alive))):
+            rows = distinct[k : k + step]
+            got = rows[:, None] * steps // whole
+            turn = np.minimum((rows[:, None] + 1) * steps // whole, left) - got
+            pieces = order[begin[k] : ends[k + len(rows) - 1]]
+            row = np.searchsorted(rows, r[pieces])
+            place[pieces] += got.sum(1)[row] + (np.cumsum(turn, 1) - turn)[row, own[pieces]]
+        out.append((some[which], start + given[own], stop - start, place))
     if not out:
         return tuple(np.zeros(0, dtype=np.int64) for _ in range(4))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
@@ -127,7 +141,7 @@ def tokenized(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iter
             yield pa.RecordBatch.from_arrays([pa.array([part] * len(at), pa.int32()), batch.column("queue"), pa.array(at, pa.int64()), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(held, pa.binary())], [x.split(" ")[0] for x in TOKENS.split(", ")])
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW, weights: Mapping[str, float] | None = None, max_queues: int = 1024) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW, weights: Mapping[str, float] | None = None) -> DataFrame:
     """The pieces of all docs (doc_id, source, text).
 
     weights: target share by source (default for those not named: 1); without it, each source's
@@ -136,21 +150,19 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW,
     spark = docs.sparkSession
     small_batches(spark)
     queue = F.coalesce(F.col("source"), F.lit(""))
-    if docs.select("source").distinct().limit(max_queues + 1).count() > max_queues:
-        queue = F.concat(F.lit("#"), F.pmod(F.xxhash64(queue), F.lit(max_queues)).cast("string"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select(queue.alias("queue"), "doc_id", "text").repartitionByRange(parts, "queue", "doc_id").sortWithinPartitions("queue", "doc_id", "text")
     held = stored(ordered.mapInArrow(lambda b: tokenized(b, tokenizer, end_id), TOKENS), "packing-tokens", compression="zstd")
     narrow = load(tokenizer).get_vocab_size() < 1 << 16
 
     sums = sorted((r["queue"], r["part"], r["n"]) for r in held.groupBy("queue", "part").agg(F.sum("n").alias("n")).collect())  # queues + parts rows at most
-    names = sorted({q for q, _, _ in sums})
-    number = {q: k for k, q in enumerate(names)}
-    totals = [sum(n for q, _, n in sums if q == name) for name in names]
+    of_queue: dict[str, int] = {}
     offsets: dict[tuple[str, int], int] = {}
-    for name in names:
-        own = [(p, n) for q, p, n in sums if q == name]
-        offsets.update(zip(((name, p) for p, _ in own), accumulate((n for _, n in own), initial=0), strict=False))
+    for q, p, n in sums:
+        offsets[q, p] = of_queue.get(q, 0)
+        of_queue[q] = offsets[q, p] + n
+    names, totals = list(of_queue), list(of_queue.values())  # in the order of names
+    number = {q: k for k, q in enumerate(names)}
     schedule = Schedule(totals, [float((weights or {}).get(q, 1)) for q in names] if weights else [float(t) for t in totals], window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,17 +173,15 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW,
                 n = np.asarray(batch.column("n"))
                 first = np.asarray(batch.column("before")) + np.array([offsets[x] for x in zip(queues, parts_, strict=True)], dtype=np.int64)
                 of = np.array([number[q] for q in queues])
-                for q in np.unique(of):
-                    own = np.flatnonzero(of == q)
-                    which, start, length, place = cut(*places(schedule, int(q), first[own], first[own] + n[own]), window)
-                    order = np.lexsort((start, which))
-                    which, start, length, place = (x[order] for x in (own[which], start, length, place))
-                    at = start - first[which]
-                    crcs, last, view = [], -1, memoryview(b"")
-                    for k, a, b in zip(which.tolist(), (4 * at).tolist(), (4 * (at + length)).tolist(), strict=True):
-                        if k != last:
-                            last, view = k, memoryview(np.frombuffer(ids[k], dtype="<u2").astype("<u4").tobytes() if narrow else ids[k])
-                        crcs.append(zlib.crc32(view[a:b]))
-                    yield pa.RecordBatch.from_arrays([pa.array([docs_[k] for k in which.tolist()], pa.int64()), pa.array(at), pa.array(length), pa.array(crcs, pa.int64()), pa.array(n[which]), pa.array(place // window), pa.array(place % window), pa.array([names[q]] * len(at), pa.string())], [x.split(" ")[0] for x in PIECES.split(", ")])
+                which, start, length, place = cut(*places(schedule, of, first, first + n), window)
+                order = np.lexsort((start, which))
+                which, start, length, place = (x[order] for x in (which, start, length, place))
+                at = start - first[which]
+                crcs, last, view = [], -1, memoryview(b"")
+                for k, a, b in zip(which.tolist(), (4 * at).tolist(), (4 * (at + length)).tolist(), strict=True):
+                    if k != last:
+                        last, view = k, memoryview(np.frombuffer(ids[k], dtype="<u2").astype("<u4").tobytes() if narrow else ids[k])
+                    crcs.append(zlib.crc32(view[a:b]))
+                yield pa.RecordBatch.from_arrays([pa.array([docs_[k] for k in which.tolist()], pa.int64()), pa.array(at), pa.array(length), pa.array(crcs, pa.int64()), pa.array(n[which]), pa.array(place // window), pa.array(place % window), pa.array([queues[k] for k in which.tolist()], pa.string())], [x.split(" ")[0] for x in PIECES.split(", ")])
 
     return held.mapInArrow(run, PIECES)
