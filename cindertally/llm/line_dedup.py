@@ -1,17 +1,25 @@
 """Line dedup by winnowing over line hashes.
 
-A document's lines (parted by line feeds, trimmed, those without a word left out) are hashed. Every
-shortest run of lines with `min_words` words or more, reaching forwards from a line or backwards
-from one, is a window; its least line hash (the last of equals) is its fingerprint, kept with the
-window's digest, so any run of min_words words that two places share has a fingerprint in common.
-Fingerprints are joined with the first place of the same one (least doc_id, then line), the match
-is extended both ways line by line, and the later place's lines in it are removed.
+A document's lines (parted by line feeds, trimmed, those without a word left out) are hashed under a
+key drawn for the run. Every shortest run of lines with `min_words` words or more, reaching forwards
+from a line or backwards from one, is a window; the place of its least line hash (the last of equals)
+is selected. There is one row for each selected place: its line hash, the fingerprint, and the
+windows that selected it. A run of min_words words that two places share holds a window, and so a
+selected place, in common.
+
+1. Selected places are counted by fingerprint. Those whose line is selected nowhere else go.
+2. The windows of the places that stay are joined, by fingerprint and window digest, with the first
+   place of the same ones (least doc_id, then line). A match is extended both ways from its
+   fingerprint, to the ends of all windows that agree; each is min_words long or more.
+3. The lines of the later places' windows are removed.
 
 So a line goes exactly if it lies in a run of min_words words or more that also stands earlier: in
-a document of lower id or further up in its own. The first place of every line stays.
+a document of lower id or further up in its own. The first place of every line stays. A passage that
+begins or ends inside a longer line is no run of lines and stays.
 
-Groups are never gathered: the first place is a minimum with partial sums, and a window that very
-many documents hold is one key of a join with one row on the other side.
+Groups are never gathered: counts and first places have partial sums, and both sides of the joins are
+stored tables, so that a fingerprint that very many documents hold can be split over tasks. What a
+document gathers is bounded by its own windows.
 
 Cases: null texts stay null, empty ones empty; blank lines stay. Repeated rows (same doc_id and
 text) are one document and treated alike; rows of one doc_id with different texts are documents of
@@ -30,16 +38,17 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 from .columns import sliced, small_batches
-from .textbytes import BASE, INVERSE, Words, mix, powers, split_words
+from .textbytes import Words, mix, new_key, split_words
 
 MIN_WORDS = 50
 LINE_FEED = np.zeros(256, dtype=bool)
 LINE_FEED[10] = True
-WINDOWS = "doc long, h long, fp long, run long, s int"
-LINES = "doc long, h long, lines binary, numbers binary"
+#: run: digest of a window; s, e: its first and last line among those with a word; a, b: among all lines.
+WINDOW = ("run long", "s int", "e int", "a int", "b int")
+PLACES = f"doc long, h long, fp long, windows array<struct<{', '.join(x.replace(' ', ':') for x in WINDOW)}>>"
 
 
-def hashed_lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def hashed_lines(texts: pa.Array, key: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, words and number (among all lines of its text) of each line with a word; and each text's first one."""
     lines, words = split_words(texts, LINE_FEED), split_words(texts)
     a, b = np.searchsorted(words.start, lines.start), np.searchsorted(words.start, lines.end)
@@ -50,7 +59,7 @@ def hashed_lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     first = np.searchsorted(full, lines.first)
     of = np.repeat(np.arange(len(first) - 1), np.diff(first))
     number = before[lines.start[full]] - before[words.ends_of[of]]
-    return trimmed.hashes(), b - a, number, first
+    return trimmed.hashes(key=key), b - a, number, first
 
 
 def windows(lines: np.ndarray, words: np.ndarray, first: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,93 +75,87 @@ def windows(lines: np.ndarray, words: np.ndarray, first: np.ndarray, min_words:
 
 
 def fingerprints(lines: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Least line hash and digest of every window."""
-    least = lines[s].copy() if len(s) else np.zeros(0, np.uint64)
+    """The place of each window's least line hash (the last of equals) and its digest."""
+    at, whole = s.copy(), mix(lines[s] + np.uint64(1))
     for k in range(1, int((e - s).max()) + 1 if len(s) else 0):
         more = np.flatnonzero(s + k <= e)
-        least[more] = np.minimum(least[more], lines[s[more] + k])
-    with np.errstate(over="ignore"):
-        run = np.zeros(len(lines) + 1, dtype=np.uint64)
-        np.cumsum(lines * powers(BASE, len(lines)), out=run[1:])
-        whole = mix((run[e + 1] - run[s]) * powers(INVERSE, len(lines) + 1)[s] + (e - s).astype(np.uint64))
-    return least, whole
+        here = s[more] + k
+        at[more] = np.where(lines[here] <= lines[at[more]], here, at[more])
+        whole[more] = mix(whole[more] ^ lines[here])
+    return at, whole
 
 
-def scan(docs: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
-    """Windows, and the line hashes of every document that has one."""
+def scan(docs: DataFrame, min_words: int) -> DataFrame:
+    """A row for each selected place: PLACES."""
+    key = new_key()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc", "h", "fp", "run", "s", "lines", "numbers"]
         for whole in batches:
             for batch in sliced(whole, "text"):
-                lines, words, number, first = hashed_lines(batch.column("text"))
+                lines, words, number, first = hashed_lines(batch.column("text"), key)
                 s, e = windows(lines, words, first, min_words)
-                fp, digest = fingerprints(lines, s, e)
-                of = np.searchsorted(first, s, side="right") - 1
-                doc, h = np.asarray(batch.column("doc_id")), np.asarray(batch.column("h"))
-                none = lambda n, t: pa.nulls(n, t)
-                yield pa.RecordBatch.from_arrays([pa.array(doc[of]), pa.array(h[of]), pa.array(fp.astype(np.int64)), pa.array(digest.astype(np.int64)), pa.array((s - first[of]).astype(np.int32)), none(len(s), pa.binary()), none(len(s), pa.binary())], names)
-                some = np.unique(of)
-                held = [lines[first[k] : first[k + 1]].tobytes() for k in some]
-                rows = [number[first[k] : first[k + 1]].astype(np.int32).tobytes() for k in some]
-                k = len(some)
-                yield pa.RecordBatch.from_arrays([pa.array(doc[some]), pa.array(h[some]), none(k, pa.int64()), none(k, pa.int64()), none(k, pa.int32()), pa.array(held, pa.binary()), pa.array(rows, pa.binary())], names)
-
-    keyed = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("h"))
-    both = stored(keyed.mapInArrow(run, "doc long, h long, fp long, run long, s int, lines binary, numbers binary"), "line-windows", compression="zstd")
-    return both.filter("lines is null").select("doc", "h", "fp", "run", "s"), both.filter("lines is not null").select("doc", "h", "lines", "numbers").dropDuplicates(["doc", "h"])
-
-
-def extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Line numbers that matches (doc, h, place, source place, both documents' lines) remove."""
+                at, digest = fingerprints(lines, s, e)
+                order = np.lexsort((s, at))
+                s, e, at, digest = s[order], e[order], at[order], digest[order]
+                begin = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else at
+                place = at[begin]
+                of = np.searchsorted(first, place, side="right") - 1
+                base = first[np.searchsorted(first, s, side="right") - 1]
+                held = [digest.astype(np.int64), *((x).astype(np.int32) for x in (s - base, e - base, number[s], number[e]))]
+                items = pa.StructArray.from_arrays([pa.array(x) for x in held], [x.split(" ")[0] for x in WINDOW])
+                lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(at)), pa.int32()), items)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(of)), batch.column("h").take(pa.array(of)), pa.array(lines[place].astype(np.int64)), lists], ["doc", "h", "fp", "windows"])
+
+    keyed = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    return stored(keyed.mapInArrow(run, PLACES), "line-places", compression="zstd")
+
+
+def masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each document's matched windows: whether each line lies in one, and how many lines with a word do."""
     for batch in batches:
-        rows = []
-        for r in batch.to_pylist():
-            own, other = np.frombuffer(r["lines"], dtype=np.uint64), np.frombuffer(r["source_lines"], dtype=np.uint64)
-            shift = r["shift"]
-            a, b = max(0, shift), min(len(own), len(other) + shift)
-            same = np.zeros(len(own) + 2, dtype=bool)
-            same[a + 1 : b + 1] = own[a:b] == other[a - shift : b - shift]
-            # each seed's run of equal lines reaches from the last difference before it to the first after it
-            parts = np.flatnonzero(~same) - 1
-            gone: set[int] = set()
-            for s in r["seeds"]:
-                k = int(np.searchsorted(parts, s))
-                gone.update(range(int(parts[k - 1]) + 1, int(parts[k])))
-            numbers = np.frombuffer(r["numbers"], dtype=np.int32)
-            rows.append((r["doc"], r["h"], [int(numbers[k]) for k in sorted(gone)]))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int32())), strict=True)], ["doc", "h", "gone"])
+        out = []
+        for doc, h, found in zip(*(batch.column(c).to_pylist() for c in ("doc", "h", "found")), strict=True):
+            s, e, a, b = (np.array([r[c] for r in found], dtype=np.int64) for c in "seab")
+            edges = np.zeros(int(b.max()) + 2, dtype=np.int64)
+            np.add.at(edges, a, 1)
+            np.add.at(edges, b + 1, -1)
+            own = np.zeros(int(e.max()) + 2, dtype=np.int64)
+            np.add.at(own, s, 1)
+            np.add.at(own, e + 1, -1)
+            out.append((doc, h, pa.array(np.cumsum(edges)[:-1] > 0), int((np.cumsum(own) > 0).sum())))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.bool_()), pa.int64()), strict=True)], ["doc", "h", "mask", "gone"])
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc, h (xxhash64 of the text) and the numbers of the lines to remove, sorted."""
+    """doc, h (xxhash64 of the text), a mask of the lines in later repeats, and how many with a word these are."""
     small_batches(docs.sparkSession)
-    found, lines = scan(docs, min_words)
+    places = scan(docs, min_words)
+    place = F.struct("doc", "h", F.col("windows")[0]["s"])
+    twice = places.groupBy("fp").agg(F.min(place).alias("p"), F.max(place).alias("last")).filter("p <> last").select("fp")
+    twice = stored(twice, "line-twice", compression="zstd")
+    found = stored(places.join(twice.hint("merge"), "fp").select("doc", "h", "fp", F.explode("windows").alias("w")).select("doc", "h", "fp", "w.*"), "line-windows", compression="zstd")
     place = F.struct("doc", "h", "s")
     first = found.groupBy("fp", "run").agg(F.min(place).alias("p"), F.max(place).alias("last")).filter("p <> last").select("fp", "run", "p")
-    later = found.join(first, ["fp", "run"]).filter(place != F.col("p"))
-    # one row for each pair of documents and shift: the seeds that the windows' starts give
-    seeds = later.groupBy("doc", "h", F.col("p.doc").alias("doc0"), F.col("p.h").alias("h0"), (F.col("s") - F.col("p.s")).alias("shift")).agg(F.collect_set("s").alias("seeds"))
-    source = lines.select(F.col("doc").alias("doc0"), F.col("h").alias("h0"), F.col("lines").alias("source_lines"))
-    matched = seeds.join(lines, ["doc", "h"]).join(source, ["doc0", "h0"])
-    gone = matched.select("doc", "h", "shift", "seeds", "lines", "numbers", "source_lines").mapInArrow(extended, "doc long, h long, gone array<int>")
-    return gone.groupBy("doc", "h").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
+    first = stored(first, "line-first", compression="zstd")
+    later = found.join(first.hint("merge"), ["fp", "run"]).filter(place != F.col("p"))
+    matched = later.groupBy("doc", "h").agg(F.collect_set(F.struct("s", "e", "a", "b")).alias("found"))  # a document's own windows at most
+    return matched.mapInArrow(masks, "doc long, h long, mask array<boolean>, gone long")
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """All columns of docs, and kept_text, n_lines and n_removed (in place of any of these names)."""
     gone = stored(repeats(docs, min_words), "line-repeats", compression="zstd").withColumnRenamed("h", "key")
-    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("doc"), F.xxhash64("text").alias("key"))
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("key"))
     # by shuffle at any size: repeats grow with the input
     joined = keyed.join(gone.hint("merge"), ["doc", "key"], "left")
     text = F.col("row.text")
-    left = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.coalesce(F.get("mask", i), F.lit(False)) | ~x.rlike("[^ \\x09-\\x0D]")), "\n")
     made = joined.select(
         "row",
-        F.when(F.col("gone").isNull(), text).otherwise(left).alias("kept_text"),
+        F.when(F.col("mask").isNull(), text).otherwise(left).alias("kept_text"),
         F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce("gone", F.lit(0)).cast("long").alias("n_removed"),
     )
     added = ("kept_text", "n_lines", "n_removed")
     return made.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in added], *added)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import secrets
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -12,26 +14,16 @@ SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
+#: Bytes of a word that are hashed eight at a time; longer words go through a cryptographic hash.
+LANES = 8
+LONG = 8 * LANES
+#: What is kept of a lane that holds 0 to 8 bytes of a word.
+KEPT = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
-BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-with np.errstate(over="ignore"):
-    INVERSE = BASE
-    for _ in range(6):
-        INVERSE = INVERSE * (np.uint64(2) - BASE * INVERSE)
-_powers: dict[int, np.ndarray] = {}
 
-
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base ** 0..n-1 modulo 2 ** 64."""
-    have = _powers.get(int(base))
-    if have is None or len(have) < n:
-        size = max(1 << 16, n + n // 8)
-        have = np.full(size, base, dtype=np.uint64)
-        have[0] = 1
-        with np.errstate(over="ignore"):
-            np.multiply.accumulate(have, out=have)
-        _powers[int(base)] = have
-    return have[:n]
+def new_key() -> int:
+    """A key for the hashes of one run. Drawn anew, so that no text can be written to collide."""
+    return secrets.randbits(63)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -51,14 +43,35 @@ class Words:
     start: np.ndarray
     end: np.ndarray
     first: np.ndarray  # n + 1: words of text k are first[k]:first[k + 1]
-
-    def hashes(self, lower: bool = False) -> np.ndarray:
-        """64-bit hash of each word's bytes."""
-        raw = LOWER[self.raw] if lower else self.raw
-        with np.errstate(over="ignore"):
-            run = np.zeros(len(raw) + 1, dtype=np.uint64)
-            np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(raw)), out=run[1:])
-            return mix((run[self.end] - run[self.start]) * powers(INVERSE, len(raw) + 1)[self.start] + (self.end - self.start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    wide: np.ndarray | None = None  # the eight bytes from every place of raw on
+    lower: bool = False
+
+    def lane(self, k: int, some: np.ndarray | slice = slice(None), lower: bool = False) -> np.ndarray:
+        """Bytes 8k to 8k + 7 of these words as a number; what lies beyond a word's end is 0."""
+        if self.wide is None or self.lower != lower:
+            held = np.zeros(len(self.raw) + 8 * (LANES + 1), dtype=np.uint8)
+            held[: len(self.raw)] = LOWER[self.raw] if lower else self.raw
+            self.wide, self.lower = np.ndarray((len(self.raw) + 8 * LANES,), dtype="<u8", buffer=held, strides=(1,)), lower
+        start = self.start[some] + 8 * k
+        return self.wide[start] & KEPT[np.clip(self.end[some] - start, 0, 8)]
+
+    def hashes(self, lower: bool = False, key: int = 0) -> np.ndarray:
+        """64-bit keyed hash of each word's bytes: each lane is mixed into what came before it."""
+        size = self.end - self.start
+        h = mix(size.astype(np.uint64) ^ np.uint64(key))
+        if len(h):
+            h = mix(h ^ self.lane(0, lower=lower))
+        for k in range(1, LANES):
+            some = np.flatnonzero(size > 8 * k)
+            if not len(some):
+                break
+            h[some] = mix(h[some] ^ self.lane(k, some, lower))
+        over = np.flatnonzero(size > LONG)
+        if len(over):
+            data = (LOWER[self.raw] if lower else self.raw).tobytes()
+            own = key.to_bytes(8, "little")
+            h[over] = [int.from_bytes(blake2b(data[a:b], digest_size=8, key=own).digest(), "little") for a, b in zip(self.start[over].tolist(), self.end[over].tolist(), strict=True)]
+        return h
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
