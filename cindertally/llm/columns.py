@@ -47,6 +47,16 @@ def without_breaks(text: Column) -> Column:
     return text
 
 
+#: Rows of ids that may be broadcast, by count.
+BROADCAST_MOST = 1 << 21
+
+
+def sized(ids: DataFrame, most: int = BROADCAST_MOST) -> DataFrame:
+    """ids (a few numbers a row), to be broadcast in a join if there are `most` at most; else to be shuffled."""
+    few = ids.limit(most + 1).count() <= most
+    return F.broadcast(ids) if few else ids.hint("merge")
+
+
 def id_bitmap(ids: DataFrame, bits: int = 1 << 25) -> np.ndarray:
     """A bitmap of hashed longs, of fixed size: `bits` / 8 bytes at any input size.
 

@@ -63,10 +63,15 @@ def op8_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target documents of the quality rules: what labels call good, less the quarter held out for reports."""
+    labels = table(spark, sf_dir, "labels")
+    return labels.filter((F.col("quality") == 1) & ~quality_gam.held_out(F.col("doc_id")))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, likelihood ratio and verdict of all documents; the target is what labels call good."""
-    trusted = table(spark, sf_dir, "labels").filter(F.col("quality") == 1)
-    return quality_rules.by_words(table(spark, sf_dir, "documents"), trusted)
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"), trusted(spark, sf_dir))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,15 @@
-"""Quality rules whose n-grams are of the words themselves."""
+"""Quality rules: the ratio over n-grams of words."""
 
 import math
+import random
+import re
 from collections import Counter
 
-from cindertally.llm import quality_rules, queries
+from pyspark.sql import functions as F
+
+from cindertally.llm import quality_gam, quality_rules, queries
+
+BAD = "qxzjkv"
 
 
 def grams(text):
@@ -11,34 +17,64 @@ def grams(text):
     return [*((x,) for x in w), *zip(w, w[1:], strict=False)]
 
 
-def test_word_ratio_equals_its_definition(make, spark):
-    texts = {1: "ab cd 12 ef", 2: "xy zw 34 uv", 3: "ab xy, 34 Ef", 4: ""}
-    raw, target, b = Counter(), Counter(), 1 << 14
+def test_ratio_equals_its_definition(make, spark):
+    texts = {1: "ab cd 12 ef", 2: "xy zw 34 uv", 3: "ab xy, 34 Ef", 4: "", 5: None, 6: "ab"}
+    raw, target, b = Counter(), Counter(), 1 << 16
     for i, t in texts.items():
-        raw.update(grams(t))
-        target.update(grams(t) if i in (1, 3) else [])
-    ratio = lambda g: math.log((target[g] + 1) / (sum(target.values()) + b)) - math.log((raw[g] + 1) / (sum(raw.values()) + b))
-    got = {r["doc_id"]: r["llr"] for r in quality_rules.by_words(make(list(texts.items())), spark.createDataFrame([(1,), (3,), (3,)], "doc_id long"), b, 0.0).collect()}
+        raw.update(grams(t or ""))
+        target.update(grams(t or "") if i in (1, 3) else [])
+    ratio = lambda g: math.log(0.9 * target[g] / sum(target.values()) / ((raw[g] + 1) / (sum(raw.values()) + b)) + 0.1)
+    rows = quality_rules.quality_rules(make(list(texts.items())), spark.createDataFrame([(1,), (3,), (3,), (None,)], "doc_id long"), b, 0.0).collect()
+    got = {r["doc_id"]: r["llr"] for r in rows}
+    assert len(rows) == 6
     for i, t in texts.items():
-        assert abs(got[i] - (sum(map(ratio, grams(t))) / len(grams(t)) if t else 0)) < 2e-6
+        g = grams(t or "")
+        assert abs(got[i] - (sum(map(ratio, g)) / len(g) if g else 0)) < 2e-6
     assert got[1] > got[2]  # equal in shape
+    none = quality_rules.quality_rules(make(list(texts.items())), spark.createDataFrame([], "doc_id long"), b, 0.0).collect()
+    assert {r["llr"] for r in none} == {0.0}
+
 
+def test_shuffled_ids_give_the_same(make, spark, docs, sf, monkeypatch):
+    trusted = queries.trusted(spark, sf)
+    few = sorted(map(tuple, quality_rules.quality_rules(docs, trusted, 1 << 12).collect()))
+    from cindertally.llm import columns
 
-def test_query_sees_words(spark, tmp_path):
-    good, bad = (" ".join(f"{x}{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60)) for x in ("good", "evil"))
-    rows = [(i, (good, bad)[i % 2], "en", "s", 1) for i in range(80)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(i, 1 - i % 2) for i in range(80)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
-    got = queries.QUERIES["op9_quality_rules"](spark, str(tmp_path)).collect()
-    assert all(r["kept"] == (r["doc_id"] % 2 == 0) for r in got) and len(got) == 80
+    monkeypatch.setattr(columns, "sized", lambda ids, most=0: ids.hint("merge"))
+    monkeypatch.setattr(quality_rules, "sized", columns.sized)
+    assert few == sorted(map(tuple, quality_rules.quality_rules(docs, trusted, 1 << 12).collect()))
 
 
-def test_threshold_follows_from_held_out_documents(spark):
+def test_twins_of_random_letters_are_rejected(spark):
+    """Documents with every letter replaced have the same shapes and none of the words."""
     sf = "/root/testdata/sf0.01"
-    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
-    trusted = labels.filter("quality = 1")
-    ids = {r[0] for r in quality_rules.held_out(trusted).collect()}
-    rows = [r for r in quality_rules.by_words(docs, trusted).collect() if not r["base_failed"]]
+    docs, good = spark.read.parquet(f"{sf}/documents.parquet"), queries.trusted(spark, sf)
+    rnd = random.Random(1)
+    own = docs.join(good, "doc_id").select(docs.columns).orderBy("doc_id").limit(40).collect()
+    twins = [(10_000_000 + r["doc_id"], re.sub("[a-z]", lambda m: rnd.choice(BAD), r["text"]), r["lang"], r["source"], r["n_chars"]) for r in own]
+    both = docs.union(spark.createDataFrame(twins, docs.schema))
+    rows = quality_rules.quality_rules(both, good).filter("not base_failed").collect()
+    ids = {r["doc_id"] for r in own}
+    assert not any(r["kept"] for r in rows if r["doc_id"] >= 10_000_000)
     kept = [r["kept"] for r in rows if r["doc_id"] in ids]
-    assert 0 < len(ids) < trusted.count() and 0.9 <= sum(kept) / len(kept) < 1
-    assert quality_rules.by_words(docs.limit(0), trusted).count() == 0
+    assert sum(kept) >= len(kept) - 1
+
+
+def test_labels_that_neither_target_nor_threshold_saw(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality_rules.quality_rules(docs, queries.trusted(spark, sf)).join(labels.filter(quality_gam.held_out(F.col("doc_id"))), "doc_id").filter("not base_failed").collect()
+    good, bad = ([r["kept"] for r in rows if r["quality"] == q] for q in (1, 0))
+    assert sum(good) >= 0.95 * len(good) and sum(bad) <= 0.15 * len(bad) and len(bad) > 3
+
+
+def test_accepted_returns_whole_rows(docs, odd, make, spark, sf):
+    good = queries.trusted(spark, sf)
+    clash = docs.selectExpr("*", "1 as _d", "2 as _h", "3 as row", "4 as key", "5 as kept")
+    want = {r["doc_id"] for r in quality_rules.quality_rules(docs, good).filter("kept").collect()}
+    got = quality_rules.accepted(clash, good)
+    assert got.columns == clash.columns and sorted(r["doc_id"] for r in got.collect()) == sorted(want) and want
+    long = " ".join(f"w{k}" for k in range(60))
+    twice = make([(1, long), (1, long), (None, long), (2, None), (3, "short")])
+    assert sorted((r["doc_id"] for r in quality_rules.accepted(twice, good, threshold=-9.0).collect()), key=str) == [1, 1, None]
+    assert quality_rules.accepted(make([]), good).count() == 0
