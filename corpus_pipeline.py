@@ -9,10 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cindertally.llm import line_dedup, ngram_join, packing, quality_gam, quality_rules
-from cindertally.llm.queries import tokenizer
+from cindertally.llm.queries import tokenizer, trusted
 from cindertally.session import stored, table
 
 
@@ -23,7 +22,7 @@ def by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the likelihood ratio keep."""
-    return quality_rules.accepted(docs, table(spark, sf_dir, "labels").filter(F.col("quality") == 1))
+    return quality_rules.accepted(docs, trusted(spark, sf_dir))
 
 
 def by_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
