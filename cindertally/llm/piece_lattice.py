@@ -1,23 +1,24 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-Words (cut before white space, and around line feeds: no piece reaches over these) are gathered
-from all texts and made distinct. For each, every substring of bounded length is exploded and
-equi-joined to the piece table, which is of the vocabulary's size and broadcast; the edges found
-are grouped by word again (the words are dealt by hash once, so grouping moves nothing) and folded
-to ids:
+Texts are cut into units wherever two neighbouring characters stand together in no piece: no merge and
+no path reaches over such a place, so the units of a text have the ids of the whole. Units are gathered
+from all texts and made distinct. For each, every substring of bounded length is exploded and equi-joined
+to the piece table, which is of the vocabulary's size and broadcast; the edges found are grouped by unit
+again (units are dealt by hash once, so grouping moves nothing) and folded to ids:
 - `unigram` models: Viterbi, a Spark higher-order aggregate over the edges in order of their ends;
 - `bpe` models: the library joins neighbouring symbols in order of score, which no sum over a path
   gives. The same edges are folded by that rule, in Arrow batches.
-The most frequent words' ids (`hot` at most) go to every worker; the rest are joined by word and
-come back to their documents, whose pieces are then laid end to end. Decoding looks pieces up by id.
+The most frequent units' ids (`hot` at most) go to every worker. A text of such units is laid out where
+it lies; of the others, the ids with holes are stored, the holes are joined to the table of units, and
+only these texts' ids (not the texts) are shuffled. Decoding looks pieces up by id.
 
-What is shuffled: distinct words by partition, rare words, their ids, and the texts these come back
-to; about 2.5 times a compressed input.
+Units are found among the hot ones by 64-bit hashes under a key drawn for the run; all other joins are on
+the units themselves.
 
 Cases: null and empty texts have no ids. Characters without a piece become byte pieces, or
 the unknown id where the model has none. Repeated rows are encoded each. An empty table gives an empty result. Other
-columns play no part. `decodes` is false where a text itself holds the boundary sign, which the
-model turns into a space.
+columns play no part. A unit may be of any length. `decodes` is false where a text itself holds the
+boundary sign, which the model turns into a space.
 """
 
 from __future__ import annotations
@@ -25,16 +26,18 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stored
 from .columns import sliced, small_batches
 from .encoding import spread
-from .textbytes import Words, text_bytes
+from .textbytes import Words, new_key, text_bytes
 
 BOUNDARY = "▁"
 
@@ -58,27 +61,33 @@ def piece_table(spark: SparkSession, path: str) -> DataFrame:
 START, LENGTH, NO_ID = 1 << 32, 1 << 24, (1 << 24) - 1
 
 
-def edges(words: DataFrame, pieces: DataFrame, longest: int, packed: bool = False) -> DataFrame:
-    """word, n (its uses) and its lattice, from the columns word and n: array of (end, start, id, score), or of packed numbers."""
+def spans(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
+    """word, n (its uses), s (first character, from 1), l and the id and score of every piece in a word.
+
+    A single character stays without a piece (id null), so that no word is lost.
+    """
     size = F.length("word")
     starts = words.select("word", "n", F.explode(F.sequence(F.lit(1), size)).alias("s"))
-    spans = starts.select("word", "n", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), size - F.col("s") + 1))).alias("l"))
-    # a single character stays without a piece (id null), so that no word is lost
-    found = spans.withColumn("piece", F.substring(F.col("word"), F.col("s"), F.col("l"))).join(F.broadcast(pieces), "piece", "left").filter("id is not null or l = 1")
-    if packed:
-        edge = (F.col("s") - 1).cast("long") * START + F.col("l") * LENGTH + F.coalesce("id", F.lit(NO_ID))
-        return found.groupBy("word", "n").agg(F.collect_list(edge).alias("edges"))
-    return found.groupBy("word", "n").agg(F.collect_list(F.struct((F.col("s") + F.col("l") - 1).alias("end"), (F.col("s") - 1).alias("start"), "id", "score")).alias("edges"))
+    cut = starts.select("word", "n", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), size - F.col("s") + 1))).alias("l"))
+    return cut.withColumn("piece", F.substring(F.col("word"), F.col("s"), F.col("l"))).join(F.broadcast(pieces), "piece", "left").filter("id is not null or l = 1")
+
+
+def edges(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
+    """word, n and its lattice as an array of packed numbers."""
+    if longest >= 256:
+        raise ValueError("pieces of 256 characters or more don't fit a packed edge")
+    edge = (F.col("s") - 1).cast("long") * START + F.col("l") * LENGTH + F.coalesce("id", F.lit(NO_ID))
+    return spans(words, pieces, longest).groupBy("word", "n").agg(F.collect_list(edge).alias("edges"))
 
 
-def viterbi(word: Column, lattice: Column, unknown: float, zero_byte: int | None, unknown_id: int = 0) -> Column:
-    """The ids on the best path through a word's edges; a fold over its character positions.
+def viterbi(word: Column, lattice: Column, longest: int, unknown: float, zero_byte: int | None, unknown_id: int = 0) -> Column:
+    """The ids on the best path through a word: a fold over its positions, and one back over the choices.
 
-    Every position keeps the best score and path up to it. A single character without a piece is an
-    edge of the unknown score; it becomes byte pieces (zero_byte is the id of <0x00>) or the unknown
-    id. Of equal scores the edge with the earliest start stays.
+    lattice: for each position in order the edges (start, id, score) that end there. The state holds
+    the best scores of the last `longest` positions only, so that the work is linear in the edges. A
+    single character without a piece is an edge of the unknown score; it becomes byte pieces
+    (zero_byte is the id of <0x00>) or the unknown id. Of equal scores the earliest start stays.
     """
-    size = F.length(word)
 
     def in_bytes(at: Column) -> Column:
         if zero_byte is None:
@@ -86,22 +95,33 @@ def viterbi(word: Column, lattice: Column, unknown: float, zero_byte: int | None
         pairs = F.hex(F.substring(word, at, F.lit(1)).cast("binary"))
         return F.transform(F.sequence(F.lit(1), F.length(pairs), F.lit(2)), lambda k: (F.conv(F.substring(pairs, k, F.lit(2)), 16, 10) + zero_byte).cast("int"))
 
-    one = F.array(F.struct(F.lit(0.0).cast("double").alias("score"), F.array().cast("array<int>").alias("ids")))
-    def step(state: Column, at: Column) -> Column:
-        own = F.filter(lattice, lambda e: e.getField("end") == at)
-        here = F.transform(own, lambda e: F.struct((F.get(state, e.getField("start")).getField("score") + e.getField("score").cast("double")).alias("score"), (-e.getField("start")).alias("s"), e.getField("id").alias("id")))
-        single = F.exists(own, lambda e: e.getField("start") == at - 1)
-        spare = F.array(F.struct((F.get(state, at - 1).getField("score") + F.lit(unknown)).alias("score"), (1 - at).alias("s"), F.lit(-1).alias("id")))
-        best = F.array_max(F.when(single, here).otherwise(F.concat(here, spare)))
-        return F.concat(state, F.transform(F.array(best), lambda b: F.struct(b.getField("score").alias("score"), F.concat(F.get(state, -b.getField("s")).getField("ids"), F.when(b.getField("id") < 0, in_bytes(at)).otherwise(F.array(b.getField("id")))).alias("ids"))))
+    def forward(state: Column, x: Column) -> Column:
+        scores, n, tail = state.getField("scores"), F.size(state.getField("scores")), state.getField("tail")
+        full = F.size(tail) >= 128  # choices are kept in parts: adding one copies a part, not all
+        here = F.transform(x.getField("own"), lambda e: F.struct((F.get(scores, n - (x.getField("end") - e.getField("start"))) + F.coalesce(e.getField("score").cast("double"), F.lit(unknown))).alias("score"), (-e.getField("start")).alias("s"), F.coalesce(e.getField("id"), F.lit(-1)).alias("id")))
+        made = F.transform(F.array(F.array_max(here)), lambda b: F.struct(F.slice(F.concat(scores, F.array(b.getField("score"))), F.greatest(n + 2 - longest, F.lit(1)), F.lit(longest)).alias("scores"), F.when(full, F.concat(state.getField("done"), F.array(tail))).otherwise(state.getField("done")).alias("done"), F.concat(F.when(full, nothing).otherwise(tail), F.array(F.struct((-b.getField("s")).alias("start"), b.getField("id").alias("id")))).alias("tail")))
+        return F.get(made, 0)
 
-    return F.aggregate(F.sequence(F.lit(1), size), one, step, lambda state: F.element_at(state, -1).getField("ids"))
+    nothing = F.array().cast("array<struct<start:int,id:int>>")
+    start = F.struct(F.array(F.lit(0.0).cast("double")).alias("scores"), F.array().cast("array<array<struct<start:int,id:int>>>").alias("done"), nothing.alias("tail"))
+    back = F.aggregate(lattice, start, forward, lambda state: F.flatten(F.concat(state.getField("done"), F.array(state.getField("tail")))))
+
+    def backward(state: Column, choices: Column) -> Column:
+        at = state.getField("at")
+        edge = F.get(choices, at - 1)
+        own = F.when(edge.getField("id") < 0, in_bytes(at)).otherwise(F.array(edge.getField("id")))
+        return F.when(at > 0, F.struct(edge.getField("start").alias("at"), F.concat(own, state.getField("ids")).alias("ids"))).otherwise(state)
+
+    ids = F.transform(F.array(back), lambda choices: F.aggregate(choices, F.struct(F.size(choices).alias("at"), F.array().cast("array<int>").alias("ids")), lambda state, _: backward(state, choices), lambda state: state.getField("ids")))
+    return F.get(ids, 0)
 
 
 def unigram_ids(words: DataFrame, pieces: DataFrame, longest: int, unknown: float, zero_byte: int | None) -> DataFrame:
     """word, n, ids by Viterbi."""
-    lattice = edges(words, pieces, longest).select("word", "n", F.filter("edges", lambda e: e.getField("id").isNotNull()).alias("edges"))
-    return lattice.select("word", "n", viterbi(F.col("word"), F.col("edges"), unknown, zero_byte).alias("ids"))
+    end = (F.col("s") + F.col("l") - 1).alias("end")
+    ends = spans(words, pieces, longest).groupBy("word", "n", end).agg(F.collect_list(F.struct((F.col("s") - 1).alias("start"), "id", "score")).alias("own"))
+    lattice = ends.groupBy("word", "n").agg(F.sort_array(F.collect_list(F.struct("end", "own"))).alias("lattice"))
+    return lattice.select("word", "n", viterbi(F.col("word"), F.col("lattice"), longest, unknown, zero_byte).alias("ids"))
 
 
 SPAN = 1 << 24
@@ -180,56 +200,92 @@ def bpe_ids(words: DataFrame, pieces: DataFrame, longest: int, byte_id: dict[int
                 out.append(own)
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(out, pa.list_(pa.int32()))], ["word", "n", "ids"])
 
-    return edges(words, pieces, longest, packed=True).mapInArrow(run, "word string, n long, ids array<int>")
+    return edges(words, pieces, longest).mapInArrow(run, "word string, n long, ids array<int>")
 
 
-def pieces_of(texts: pa.Array) -> Words:
-    """Words of texts that begin with a space (empty ones apart): cut before runs of spaces and around line feeds."""
+@lru_cache(maxsize=2)
+def neighbours(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of a model's pieces, and which two of them (by place; the last is any other) stand together in one."""
+    model = processor(path)
+    texts = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
+    code = np.frombuffer("\0".join(texts).encode("utf-32-le"), dtype="<u4")
+    chars = np.unique(code[code > 0])
+    at = np.searchsorted(chars, code)
+    meet = np.zeros((len(chars) + 1, len(chars) + 1), dtype=bool)
+    both = (code[1:] > 0) & (code[:-1] > 0)
+    meet[at[:-1][both], at[1:][both]] = True
+    return chars, meet
+
+
+def pieces_of(texts: pa.Array, path: str) -> Words:
+    """Units of texts that begin with a space (empty ones apart): cut where two characters stand together in no piece."""
+    chars, meet = neighbours(path)
     raw, ends = text_bytes(texts)
-    begins = np.zeros(len(raw), dtype=bool)
-    if len(raw):
-        begins[1:] = ((raw[1:] == 0x20) & (raw[:-1] != 0x20)) | (raw[1:] == 10) | (raw[:-1] == 10)
-        begins[ends[:-1][np.diff(ends) > 0]] = True
-    start = np.flatnonzero(begins)
+    code = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), dtype="<u4").copy()
+    place = np.concatenate([[0], np.cumsum(1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))])  # of each character in raw
+    code[code == 0x20] = ord(BOUNDARY)
+    at = np.minimum(np.searchsorted(chars, code), len(chars) - 1)
+    at[chars[at] != code] = len(chars)
+    begins = np.ones(len(code), dtype=bool)
+    begins[1:] = ~meet[at[:-1], at[1:]]
+    begins[np.searchsorted(place, ends[:-1][np.diff(ends) > 0])] = True
+    start = place[np.flatnonzero(begins)]
     end = np.append(start[1:], len(raw)) if len(start) else start
     return Words(raw, ends, start, end, np.searchsorted(start, ends))
 
 
 def spaced(docs: DataFrame) -> DataFrame:
-    """doc_id, h (of the text), body: the text with the leading space that the model puts before it."""
+    """doc_id, body: the text with the leading space that the model puts before it."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", F.xxhash64(text).alias("h"), F.when(text == "", "").otherwise(F.concat(F.lit(" "), text)).alias("body"))
+    return docs.select("doc_id", F.when(text == "", "").otherwise(F.concat(F.lit(" "), text)).alias("body"))
 
 
-def distinct_words(docs: DataFrame) -> DataFrame:
-    """word (spaces as boundary signs) and n, its uses: counted by batch, then by hash."""
+def distinct_words(docs: DataFrame, path: str, most: int = 200_000) -> DataFrame:
+    """word (spaces as boundary signs) and n, its uses: counted by task (`most` words at a time), then by hash."""
+    key = new_key()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: dict[int, int] = {}
+        words: dict[int, str] = {}
+
+        def given() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([words[h] for h in met], pa.string()), pa.array(met.values(), pa.int64())], ["word", "n"])
+
         for whole in batches:
             for batch in sliced(whole, "body", 4 << 20):
-                w = pieces_of(batch.column("body"))
-                _, place, n = np.unique(w.hashes(), return_index=True, return_counts=True)
+                w = pieces_of(batch.column("body"), path)
+                unique, place, n = np.unique(w.hashes(key=key), return_index=True, return_counts=True)
                 data = w.raw.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([data[a:b].decode().replace(" ", BOUNDARY) for a, b in zip(w.start[place].tolist(), w.end[place].tolist(), strict=True)], pa.string()), pa.array(n, pa.int64())], ["word", "n"])
+                for h, a, b, c in zip(unique.tolist(), w.start[place].tolist(), w.end[place].tolist(), n.tolist(), strict=True):
+                    if h in met:
+                        met[h] += c
+                    else:
+                        met[h], words[h] = c, data[a:b].decode().replace(" ", BOUNDARY)
+                if len(met) > most:
+                    yield given()
+                    met, words = {}, {}
+        yield given()
 
     return spaced(docs).select("body").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Hot:
-    """Ids of the most frequent words, looked up by the hash of their bytes."""
+    """Ids of the most frequent words, looked up by the keyed hash of their bytes."""
 
     def __init__(self, rows: pa.Table):
         words = pa.array([w.replace(BOUNDARY, " ") for w in rows["word"].to_pylist()], pa.string())
         raw, ends = text_bytes(words)
-        key = Words(raw, ends, ends[:-1], ends[1:], ends).hashes()
+        self.secret = new_key()
+        key = Words(raw, ends, ends[:-1], ends[1:], ends).hashes(key=self.secret)
         order = np.argsort(key)
         ids = rows["ids"].combine_chunks()
         n = np.diff(np.asarray(ids.offsets)).astype(np.int64)
         self.key, self.n = key[order], n[order]
         self.at, self.pool = (np.cumsum(n) - n)[order], np.asarray(ids.flatten()).astype(np.int32)
 
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Position of each hash, and whether it is there."""
+    def find(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each word, and whether it is there."""
+        hashes = w.hashes(key=self.secret)
         pos = np.searchsorted(self.key, hashes)
         if not len(self.key):
             return pos, np.zeros(len(hashes), dtype=bool)
@@ -237,6 +293,32 @@ class Hot:
         return pos, self.key[pos] == hashes
 
 
+@lru_cache(maxsize=2)
+def piece_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each id's bytes (with spaces for boundary signs) begin, how many they are, and all bytes."""
+    model = processor(path)
+    texts = [bytes([int(model.id_to_piece(i)[3:5], 16)]) if model.is_byte(i) else model.id_to_piece(i).replace(BOUNDARY, " ").encode() for i in range(model.get_piece_size())]
+    n = np.array([len(x) for x in texts])
+    return np.cumsum(n) - n, n, np.frombuffer(b"".join(texts), dtype=np.uint8)
+
+
+def decoded(ids: np.ndarray, path: str) -> np.ndarray:
+    """The bytes of ids, with the leading space."""
+    at, n, pool = piece_bytes(path)
+    return pool[spread(at[ids], n[ids])]
+
+
+def laid(top: Hot, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of all hot words in order, how many each word has, and which words are hot."""
+    pos, known = top.find(w)
+    n = np.where(known, top.n[pos] if len(top.key) else 0, 0)
+    return top.pool[spread(top.at[pos[known]], n[known])] if known.any() else np.zeros(0, np.int32), n, known
+
+
+ENCODED = "doc_id long, n_bytes long, ids binary, decodes boolean"
+HOLED = "row long, doc_id long, n_bytes long, digest binary, ids binary, places array<int>, words array<string>"
+
+
 def encode(docs: DataFrame, path: str, kind: str = "bpe", hot: int = 1 << 18) -> DataFrame:
     """doc_id, n_bytes, ids, and decodes (whether the ids give the text back) of every document."""
     spark = docs.sparkSession
@@ -244,7 +326,7 @@ def encode(docs: DataFrame, path: str, kind: str = "bpe", hot: int = 1 << 18) ->
     model = processor(path)
     pieces = piece_table(spark, path)
     longest = max(len(model.id_to_piece(i)) for i in range(model.get_piece_size()))
-    words = distinct_words(docs)
+    words = distinct_words(docs, path)
     byte_id = {int(model.id_to_piece(i)[3:5], 16): i for i in range(model.get_piece_size()) if model.is_byte(i)}
     if kind == "bpe":
         table = bpe_ids(words, pieces, longest, byte_id, [-model.get_score(i) for i in range(model.get_piece_size())])
@@ -255,55 +337,71 @@ def encode(docs: DataFrame, path: str, kind: str = "bpe", hot: int = 1 << 18) ->
     top = Hot(table.orderBy(F.desc("n"), "word").limit(hot).select("word", "ids").toArrow())  # `hot` rows at most
     body = spaced(docs)
 
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def whole_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts of hot words alone."""
         for whole in batches:
             for batch in sliced(whole, "body", 2 << 20):
-                w = pieces_of(batch.column("body"))
-                _, known = top.find(w.hashes())
-                k = np.flatnonzero(~known)
-                of = np.searchsorted(w.first, k, side="right") - 1
-                data = w.raw.tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(of)), batch.column("h").take(pa.array(of)), pa.array((k - w.first[of]).astype(np.int32)), pa.array([data[a:b].decode().replace(" ", BOUNDARY) for a, b in zip(w.start[k].tolist(), w.end[k].tolist(), strict=True)], pa.string())], ["doc_id", "h", "k", "word"])
-
-    back = body.mapInArrow(rare, "doc_id long, h long, k int, word string").join(table.select("word", "ids"), "word", "left")
-    back = back.groupBy("doc_id", "h").agg(F.collect_list(F.struct("k", "ids")).alias("back")).withColumnRenamed("doc_id", "id2").withColumnRenamed("h", "h2")
-    joined = body.join(back.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2")), "left")
-    text_of = [model.id_to_piece(i) for i in range(model.get_piece_size())]
-    bytes_of = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace(BOUNDARY, " ").encode() for i, p in enumerate(text_of)]
-
-    def laid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                w = pieces_of(batch.column("body"), path)
+                ids, n, known = laid(top, w)
+                ends = np.concatenate([[0], np.cumsum(n)])[w.first]
+                unknown = np.concatenate([[0], np.cumsum(~known)])[w.first]
+                k = np.flatnonzero(unknown[1:] == unknown[:-1])
+                flat, docs_ = ids.astype("<u4"), batch.column("doc_id").take(pa.array(k))
+                own = [flat[ends[j] : ends[j + 1]] for j in k.tolist()]
+                back = [np.array_equal(decoded(x, path), w.raw[w.ends_of[j] : w.ends_of[j + 1]]) for j, x in zip(k.tolist(), own, strict=True)]
+                yield pa.RecordBatch.from_arrays([docs_, pa.array(np.maximum(np.diff(w.ends_of)[k] - 1, 0), pa.int64()), pa.array([x.tobytes() for x in own], pa.binary()), pa.array(back, pa.bool_())], ["doc_id", "n_bytes", "ids", "decodes"])
+
+    def with_holes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The other texts: ids of their hot words, where words are missing among these, and the words."""
+        row = TaskContext.get().partitionId() << 40
+        for whole in batches:
+            for batch in sliced(whole, "body", 2 << 20):
+                w = pieces_of(batch.column("body"), path)
+                ids, n, known = laid(top, w)
+                ends = np.concatenate([[0], np.cumsum(n)])
+                unknown = np.concatenate([[0], np.cumsum(~known)])[w.first]
+                k = np.flatnonzero(unknown[1:] > unknown[:-1])
+                flat, data = ids.astype("<u2" if model.get_piece_size() < 1 << 16 else "<u4"), w.raw.tobytes()
+                rows = []
+                for j, doc in zip(k.tolist(), batch.column("doc_id").take(pa.array(k)).to_pylist(), strict=True):
+                    a, b = int(w.first[j]), int(w.first[j + 1])
+                    gaps = a + np.flatnonzero(~known[a:b])
+                    text = data[w.ends_of[j] : w.ends_of[j + 1]]
+                    own = [data[x:y].decode().replace(" ", BOUNDARY) for x, y in zip(w.start[gaps].tolist(), w.end[gaps].tolist(), strict=True)]
+                    rows.append((row, doc, len(text) - 1, blake2b(text, digest_size=16).digest(), flat[ends[a] : ends[b]].tobytes(), (ends[gaps] - ends[a]).tolist(), own))
+                    row += 1
+                if rows:
+                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.string()))
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split(" ")[0] for x in HOLED.split(", ")])
+
+    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            lists = batch.column("back")
-            for doc, text, own in zip(batch.column("doc_id").to_pylist(), batch.column("body"), lists, strict=True):
-                w = pieces_of(pa.array([text.as_py()], pa.string()))
-                pos, known = top.find(w.hashes())
-                n = np.where(known, top.n[pos] if len(top.key) else 0, 0)
-                late = own.as_py() or []
-                for r in late:
-                    n[r["k"]] = len(r["ids"] or [])
-                ends = np.cumsum(n)
-                ids = np.zeros(int(ends[-1]) if len(ends) else 0, dtype=np.uint32)
-                if known.any():
-                    ids[spread((ends - n)[known], n[known])] = top.pool[spread(top.at[pos[known]], n[known])]
-                for r in late:
-                    ids[ends[r["k"]] - n[r["k"]] : ends[r["k"]]] = r["ids"] or []
-                whole = b"".join(map(bytes_of.__getitem__, ids.tolist()))
-                rows.append((doc, max(0, len(w.raw) - 1), ids.tobytes(), whole == w.raw.tobytes()))
+            for doc, n, digest, ids, places, late in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "digest", "ids", "places", "late")), strict=True):
+                own = np.frombuffer(ids, dtype="<u2" if model.get_piece_size() < 1 << 16 else "<u4").astype("<u4")
+                found = {r["k"]: r["ids"] for r in late}
+                parts, a = [], 0
+                for k, b in enumerate(places):
+                    parts += [own[a:b], np.array(found[k], dtype="<u4")]
+                    a = b
+                whole = np.concatenate([*parts, own[a:]])
+                rows.append((doc, n, whole.tobytes(), blake2b(decoded(whole, path).tobytes(), digest_size=16).digest() == digest))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.bool_()), strict=True)], ["doc_id", "n_bytes", "ids", "decodes"])
 
-    return joined.select("doc_id", "body", "back").mapInArrow(laid, "doc_id long, n_bytes long, ids binary, decodes boolean")
+    holed = stored(body.mapInArrow(with_holes, HOLED), "word-holes", compression="zstd")
+    holes = holed.select("row", F.posexplode("words").alias("k", "word")).join(table.select("word", "ids").hint("merge"), "word")
+    late = holes.groupBy("row").agg(F.collect_list(F.struct("k", "ids")).alias("late"))  # a text's own words
+    rest = holed.drop("words").join(late.hint("merge"), "row").select("doc_id", "n_bytes", "digest", "ids", "places", "late").mapInArrow(filled, ENCODED)
+    return body.mapInArrow(whole_texts, ENCODED).union(rest)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """doc_id and the text of encoded ids (little-endian unsigned 32-bit): pieces joined by id and laid end to end."""
-    model = processor(path)
-    bytes_of = [bytes([int(model.id_to_piece(i)[3:5], 16)]) if model.is_byte(i) else model.id_to_piece(i).replace(BOUNDARY, " ").encode() for i in range(model.get_piece_size())]
+    """doc_id and the text of encoded ids (little-endian unsigned 32-bit): pieces looked up by id and laid end to end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [b"".join(map(bytes_of.__getitem__, np.frombuffer(x or b"", dtype="<u4").tolist()))[1:].decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]
+            texts = [decoded(np.frombuffer(x or b"", dtype="<u4"), path).tobytes()[1:].decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")

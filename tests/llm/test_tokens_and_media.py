@@ -147,6 +147,17 @@ def test_viterbi_gives_the_library_ids(docs, make, tmp_path):
     assert same > 0.8 * len(rows)
 
 
+def test_lattice_of_a_very_long_word(make):
+    """Twenty thousand letters of which every two stand together in a piece, by both folds."""
+    rnd = random.Random(3)
+    rows = [(1, "".join(rnd.choices("aeint", k=20_000))), (2, "a" * 20_000), (3, "\u2581 x\u2581")]
+    model = piece_lattice.processor(PIECES)
+    got = {r["doc_id"]: r for r in piece_lattice.encode(make(rows), PIECES, hot=1).collect()}
+    assert all(np.frombuffer(got[i]["ids"], dtype="<u4").tolist() == model.encode(t) and got[i]["decodes"] == (i < 3) for i, t in rows)
+    for r in piece_lattice.encode(make(rows[:1]), PIECES, kind="unigram", hot=1).collect():
+        assert r["decodes"] and r["n_bytes"] == 20_000
+
+
 @pytest.mark.parametrize("n", [1, 2, 192, 5000, 70_000])
 def test_gif_code_streams(n):
     rnd = random.Random(n)
