@@ -55,27 +55,3 @@ def sized(ids: DataFrame, most: int = BROADCAST_MOST) -> DataFrame:
     """ids (a few numbers a row), to be broadcast in a join if there are `most` at most; else to be shuffled."""
     few = ids.limit(most + 1).count() <= most
     return F.broadcast(ids) if few else ids.hint("merge")
-
-
-def id_bitmap(ids: DataFrame, bits: int = 1 << 25) -> np.ndarray:
-    """A bitmap of hashed longs, of fixed size: `bits` / 8 bytes at any input size.
-
-    ids has one column of longs. A saturated map only lets more rows through
-    `maybe_in`; every use of it stays right without it.
-    """
-    slot = F.pmod(F.xxhash64(F.col(ids.columns[0])), F.lit(bits))
-    found = ids.select((slot / 32).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 32).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    out = np.zeros(bits // 32, dtype=np.uint32)
-    got = found.toArrow()  # bits / 32 rows at most
-    out[np.asarray(got["w"].combine_chunks())] = np.asarray(got["b"].combine_chunks()).astype(np.uint32)
-    return out
-
-
-def maybe_in(bitmap: np.ndarray, slots: np.ndarray) -> np.ndarray:
-    """Which of the slots (pmod(xxhash64(id), bits), from bitmap_slot) are set."""
-    return (bitmap[slots >> 5] >> (slots & 31).astype(np.uint32)) & 1 == 1
-
-
-def bitmap_slot(column: Column, bits: int = 1 << 25) -> Column:
-    """The slot that `maybe_in` takes, computed in the JVM."""
-    return F.pmod(F.xxhash64(column), F.lit(bits))

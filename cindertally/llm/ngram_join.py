@@ -14,11 +14,14 @@ their sets' Jaccard similarity is 0.8 or more; the join is exact.
    two; sizes whose partners may lie in the power below use both.
 4. Round one verifies, for every index key, each document against the key's first: enough to join
    groups of near copies without their pairs. Components follow. Round two takes only keys that
-   still hold several components. Of keys of rare tokens it verifies the pairs of different
-   components that sizes and positions in the prefixes allow. Documents that share keys of frequent
-   tokens form clusters, which are verified in blocks: each block with each, but none within a
-   cluster's largest component. So what remains is exact, and a group that is already one component
-   yields no pairs.
+   still hold several components, and of these the pairs of documents of different components for
+   which sizes and positions allow a link: what two documents can still share behind a key's later
+   token, and before it among frequent tokens only, must reach the overlap that a link needs. So
+   documents that share a passage too short for a link never meet, however many they are, and a
+   group that is already one component yields no pairs. All that remains is verified on whole sets.
+
+Tokens are 64-bit hashes under a key drawn for the run, and sets are told apart by 128 bits: texts
+can't be written to collide, and by chance two different tokens of a pair are equal once in 2^64.
 
 Cases: null and empty texts have empty sets and link with nothing; with fewer than five words the
 whole sequence is the one token. Repeated rows are equal sets. A null doc_id gets no component and
@@ -35,24 +38,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .columns import bitmap_slot, id_bitmap, maybe_in, sliced, small_batches
-from .textbytes import mix, shingles, split_words
+from .columns import sized, sliced, small_batches
+from .textbytes import mix, new_key, shingles, split_words
 
 N, KEEP, OF = 5, 4, 5  # words of a token; similarity KEEP / OF
 SKETCH, SKETCH_BLOCK = 1 << 20, 1 << 12
 #: A token in more prefixes than this is indexed in pairs.
 FREQUENT = 16
-#: Documents of a block, two of which are verified at a time.
-BLOCK = 128
 #: Keys that the sketch holds to be this common are dealt to several tasks in round one.
 CROWD = 256
 SCANNED = "doc_id long, n int, d1 long, d2 long, block int, counts binary"
 
 
-def token_sets(texts: pa.Array, n: int = N) -> list[np.ndarray]:
+def token_sets(texts: pa.Array, n: int = N, key: int = 0) -> list[np.ndarray]:
     """The set of each text as sorted 64-bit hashes."""
     w = split_words(texts)
-    tokens, first = shingles(w.hashes(lower=True), w.first, n)
+    tokens, first = shingles(w.hashes(lower=True, key=key), w.first, n)
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         own = np.sort(tokens[a:b])
@@ -69,7 +70,7 @@ def digest(tokens: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
-def scan(docs: DataFrame, n: int) -> DataFrame:
+def scan(docs: DataFrame, n: int, key: int) -> DataFrame:
     """Size and digest of every set, and rows of sketch counts: stored, a few bytes a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,7 +80,7 @@ def scan(docs: DataFrame, n: int) -> DataFrame:
         some = False
         for whole in batches:
             for batch in sliced(whole, "text"):
-                sets = token_sets(batch.column("text"), n)
+                sets = token_sets(batch.column("text"), n, key)
                 some = True
                 tokens = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
                 counts += np.bincount((tokens & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
@@ -115,7 +116,7 @@ def spare(n: int) -> int:
     return max(1, 1 << n.bit_length() - 1 >> 5)
 
 
-def prefixes(docs: DataFrame, standing: np.ndarray, level: np.ndarray, n: int) -> DataFrame:
+def prefixes(docs: DataFrame, standing: DataFrame, level: np.ndarray, n: int, key: int) -> DataFrame:
     """token, salt, doc, n, pos, idx of the extended prefixes of standing documents.
 
     A token is salted (salt >= 0) if the sketch holds it to be far more common than its counters are on average.
@@ -124,12 +125,11 @@ def prefixes(docs: DataFrame, standing: np.ndarray, level: np.ndarray, n: int) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            whole = whole.filter(pa.array(maybe_in(standing, np.asarray(whole.column("slot")))))
             for batch in sliced(whole, "text"):
                 out: list[tuple[np.ndarray, ...]] = []
-                for doc, s in zip(batch.column("doc_id").to_pylist(), token_sets(batch.column("text"), n), strict=True):
+                for doc, s in zip(batch.column("doc_id").to_pylist(), token_sets(batch.column("text"), n, key), strict=True):
                     k = len(s)
-                    if k < KEEP or doc is None:  # fewer tokens link with equal sets only
+                    if k < KEEP:  # fewer tokens link with equal sets only
                         continue
                     own = level[(s & np.uint64(SKETCH - 1)).astype(np.int64)]
                     order = np.argsort(own.astype(np.uint64) << np.uint64(56) | s >> np.uint64(8), kind="stable")[: k + KEEP * -k // OF + 1 + spare(k)]
@@ -140,8 +140,7 @@ def prefixes(docs: DataFrame, standing: np.ndarray, level: np.ndarray, n: int) -
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["token", "salt", "doc", "n", "pos", "idx"])
 
-    slot = bitmap_slot(F.col("doc_id"))
-    return docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text", slot.alias("slot")).mapInArrow(run, "token long, salt int, doc long, n int, pos int, idx boolean")
+    return docs.select("doc_id", "text").join(sized(standing), "doc_id", "left_semi").mapInArrow(run, "token long, salt int, doc long, n int, pos int, idx boolean")
 
 
 def may_link(na: str, pa: str, nb: str, pb: str) -> Column:
@@ -156,18 +155,16 @@ def may_link(na: str, pa: str, nb: str, pb: str) -> Column:
     return (OF * small >= KEEP * large) & ((KEEP + OF) * (spare_ + behind) >= KEEP * (small + large))
 
 
-def sets_of(ids: DataFrame, docs: DataFrame, n: int) -> DataFrame:
-    """id, tokens (sorted 64-bit hashes) of at least these documents: made again from their texts and stored."""
-    wanted = id_bitmap(ids)
+def sets_of(ids: DataFrame, docs: DataFrame, n: int, key: int) -> DataFrame:
+    """id, tokens (sorted 64-bit hashes) of these documents (doc_id): made again from their texts and stored."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            whole = whole.filter(pa.array(maybe_in(wanted, np.asarray(whole.column("slot")))))
             for batch in sliced(whole, "text"):
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in token_sets(batch.column("text"), n)], pa.binary())], ["id", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in token_sets(batch.column("text"), n, key)], pa.binary())], ["id", "tokens"])
 
-    small_batches(docs.sparkSession, 128)
-    made = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text", bitmap_slot(F.col("doc_id")).alias("slot")).mapInArrow(sets, "id long, tokens binary")
+    ids = stored(ids.distinct(), "ngram-ids", compression="zstd")
+    made = docs.select("doc_id", "text").join(sized(ids), "doc_id", "left_semi").mapInArrow(sets, "id long, tokens binary")
     return stored(made, "ngram-sets", compression="none")
 
 
@@ -191,80 +188,20 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(linked, "a long, b long").distinct()
 
 
-def overlaps(sets: list[np.ndarray], chunk: int = 1 << 14) -> np.ndarray:
-    """How many tokens each two of the sets share."""
-    of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    tokens = np.concatenate(sets)
-    order = np.argsort(tokens, kind="stable")
-    tokens, of = tokens[order], of[order]
-    new = np.append(True, tokens[1:] != tokens[:-1])
-    number = np.cumsum(new) - 1
-    common = np.bincount(number)[number] > 1  # a token of one set is shared with none
-    number, of = number[common], of[common]
-    number = np.unique(number, return_inverse=True)[1] if len(number) else number
-    out = np.zeros((len(sets), len(sets)), dtype=np.float64)
-    for k in range(0, int(number[-1]) + 1 if len(number) else 0, chunk):
-        a, b = np.searchsorted(number, [k, k + chunk])
-        held = np.zeros((len(sets), chunk), dtype=np.float32)
-        held[of[a:b], number[a:b] - k] = 1
-        out += held @ held.T
-    return out.astype(np.int64)
-
-
-def block_links(crowd: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) enough to join what links in each cluster of crowd (doc, label, cluster).
-
-    A cluster's documents are dealt to blocks by hash, those of its largest component apart from the
-    rest, and two blocks at a time meet in a task of their own; two of the largest component never
-    do. A task holds two blocks, and returns a link for each two components that it joins.
-    """
-    count = crowd.groupBy("cluster", "label").agg(F.count("*").alias("c"))
-    top = count.groupBy("cluster").agg(F.max(F.struct("c", "label")).alias("t"), F.sum("c").alias("all")).select("cluster", F.col("t.label").alias("main"), F.col("t.c").alias("cm"), (F.col("all") - F.col("t.c")).alias("co"))
-    number = lambda c: F.ceil(F.col(c) / F.lit(BLOCK)).cast("int")
-    dealt = crowd.join(top, "cluster").withColumn("is_main", F.col("label") == F.col("main"))
-    own = F.when(F.col("is_main"), F.pmod(F.xxhash64("doc"), number("cm"))).otherwise(number("cm") + F.pmod(F.xxhash64("doc"), F.greatest(number("co"), F.lit(1)))).cast("int")
-    meets = F.when(F.col("is_main"), F.when(F.col("co") > 0, F.sequence(number("cm"), number("cm") + number("co") - 1))).otherwise(F.sequence(F.lit(0), number("cm") + number("co") - 1))
-    placed = dealt.select("doc", "label", "cluster", own.alias("own"), F.explode(meets).alias("other"))
-    placed = placed.select("doc", "label", "cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-
-    def run(group: pa.Table) -> pa.Table:
-        doc, label = group.column("doc").to_pylist(), group.column("label").to_pylist()
-        sets = [np.frombuffer(x, dtype=np.uint64) for x in group.column("tokens").to_pylist()]
-        size = np.array([len(s) for s in sets])
-        both = overlaps(sets)
-        hit = OF * both >= KEEP * (size[:, None] + size[None, :] - both)
-        up: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while up.get(x, x) != x:
-                x = up[x]
-            return x
-
-        out = []
-        for x, y in zip(*np.nonzero(np.triu(hit, 1)), strict=True):
-            p, q = root(label[x]), root(label[y])
-            if p != q:
-                up[p] = q
-                out.append((min(doc[x], doc[y]), max(doc[x], doc[y])))
-        return pa.table([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
-
-    held = placed.join(sets.withColumnRenamed("id", "doc"), "doc")
-    return held.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long").distinct()
-
-
 def components(links: DataFrame, most: int = 200) -> DataFrame:
     """id, label of every linked document: the least id that links lead to. Small rows, no lineage kept.
 
     Each turn takes the least label among neighbours and then the label of the label, so that
-    chains shorten by doubling; it ends when no label changes.
+    chains shorten by doubling; it ends when no label changes, and raises after `most` turns.
     """
     edges = stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "links")
     labels = stored(edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("label")), "labels")
     for _ in range(most):
-        got = edges.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("m"))
-        low = labels.join(got, "id").select("id", F.col("label").alias("was"), F.least("label", "m").alias("l"))
+        # a hub's messages are summed up where they arise
+        sent = edges.join(labels.select(F.col("id").alias("b"), "label").hint("merge"), "b").select(F.col("a").alias("id"), "label", F.lit(None).cast("long").alias("was"))
+        low = stored(sent.union(labels.select("id", "label", F.col("label").alias("was"))).groupBy("id").agg(F.min("label").alias("l"), F.max("was").alias("was")), "labels")
         up = low.select(F.col("id").alias("l"), F.col("l").alias("top"))
-        after = stored(low.join(up, "l", "left").select("id", "was", F.least("l", F.coalesce("top", "l")).alias("label")), "labels")
+        after = stored(low.join(up.hint("merge"), "l", "left").select("id", "was", F.least("l", F.coalesce("top", "l")).alias("label")), "labels")
         labels = after.select("id", "label")
         if not after.filter("was <> label").limit(1).count():
             return labels
@@ -280,57 +217,70 @@ def label_of(labels: DataFrame | None, keys: DataFrame, column: str) -> DataFram
 
 
 def combinations_of(postings: DataFrame) -> DataFrame:
-    """Keys of pairs of tokens of one bucket, from the frequent tokens (doc, n, token, pos, idx)."""
+    """Keys of pairs of tokens of one bucket, from the frequent tokens (doc, n, token, pos).
+
+    room: what a set can share with another of which the first B + 1 shared tokens are frequent and
+    two of them make the key: all from the later one on, and B or the frequent tokens before it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple[np.ndarray, ...]] = []
-            for row in batch.to_pylist():
-                tokens, idx, pos, k = np.array(row["tokens"], dtype=np.int64).astype(np.uint64), np.array(row["idx"]), np.array(row["pos"], dtype=np.int32), row["n"]
+            for doc, k, tokens, pos in zip(*(batch.column(c).to_pylist() for c in ("doc", "n", "tokens", "pos")), strict=True):
+                tokens, pos = np.array(tokens, dtype=np.int64).astype(np.uint64), np.array(pos, dtype=np.int64)
+                before = np.argsort(np.argsort(pos))
                 power = k.bit_length() - 1
                 for p in {power, power - 1} if KEEP * k < OF * (1 << power) and power else {power}:
                     # tokens of one bucket lie together; pair each with those up to d places on
-                    bucket = (mix(tokens) % np.uint64(spare(1 << p))).astype(np.int64)
+                    b = spare(1 << p)
+                    bucket = (mix(tokens) % np.uint64(b)).astype(np.int64)
                     order = np.lexsort((tokens, bucket))
-                    t, b, i, o = tokens[order], bucket[order], idx[order], pos[order]
+                    t, at, own = tokens[order], pos[order], bucket[order]
+                    room = np.minimum(b, before[order]) + k - at
                     d = 1
-                    while d < len(t) and len(same := np.flatnonzero(b[d:] == b[:-d])):
+                    while d < len(t) and len(same := np.flatnonzero(own[d:] == own[:-d])):
+                        later = np.where(at[same] > at[same + d], same, same + d)
+                        fits = np.flatnonzero((KEEP + OF) * OF * room[later] >= KEEP * (OF + KEEP) * k)  # for the smallest partner
+                        same, later = same[fits], later[fits]
                         with np.errstate(over="ignore"):
                             key = mix(mix(t[same] + np.uint64(p)) * np.uint64(3) + t[same + d])
-                        out.append((key.astype(np.int64), np.full(len(same), row["doc"]), np.full(len(same), k, dtype=np.int32), np.maximum(o[same], o[same + d]), i[same] & i[same + d]))
+                        out.append((key.astype(np.int64), np.full(len(same), doc), np.full(len(same), k, dtype=np.int32), room[later].astype(np.int32), (KEEP + OF) * room[later] >= 2 * KEEP * k))
                         d += 1
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["token", "doc", "n", "pos", "idx"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["token", "doc", "n", "room", "idx"])
 
-    grouped = postings.groupBy("doc", "n").agg(F.collect_list(F.struct("token", "pos", "idx")).alias("t"))  # a document's own prefix at most
-    return grouped.select("doc", "n", F.col("t.token").alias("tokens"), F.col("t.pos").alias("pos"), F.col("t.idx").alias("idx")).mapInArrow(run, "token long, doc long, n int, pos int, idx boolean")
+    grouped = postings.groupBy("doc", "n").agg(F.collect_list(F.struct("token", "pos")).alias("t"))  # a document's own prefix at most
+    return grouped.select("doc", "n", F.col("t.token").alias("tokens"), F.col("t.pos").alias("pos")).mapInArrow(run, "token long, doc long, n int, room int, idx boolean")
 
 
 def several(postings: DataFrame) -> DataFrame:
     """Rows (token, label, ...) whose token has more than one label; counted by partial sums, joined by token."""
-    mixed = postings.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("idx").alias("any")).filter("lo <> hi and any").select("token")
-    return postings.join(mixed.hint("merge"), "token")
+    mixed = postings.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("idx").alias("any"), F.count("*").alias("many")).filter("lo <> hi and any").select("token", "many")
+    return postings.join(stored(mixed, "ngram-several", compression="zstd").hint("merge"), "token")
 
 
 def cross_pairs(postings: DataFrame) -> DataFrame:
-    """Pairs of documents of different labels that share a key, as sizes and index prefixes allow."""
-    x = postings.filter("idx").select("token", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("label").alias("la"))
-    y = postings.select("token", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("label").alias("lb"))
+    """Pairs of documents of different labels that share a key, as sizes and rooms allow."""
+    x = postings.filter("idx").select("token", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("room").alias("ra"), F.col("label").alias("la"))
+    y = postings.select(F.col("token").alias("t"), F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("room").alias("rb"), F.col("label").alias("lb"))
     later = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    met = x.join(y, (x["token"] == y["token"]) & (F.col("la") != F.col("lb")) & later & may_link("na", "pa", "nb", "pb"))
+    fits = (OF * F.col("na") >= KEEP * F.col("nb")) & ((KEEP + OF) * F.least("ra", "rb") >= KEEP * (F.col("na") + F.col("nb")))
+    met = x.join(y.hint("merge"), (F.col("token") == F.col("t")) & (F.col("la") != F.col("lb")) & later & fits)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def links_and_classes(docs: DataFrame, n: int = N) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """Sizes and classes of the documents (doc_id, n, stands), and the components of those that stand."""
     small_batches(docs.sparkSession)
-    scanned = scan(docs, n)
+    key = new_key()
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    scanned = scan(docs, n, key)
     sets = scanned.filter(F.col("block").isNull()).select("doc_id", "n", "d1", "d2")
     classes = sets.filter((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("stands"))
     classes = stored(classes, "ngram-classes")
     members = sets.join(classes, ["n", "d1", "d2"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("stands", "doc_id")).alias("stands"))
 
-    found = prefixes(docs, id_bitmap(classes.filter(F.col("n") >= KEEP).select("stands")), levels(scanned), n)
+    found = prefixes(docs, classes.filter(F.col("n") >= KEEP).select(F.col("stands").alias("doc_id")), levels(scanned), n, key)
     by_key = Window.partitionBy("token", "salt").orderBy("pos", "n", "doc")
     beside = found.select(
         "*",
@@ -349,20 +299,17 @@ def links_and_classes(docs: DataFrame, n: int = N) -> tuple[DataFrame, DataFrame
     across = heads.join(heads.groupBy("token").agg(F.min("h").alias("t")), "token").select(F.col("t.doc").alias("p"), F.col("h.doc").alias("doc")).filter("p <> doc")
     tested = star.union(across).select(F.least("p", "doc").alias("a"), F.greatest("p", "doc").alias("b")).distinct()
     tested = stored(tested, "ngram-tested")
-    ends = lambda pairs: pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
-    links = stored(verified(tested, sets_of(ends(tested), docs, n)), "ngram-links")
+    ends = lambda pairs: pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
+    links = stored(verified(tested, sets_of(ends(tested), docs, n, key)), "ngram-links")
     labels = components(links)
 
-    left = several(label_of(labels, kept.select("token", "doc", "n", "pos", "idx"), "doc"))
-    left = stored(left.join(left.groupBy("token").agg(F.count("*").alias("many")), "token"), "ngram-left")
-    more = stored(cross_pairs(left.filter(F.col("many") <= FREQUENT)).join(tested, ["a", "b"], "left_anti"), "ngram-more")
+    left = stored(several(label_of(labels, kept.select("token", "doc", "n", "pos", "idx"), "doc")), "ngram-left", compression="zstd")
+    spare_ = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.length(F.bin(F.col("n").cast("long"))) - 6 + 1, F.lit(0))).cast("int")  # of the partner too, at most one power up
+    alone = left.filter(F.col("many") <= FREQUENT).select("token", "doc", "n", (F.col("n") - F.col("pos") + spare_).alias("room"), "idx", "label")
     paired = several(label_of(labels, combinations_of(left.filter(F.col("many") > FREQUENT)), "doc"))
-    # documents that share keys of frequent tokens are a cluster
-    first = paired.groupBy("token").agg(F.min("doc").alias("a"))
-    joins = stored(paired.select("token", F.col("doc").alias("b")).join(first, "token").select("a", "b").distinct(), "ngram-clusters")
-    crowd = stored(label_of(labels, components(joins).select(F.col("id").alias("doc"), F.col("label").alias("cluster")), "doc"), "ngram-crowd")
-    sets = sets_of(ends(more).union(crowd.select("doc")), docs, n)
-    second = stored(verified(more, sets).union(block_links(crowd, sets)), "ngram-links")
+    paired = stored(paired.select("token", "doc", "n", "room", "idx", "label"), "ngram-pairs", compression="zstd")
+    more = stored(cross_pairs(alone).union(cross_pairs(paired)).distinct().join(tested, ["a", "b"], "left_anti"), "ngram-more")
+    second = stored(verified(more, sets_of(ends(more), docs, n, key)), "ngram-links")
     return members, classes, components(links.union(second))
 
 

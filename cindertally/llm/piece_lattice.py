@@ -68,8 +68,9 @@ def spans(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
     """
     size = F.length("word")
     starts = words.select("word", "n", F.explode(F.sequence(F.lit(1), size)).alias("s"))
-    cut = starts.select("word", "n", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), size - F.col("s") + 1))).alias("l"))
-    return cut.withColumn("piece", F.substring(F.col("word"), F.col("s"), F.col("l"))).join(F.broadcast(pieces), "piece", "left").filter("id is not null or l = 1")
+    ahead = starts.select("word", "n", "s", F.substring(F.col("word"), F.col("s"), F.lit(longest)).alias("ahead"))
+    cut = ahead.select("word", "n", "s", "ahead", F.explode(F.sequence(F.lit(1), F.length("ahead"))).alias("l"))
+    return cut.withColumn("piece", F.substring(F.col("ahead"), F.lit(1), F.col("l"))).drop("ahead").join(F.broadcast(pieces), "piece", "left").filter("id is not null or l = 1")
 
 
 def edges(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:

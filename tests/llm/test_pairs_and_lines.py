@@ -65,7 +65,6 @@ def near_copies(seed, groups=8, copies=12, words=60, shared=True):
 def test_join_equals_all_pairs(make, monkeypatch, seed, frequent):
     monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
     monkeypatch.setattr(ngram_join, "CROWD", 8)
-    monkeypatch.setattr(ngram_join, "BLOCK", 16)
     rows = near_copies(seed)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_join(make(rows)).collect()}
     assert got == components_of(sets_of(rows))
@@ -97,11 +96,26 @@ def test_join_on_odd_rows(odd, make):
     assert ngram_join.one_of_each(odd).filter("doc_id = 8").count() == 1
 
 
-def test_overlaps():
-    rng = np.random.default_rng(3)
-    sets = [np.unique(rng.integers(0, 90, rng.integers(1, 60))).astype(np.uint64) for _ in range(20)] + [np.array([7], np.uint64)] * 2
-    got = ngram_join.overlaps(sets, 16)
-    assert all(got[i, j] == len(np.intersect1d(a, b)) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j)
+def passages(n, own=13, shared=100):
+    passage = [f"p{k}" for k in range(shared)]
+    return [(i, " ".join(passage + [f"d{i}x{k}" for k in range(own)])) for i in range(n)]
+
+
+@pytest.mark.parametrize("own", [13, 20])
+def test_work_on_a_passage_without_links_grows_in_proportion(make, monkeypatch, own):
+    """Documents that share a passage too short for a link: no pair of them is verified."""
+    seen = []
+    first = ngram_join.verified
+
+    def counted(pairs, sets):
+        seen.append(pairs.count())
+        return first(pairs, sets)
+
+    monkeypatch.setattr(ngram_join, "verified", counted)
+    for n in (200, 800):
+        got = ngram_join.ngram_join(make(passages(n, own))).collect()
+        assert all(r["component_id"] == r["doc_id"] for r in got) and len(got) == n
+    assert seen[2] + seen[3] <= 8 * (seen[0] + seen[1]) + 200 and seen[3] <= 800
 
 
 def test_components_of_chains(spark):

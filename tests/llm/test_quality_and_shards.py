@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cindertally.llm import columns, quality_gam, quality_rules, queries, sharding
+from cindertally.llm import quality_gam, quality_rules, queries, sharding
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
 
@@ -111,14 +111,6 @@ def test_native_operators_use_no_python():
         assert not re.search(r"mapIn|applyIn|udf|rdd|toPandas|import numpy|import pyarrow", source), module.__name__
 
 
-def test_bitmap(spark):
-    ids = spark.range(0, 3000, 3)
-    bits = columns.id_bitmap(ids, 1 << 16)
-    slots = np.array([r[0] for r in spark.range(3000).select(columns.bitmap_slot(F.col("id"), 1 << 16)).collect()])
-    found = columns.maybe_in(bits, slots)
-    assert found[::3].all() and found.mean() < 0.4
-
-
 def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     before, names = docs, [n for n, _ in corpus_pipeline.STAGES]
