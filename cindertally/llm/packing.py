@@ -47,15 +47,20 @@ class Schedule:
         top = max(weights, default=1)
         self.window, self.rounds = window, []
         self.totals = np.array(totals, dtype=np.int64)
-        self.share = np.array([max(1, round(w / top * SCALE)) for w in weights], dtype=np.int64)
+        # shares as fine as products with the tokens stay below 2^62
+        scale, most = SCALE, max([*totals, window]) + window
+        while scale >= 1:
+            self.share = np.array([max(1, round(w / top * scale)) for w in weights], dtype=np.int64)
+            if most * int(self.share.sum()) < 1 << 62:
+                break
+            scale //= 2
+        else:
+            raise ValueError("too many tokens and queues for 64-bit places")
         given = np.zeros(len(totals), dtype=np.int64)
         while len(alive := np.flatnonzero(given < self.totals)):
             w, left = self.share[alive], self.totals[alive] - given[alive]
             whole = int(w.sum())
-            if int(left.max()) * whole < 1 << 62:
-                rounds = int(((left * whole - 1) // (window * w)).min()) + 1
-            else:
-                rounds = min((x * whole - 1) // (window * y) for x, y in zip(left.tolist(), w.tolist(), strict=True)) + 1
+            rounds = int(((left * whole - 1) // (window * w)).min()) + 1
             # the round in which the first queue runs dry ends the phase
             self.rounds.append(rounds)
             given[alive] += np.minimum(left, rounds * window * w // whole)
@@ -141,7 +146,7 @@ def tokenized(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iter
             yield pa.RecordBatch.from_arrays([pa.array([part] * len(at), pa.int32()), batch.column("queue"), pa.array(at, pa.int64()), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(held, pa.binary())], [x.split(" ")[0] for x in TOKENS.split(", ")])
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW, weights: Mapping[str, float] | None = None) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW, weights: Mapping[str | None, float] | None = None) -> DataFrame:
     """The pieces of all docs (doc_id, source, text).
 
     weights: target share by source (default for those not named: 1); without it, each source's
@@ -149,15 +154,15 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW,
     """
     spark = docs.sparkSession
     small_batches(spark)
-    queue = F.coalesce(F.col("source"), F.lit(""))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(queue.alias("queue"), "doc_id", "text").repartitionByRange(parts, "queue", "doc_id").sortWithinPartitions("queue", "doc_id", "text")
+    ordered = docs.select(F.col("source").cast("string").alias("queue"), "doc_id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("tie"))
+    ordered = ordered.repartitionByRange(parts, "queue", "doc_id", "h", "tie").sortWithinPartitions("queue", "doc_id", "h", "tie").select("queue", "doc_id", "text")
     held = stored(ordered.mapInArrow(lambda b: tokenized(b, tokenizer, end_id), TOKENS), "packing-tokens", compression="zstd")
     narrow = load(tokenizer).get_vocab_size() < 1 << 16
 
-    sums = sorted((r["queue"], r["part"], r["n"]) for r in held.groupBy("queue", "part").agg(F.sum("n").alias("n")).collect())  # queues + parts rows at most
-    of_queue: dict[str, int] = {}
-    offsets: dict[tuple[str, int], int] = {}
+    sums = sorted(((r["queue"], r["part"], r["n"]) for r in held.groupBy("queue", "part").agg(F.sum("n").alias("n")).collect()), key=lambda x: (x[0] is not None, x[0] or "", x[1]))  # queues + parts rows at most
+    of_queue: dict[str | None, int] = {}
+    offsets: dict[tuple[str | None, int], int] = {}
     for q, p, n in sums:
         offsets[q, p] = of_queue.get(q, 0)
         of_queue[q] = offsets[q, p] + n

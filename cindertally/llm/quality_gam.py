@@ -234,7 +234,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> Gam:
                 x = features(batch.column("text"))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality").cast(pa.int64()), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
 
-    got = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").mapInArrow(run, "doc_id long, quality long, x array<double>").toPandas()  # `most` rows, or copies of their ids
+    got = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").mapInArrow(run, "doc_id long, quality long, x array<double>").groupBy("doc_id", "quality").agg(F.min("x").alias("x")).toPandas()  # `most` rows: one for a doc_id
     got = got.sort_values("doc_id", kind="stable")
     return fit(np.stack(got["x"].to_numpy()) if len(got) else np.zeros((0, len(FEATURES))), got["quality"].to_numpy())
 

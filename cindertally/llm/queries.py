@@ -48,9 +48,10 @@ def op5_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token counts of all documents through a digest cache that is new with each call."""
-    cache = f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex}"
-    return token_counts.token_counts(table(spark, sf_dir, "documents"), cache, tokenizer("piece_bpe_32k.model"), limit=4096)
+    """Token counts of all documents through a digest cache: filled by a first run, met by a second."""
+    cache, docs, model = f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex}", table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model")
+    token_counts.fill(docs, cache, model)
+    return token_counts.token_counts(docs, cache, model, limit=4096)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

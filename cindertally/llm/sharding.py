@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 DRAW = float(1 << 52)
 
 
@@ -37,18 +39,20 @@ def rendezvous(key: Column, weights: Sequence[float], names: Sequence[str] | Non
 def slots(df: DataFrame, shard: str, order: Sequence[str], out: str, buckets: int = 4096) -> DataFrame:
     """Numbers the rows of each shard from 0 without gaps.
 
-    Rows are ranked within shard x bucket (a hash of the order columns, so that a shard is
-    never sorted by one task); the offsets come from the counts, shards x buckets rows at most.
+    Rows are ranked within shard x bucket (a hash of the order columns and the row's place, so that
+    neither a shard nor a row repeated very often is sorted by one task); the offsets come from the counts, shards x buckets rows at most.
     """
-    cut = df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    # a stored table gives a row the same number each time that it is read
+    held = stored(df, "shard-rows", compression="zstd").withColumn("_t", F.monotonically_increasing_id())
+    cut = held.withColumn("_b", F.pmod(F.xxhash64(*order, "_t"), F.lit(buckets)).cast("int"))
     sizes = cut.groupBy(shard, "_b").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(shard).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(F.col(shard).alias("_s"), F.col("_b").alias("_c"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
-    ranked = cut.withColumn("_r", F.row_number().over(Window.partitionBy(shard, "_b").orderBy(*order)) - 1)
+    ranked = cut.withColumn("_r", F.row_number().over(Window.partitionBy(shard, "_b").orderBy(*order, "_t")) - 1)
     return (
         ranked.join(F.broadcast(offsets), (F.col(shard) == F.col("_s")) & (F.col("_b") == F.col("_c")))
         .withColumn(out, (F.col("_r") + F.col("_o")).cast("long"))
-        .drop("_b", "_c", "_s", "_o", "_r")
+        .drop("_b", "_c", "_s", "_o", "_r", "_t")
     )
 
 

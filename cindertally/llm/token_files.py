@@ -6,7 +6,8 @@ two or three bytes; the lengths of four ranks at a time lie in a control byte of
 that a decoder looks the four up in a table. A file is one Parquet part of blocks; each block
 can be decoded alone, and knows how many ids of its part come before it.
 
-Cases: a null or empty text has only the end id. Repeated rows are written once each. Ids of
+Cases: a null or empty text has only the end id. Repeated rows are written once each, and rows of one
+doc_id can lie in several parts (ordered by a hash of the text). Ids of
 documents may be null (they come first). An empty table gives no block. Other columns play no
 part.
 """
@@ -107,7 +108,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, keeps_space: b
     spark = docs.sparkSession
     small_batches(spark)
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.col("text"))
+    ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("tie")).repartitionByRange(parts, "doc_id", "h", "tie").sortWithinPartitions("doc_id", "h", "tie").select("doc_id", "text")
     ordered.mapInArrow(lambda b: blocks(b, tokenizer, keeps_space, end_id, block_tokens), BLOCK).write.option("compression", "none").parquet(path)
 
 

@@ -47,3 +47,15 @@ def test_each_of_many_sources_keeps_its_queue_and_weight(spark):
     held = sum(r["length"] for r in first if r["queue"] == "hot") / sum(r["length"] for r in first)
     assert abs(held - 0.5) < 0.03
     assert packing.pack(df, WORDS).select("queue").distinct().count() == 1101
+
+
+def test_null_and_empty_sources_are_two_queues(spark):
+    df = spark.createDataFrame([(1, "a b c " * 50, None), (2, "d e f " * 50, ""), (3, None, None)], "doc_id long, text string, source string")
+    got = check_pieces(df, {None: 3.0}, window=32)
+    assert {r["queue"] for r in got} == {None, ""}
+
+
+def test_places_of_very_many_tokens():
+    schedule = packing.Schedule([3 * 10**11] * 1000, [1.0] * 1000, 2048)
+    which, start, n, place = packing.places(schedule, np.array([7]), np.array([2 * 10**11]), np.array([2 * 10**11 + 10]))
+    assert n.sum() == 10 and (place >= 2 * 10**14 - 4096).all() and (place < 3 * 10**14).all()

@@ -32,6 +32,52 @@ def test_cached_words_give_the_library_ids(docs, path, keeps, most):
         assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == [library(path, t) for t in part]
 
 
+def two_that_collide_under_polynomials(order=11):
+    """Two words of 2 ** order letters whose polynomial hashes agree modulo 2 ** 64 for any odd base."""
+    word = "a"
+    for _ in range(order):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_written_to_collide(make):
+    from cindertally.llm import line_dedup, ngram_join
+
+    a, b = two_that_collide_under_polynomials()
+    for path, keeps in ((BYTES, True), (WORDS, False)):
+        cache = encoding.WordCache(path, keeps)
+        for texts in ([a, b], [f"x {a} y", f"x {b} y"]):
+            ids, first = cache.encode(pa.array(texts, pa.string()))
+            assert [ids[p:q].tolist() for p, q in zip(first[:-1], first[1:], strict=True)] == [library(path, t) for t in texts]
+    sets = ngram_join.token_sets(pa.array([a, b], pa.string()))
+    assert sets[0].tolist() != sets[1].tolist()
+    words = " ".join(f"w{k}" for k in range(55))
+    rows = line_dedup.line_dedup(make([(1, f"{words} {a}"), (2, f"{words} {b}")])).collect()
+    assert [r["n_removed"] for r in rows] == [0, 0]
+
+
+def test_a_hash_shared_by_two_words_does_no_harm(monkeypatch):
+    """Every word gets one of four hashes; the cache still gives the library's ids."""
+    from cindertally.llm.textbytes import Words
+
+    true = Words.hashes
+    monkeypatch.setattr(Words, "hashes", lambda self, lower=False, key=0: true(self, lower, key) & np.uint64(3))
+    texts = ["the cat sat on the mat", "a cat on a mat sat", "the the the"]
+    cache = encoding.WordCache(BYTES, True)
+    for _ in range(2):
+        ids, first = cache.encode(pa.array(texts, pa.string()))
+        assert [ids[p:q].tolist() for p, q in zip(first[:-1], first[1:], strict=True)] == [library(BYTES, t) for t in texts]
+
+
+def test_cache_is_bounded_in_bytes():
+    rnd = random.Random(2)
+    cache = encoding.WordCache(BYTES, True, most=2000, most_ids=8000)
+    for _ in range(20):
+        texts = [" ".join(f"w{rnd.randrange(10**9)}" + "  z" * (k % 3) for k in range(300)) for _ in range(10)]
+        cache.encode(pa.array(texts, pa.string()))
+        assert cache.count <= 2000 and cache.nbytes() < 2_000_000
+
+
 @pytest.mark.parametrize("top", [1, 200, 70_000, 1 << 25])
 def test_blocks_round_trip(top):
     ids = np.random.default_rng(1).integers(0, top, 5001).astype(np.uint32)
@@ -69,6 +115,17 @@ def test_token_counts_and_cache(odd, docs, make, spark):
             assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(text.encode()), n, n > 100)
     cache = spark.read.parquet(path)
     assert cache.count() == cache.dropDuplicates(["content"]).count()  # nothing is encoded twice here
+    encoded = token_counts.counter
+
+    def refuse(path):
+        raise AssertionError("every count is known")
+
+    token_counts.counter = refuse
+    try:
+        n, again = cache.count(), token_counts.token_counts(docs, path, PIECES, limit=100).collect()
+    finally:
+        token_counts.counter = encoded
+    assert len(again) == docs.count() and spark.read.parquet(path).count() == n
     assert token_counts.token_counts(make([]), path, PIECES).count() == 0
 
 
