@@ -24,15 +24,19 @@ def local_session(cpus: str = "8", app: str = "cindertally") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session names none (tests, local runs) a folder of its own is set.
+    Only where a local session names none (tests, local runs) a folder of its own is set; on a
+    cluster every machine would have another one.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
-    if (own := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
+    context = spark.sparkContext
+    if (own := context._jsc.sc().getCheckpointDir()).isDefined():
         return own.get().rstrip("/")
-    spark.sparkContext.setCheckpointDir(f"/tmp/checkpoints/{uuid.uuid4().hex}")
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
+    if not (context.master == "local" or context.master.startswith("local[")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    context.setCheckpointDir(f"/tmp/checkpoints/{uuid.uuid4().hex}")
+    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
