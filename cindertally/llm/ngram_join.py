@@ -12,8 +12,8 @@ their sets' Jaccard similarity is 0.8 or more; the join is exact.
    dealt to B(n) buckets, and pairs of tokens of one bucket are indexed instead: among B + 1 shared
    tokens, one is rare or two share a bucket, so no link is lost. B depends on the size's power of
    two; sizes whose partners may lie in the power below use both.
-4. Round one verifies, for every index key, each document against the key's first: enough to join
-   groups of near copies without their pairs. Components follow. Round two takes only keys that
+4. Round one verifies documents against the first ones of their index keys: enough to join groups of
+   near copies without their pairs. Each meets one partner first, and others only while they are apart. Components follow. Round two takes only keys that
    still hold several components, and of these the pairs of documents of different components for
    which sizes and positions allow a link: what two documents can still share behind a key's later
    token, and before it among frequent tokens only, must reach the overlap that a link needs. So
@@ -208,6 +208,22 @@ def components(links: DataFrame, most: int = 200) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def staged(pairs: DataFrame, sets: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """links (those found before) and enough of the linking pairs to join the same components.
+
+    First each document meets one of its partners; then only the pairs are verified whose ends are
+    still in different components.
+    """
+    both = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).union(pairs.select("b", "a"))
+    one = stored(both.groupBy("x").agg(F.min("y").alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "ngram-one")
+    found = stored(verified(one, sets), "ngram-links")
+    found = found if links is None else links.union(found)
+    labels = components(found)
+    rest = label_of(labels, pairs, "a").withColumnRenamed("label", "la")
+    rest = label_of(labels, rest, "b").filter("la <> label").select("a", "b").join(one, ["a", "b"], "left_anti")
+    return found.union(stored(verified(stored(rest, "ngram-rest"), sets), "ngram-links"))
+
+
 def label_of(labels: DataFrame | None, keys: DataFrame, column: str) -> DataFrame:
     """keys with the label of a column of ids (the id itself where it has no link)."""
     if labels is None:
@@ -300,7 +316,7 @@ def links_and_classes(docs: DataFrame, n: int = N) -> tuple[DataFrame, DataFrame
     tested = star.union(across).select(F.least("p", "doc").alias("a"), F.greatest("p", "doc").alias("b")).distinct()
     tested = stored(tested, "ngram-tested")
     ends = lambda pairs: pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
-    links = stored(verified(tested, sets_of(ends(tested), docs, n, key)), "ngram-links")
+    links = staged(tested, sets_of(ends(tested), docs, n, key))
     labels = components(links)
 
     left = stored(several(label_of(labels, kept.select("token", "doc", "n", "pos", "idx"), "doc")), "ngram-left", compression="zstd")
@@ -309,8 +325,7 @@ def links_and_classes(docs: DataFrame, n: int = N) -> tuple[DataFrame, DataFrame
     paired = several(label_of(labels, combinations_of(left.filter(F.col("many") > FREQUENT)), "doc"))
     paired = stored(paired.select("token", "doc", "n", "room", "idx", "label"), "ngram-pairs", compression="zstd")
     more = stored(cross_pairs(alone).union(cross_pairs(paired)).distinct().join(tested, ["a", "b"], "left_anti"), "ngram-more")
-    second = stored(verified(more, sets_of(ends(more), docs, n, key)), "ngram-links")
-    return members, classes, components(links.union(second))
+    return members, classes, components(staged(more, sets_of(ends(more), docs, n, key), links))
 
 
 def ngram_join(docs: DataFrame, n: int = N) -> DataFrame:
