@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 LOW_LIGHT = [1.0, 0.7, 0.5, 0.35, 0.22, 0.13]
 CONTRAST = [1.0, 0.75, 0.58, 0.42, 0.30, 0.20]
 GREY_MIX = [0.0, 0.3, 0.5, 0.7, 0.85, 1.0]
+#: Colours of a core's glow and of the light that it spills.
+GLOW, SPILL = (255, 180, 90), (255, 140, 45)
 
 
 def clip(x: Column, low: float, high: float) -> Column:
@@ -16,8 +18,8 @@ def clip(x: Column, low: float, high: float) -> Column:
 
 
 def stored(x: Column) -> Column:
-    """What an unsigned byte keeps of a value: clipped, then truncated."""
-    return clip(x, 0, 255).cast("int")
+    """What an unsigned byte keeps of a value: clipped, then truncated; a millionth below a whole number counts as one."""
+    return F.round(clip(x, 0, 255), 6).cast("int")
 
 
 def luma(r: Column, g: Column, b: Column) -> Column:
@@ -40,9 +42,12 @@ def ramp(x: Column, start: Column | float, end: float, least: float) -> Column:
 
 def warm_alpha(r: Column, g: Column, b: Column, v0: float, core0: float, thr: float, w0: float) -> Column:
     """Opacity of bright warm pixels, or of white-hot ones; 0 below thr."""
+    channels = (r, g, b)
+    white = ramp(F.least(*channels), core0, 255.0, 1.0)
     warm = ramp((r - b) / 255.0, w0, 1.0, 1e-6)
-    a = clip(F.greatest(warm * ramp(F.greatest(r, g, b), v0, 255.0, 1.0), ramp(F.least(r, g, b), core0, 255.0, 1.0)), 0, 1)
-    return F.when(a < thr, 0.0).otherwise(a)
+    bright = ramp(F.greatest(*channels), v0, 255.0, 1.0)
+    opacity = F.greatest(white, bright * warm)
+    return F.when(opacity >= thr, opacity).otherwise(0.0)
 
 
 def is_flame_coloured(r: Column, g: Column, b: Column) -> Column:
@@ -56,8 +61,13 @@ def colour_corrected(x: Column, channel_mean: Column, overall_mean: Column, stre
 
 def core_bloom(out: Column, brightness: Column, alpha: Column, bloom: float = 0.9) -> Column:
     """Lifts white-hot cores by a share of the headroom."""
-    core = clip((brightness / 255.0 - 0.6) / 0.4, 0, 1) * alpha
-    return out + core * (255.0 - out) * F.lit(bloom)
+    share = ramp(brightness / 255.0, 0.6, 1.0, 1e-6) * alpha * F.lit(bloom)
+    return alpha_over(out, F.lit(255.0), share)
+
+
+def bloom_glow(out: Column, halo: Column, colour: float, glow: float = 0.35) -> Column:
+    """Adds the light of blurred cores (halo in 0..1) in one channel of the glow's colour (GLOW)."""
+    return out + halo * F.lit(colour / 255.0 * glow * 60.0)
 
 
 def grey_blob(r: Column, g: Column, b: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -27,6 +27,12 @@ def normalised(v: Column, guard: float = 1e-8) -> Column:
     return F.transform(doubles(v), lambda x: x / (norm(v) + F.lit(guard)))
 
 
+def with_normalised(df: DataFrame, vector: str, out: str, guard: float = 1e-8) -> DataFrame:
+    """Adds out = vector / (|vector| + guard); the norm is a column of its own, computed once a row."""
+    held = df.withColumn("_norm", norm(F.col(vector)))
+    return held.withColumn(out, F.transform(doubles(F.col(vector)), lambda x: x / (F.col("_norm") + F.lit(guard)))).drop("_norm")
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity; null where a norm is 0."""
     return F.try_divide(dot(a, b), norm(a) * norm(b))

@@ -6,8 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Fragments that are held against every name.
+MOST = 100_000
+
+
 def fragment_hits(fragments: DataFrame, names: DataFrame, fragment: str, name: str) -> DataFrame:
-    """Every (fragment, name) where the name contains it. The fragments are a small inventory: they are broadcast."""
+    """Every (fragment, name) where the name contains it. The fragments are a small inventory, and refused if they are not."""
+    if fragments.limit(MOST + 1).count() > MOST:
+        raise ValueError(f"more than {MOST} fragments: match on keys instead")
     return names.join(F.broadcast(fragments), F.contains(F.col(name), F.col(fragment)))
 
 

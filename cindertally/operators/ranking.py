@@ -45,7 +45,7 @@ def paired_wins(df: DataFrame, unit: str, side: str, a: str, b: str, value: str)
 def best_and_converged(df: DataFrame, by: Sequence[str], step: str, metric: str, share: float = 0.99) -> DataFrame:
     """The best metric, the first step that has it, and the first step that has `share` of it."""
     best = df.groupBy(*by).agg(F.min(F.struct((-F.col(metric)).alias("m"), F.col(step).alias("s"))).alias("_b")).select(*by, (-F.col("_b.m")).alias("best"), F.col("_b.s").alias("best_step"))
-    met = df.join(F.broadcast(best), list(by)) if by else df.join(F.broadcast(best))
+    met = df.join(best, list(by)) if by else df.join(F.broadcast(best))  # one row without groups
     return met.filter(F.col(metric) >= F.col("best") * share).groupBy(*by, "best", "best_step").agg(F.min(step).alias("converged_step"))
 
 

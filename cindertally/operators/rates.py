@@ -53,6 +53,16 @@ def max_per_item(items: DataFrame, found: DataFrame, key: str, score: str) -> Da
     return items.select(key).join(best, key, "left").withColumn("best", F.coalesce("best", F.lit(0.0)))
 
 
+def paired_means(pairs: DataFrame, a: str, b: str, hit: float, by: Sequence[str] = ()) -> DataFrame:
+    """pairs, detection rates (scores of `hit` or more) and mean scores of both sides over the same pairs, and delta.
+
+    Only pairs that have both scores count.
+    """
+    both = pairs.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
+    rate = lambda c: F.avg((F.col(c) >= hit).cast("double"))
+    return both.groupBy(*by).agg(F.count("*").alias("pairs"), rate(a).alias("rate_a"), rate(b).alias("rate_b"), F.avg(a).alias("mean_a"), F.avg(b).alias("mean_b"), F.avg(F.col(a) - F.col(b)).alias("delta"))
+
+
 def verdict(*rules: tuple[Column, str], otherwise: str) -> Column:
     """The first rule that holds names the verdict; their order matters."""
     out = F.when(*rules[0])

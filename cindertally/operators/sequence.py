@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 
 def last_kept(df: DataFrame, by: str, order: Sequence[str], value: str, key: str, threshold: float) -> DataFrame:
     """by, key of the rows that differ from the last *kept* row of their group by `threshold` or more.
@@ -60,17 +62,32 @@ def stride_sample(df: DataFrame, index: str, native: float, fps: float) -> DataF
     return df.filter(F.col(index) % step == 0)
 
 
-def page_layout(df: DataFrame, order: Sequence[str], per_page: int, columns: int) -> DataFrame:
-    """page, row and column of each row in a grid, and its zero-padded number; order must be total.
+def numbered(df: DataFrame, order: Sequence[str], out: str = "i") -> DataFrame:
+    """Adds the position of each row in a total order, from 0.
 
-    For display-sized tables: numbering a whole table is one ordered pass.
+    Rows are dealt by range and stored, counted by part, and numbered within their part: no task sees
+    them all. The offsets are one row a part.
     """
-    i = F.row_number().over(Window.orderBy(*order)) - 1
-    return df.withColumn("i", i).select("*", F.floor(F.col("i") / per_page).cast("long").alias("page"), F.floor(F.col("i") % per_page / columns).cast("long").alias("r"), (F.col("i") % per_page % columns).cast("long").alias("c"), F.lpad(F.col("i").cast("string"), 5, "0").alias("serial")).drop("i")
+    held = stored(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "numbered")
+    sizes = held.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    k = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
+    return held.withColumn("_k", k).join(F.broadcast(offsets), "_p").withColumn(out, (F.col("_k") + F.col("_o")).cast("long")).drop("_p", "_k", "_o")
+
+
+def page_layout(df: DataFrame, order: Sequence[str], per_page: int, columns: int) -> DataFrame:
+    """page, row and column of each row in a grid, and its number padded to five digits or more; order must be total."""
+    i = F.col("i")
+    made = numbered(df, order)
+    return made.select("*", F.floor(i / per_page).cast("long").alias("page"), F.floor(i % per_page / columns).cast("long").alias("r"), (i % per_page % columns).cast("long").alias("c"), F.lpad(i.cast("string"), F.greatest(F.lit(5), F.length(i.cast("string"))), F.lit("0")).alias("serial")).drop("i")
 
 
 def first_pass_else_best(df: DataFrame, by: Sequence[str], attempt: Sequence[str], score: str, floor: float) -> DataFrame:
-    """The first attempt whose score reaches the floor, else the best (earliest of equals); fell_back tells."""
+    """The first attempt whose score reaches the floor, else the best (earliest of equals); fell_back tells.
+
+    Where attempts aren't unique, the lower score of the same attempt comes first.
+    """
     passed = F.col(score) >= floor
     order = F.struct(F.when(passed, 0).otherwise(1).alias("f"), F.when(passed, F.lit(0.0)).otherwise(-F.col(score)).alias("s"), *attempt, F.col(score).alias("_score"))
     got = df.groupBy(*by).agg(F.min(order).alias("_m"))

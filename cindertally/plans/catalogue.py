@@ -131,6 +131,39 @@ def time_and_rounding(t: Load) -> DataFrame:
     return t("events").select("event_id", scalar.minutes(F.col("value") * 10).alias("mmss"), F.bround("value", 1).alias("half_even"))
 
 
+@query("""SELECT page_id, split_part(url, '/', -2) AS site, split_part(url, '/', -1) AS file, regexp_extract(url, '^[a-z]+://[^/]+/([^/]*)', 1) AS class,
+CASE WHEN len(string_split(regexp_extract(url, '^[a-z]+://[^/]+/(.*)$', 1), '/')) > 2 THEN split_part(regexp_extract(url, '^[a-z]+://[^/]+/(.*)$', 1), '/', 2) ELSE '_flat' END AS scene FROM pages""")
+def folder_levels(t: Load) -> DataFrame:
+    files = inventory.path_levels(t("pages").select("page_id", F.col("url").alias("path")), ["site"])
+    return inventory.class_scene(files, "^[a-z]+://[^/]+").select("page_id", "site", scalar.basename(F.col("path")).alias("file"), "class", "scene")
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS DOUBLE) AS seconds FROM events")
+def duration_probe(t: Load) -> DataFrame:
+    probe = F.concat(F.lit('{"format": {"duration": "'), F.get_json_object("props", "$.k"), F.lit('"}}'))
+    return t("events").select("event_id", inventory.duration(probe).alias("seconds"))
+
+
+@query("""SELECT p_partkey, 'Brand#' || split_part(split_part(p_brand, '#', 2), '_', 1) AS key, CASE WHEN b = 1 THEN 'test' ELSE 'train' END AS pool FROM
+(SELECT p_partkey, p_brand, CAST(regexp_extract(p_brand, '([0-9])[0-9]*$', 1) AS INTEGER) AS b FROM part) WHERE b <= 3""")
+def pool_assignment(t: Load) -> DataFrame:
+    first = F.regexp_extract("p_brand", "([0-9])[0-9]*$", 1).cast("int")
+    brands = t("part").select(F.col("p_brand").alias("key"), F.when(first == 1, "test").when(first <= 3, "train").alias("pool")).distinct().filter("pool is not null")
+    split = brands.groupBy("pool").agg(F.sort_array(F.collect_list("key")).alias("keys")).agg(F.map_from_entries(F.collect_list(F.struct("pool", "keys"))).alias("pools"))
+    return inventory.pool_of(t("part").select("p_partkey", "p_brand"), inventory.pool_members(split), F.concat("p_brand", F.lit("_x"))).select("p_partkey", "key", "pool")
+
+
+@query("SELECT doc_id, strlen(nfc_normalize(text)) AS n_bytes FROM documents")
+def unicode_nfc(t: Load) -> DataFrame:
+    return t("documents").select("doc_id", F.octet_length(scalar.nfc("text")).cast("long").alias("n_bytes"))
+
+
+@query("SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS clicks FROM events GROUP BY 1 HAVING count(*) FILTER (WHERE event_type = 'click') > 0")
+def non_empty_arrays(t: Load) -> DataFrame:
+    per = t("events").groupBy("user_id").agg(F.collect_list(F.when(F.col("event_type") == "click", F.col("event_id"))).alias("a"))
+    return per.filter(scalar.has_any(F.col("a"))).select("user_id", F.size("a").cast("long").alias("clicks"))
+
+
 # ---- splits
 
 
@@ -230,11 +263,11 @@ def set_operations(t: Load) -> DataFrame:
 # ---- joins and matching
 
 
-@query("""SELECT o_orderkey, n_name, r_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE o_totalprice >= 400000""")
+@query("""SELECT o_orderkey, n_name, r_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
 def inventory_lookup(t: Load) -> DataFrame:
     # nation and region are fixed inventories of a few rows
     places = t("nation").join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey"))
-    return t("orders").filter("o_totalprice >= 400000").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey")).select("o_orderkey", "n_name", "r_name")
+    return t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey")).select("o_orderkey", "n_name", "r_name")
 
 
 FRAGMENTS = "(SELECT DISTINCT 'NATION_' || CAST(n_regionkey * 5 AS VARCHAR) AS fragment FROM nation UNION SELECT 'NOWHERE')"
@@ -268,6 +301,19 @@ def paired_lookup(t: Load) -> DataFrame:
     return items.filter("l_returnflag = 'R'").select("l_orderkey", F.col("l_partkey").alias("pos_part")).join(last, "l_orderkey").distinct()
 
 
+@query("""WITH b AS (SELECT l_orderkey, max(l_partkey) AS bg FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1),
+s AS (SELECT l_orderkey, l_partkey, max(l_extendedprice) AS score FROM lineitem GROUP BY ALL), p AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_returnflag = 'R')
+SELECT count(*) AS pairs, round(avg((f.score >= 30000)::INT), 6) AS rate_a, round(avg((g.score >= 30000)::INT), 6) AS rate_b, round(avg(f.score), 4) AS mean_a, round(avg(g.score), 4) AS mean_b, round(avg(f.score - g.score), 4) AS delta
+FROM p JOIN b USING (l_orderkey) JOIN s f ON f.l_orderkey = p.l_orderkey AND f.l_partkey = p.l_partkey JOIN s g ON g.l_orderkey = b.l_orderkey AND g.l_partkey = b.bg""")
+def paired_means(t: Load) -> DataFrame:
+    pairs = paired_lookup(t)
+    scores = t("lineitem").groupBy("l_orderkey", "l_partkey").agg(F.max("l_extendedprice").alias("score"))
+    side = lambda name, to: scores.select("l_orderkey", F.col("l_partkey").alias(name), F.col("score").alias(to))
+    met = pairs.join(side("pos_part", "a"), ["l_orderkey", "pos_part"]).join(side("bg_part", "b"), ["l_orderkey", "bg_part"])
+    got = rates.paired_means(met, "a", "b", 30000.0)
+    return rounded(rounded(got, "rate_a", "rate_b"), "mean_a", "mean_b", "delta", digits=4)
+
+
 SPANS = "(SELECT user_id * 37 AS a, user_id * 37 + 20 + user_id % 7 AS b, user_id AS span FROM (SELECT DISTINCT user_id FROM events))"
 
 
@@ -463,7 +509,7 @@ def knn_auroc(t: Load) -> DataFrame:
 
 @query("SELECT vec_id, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)) / power(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) + 1e-8, 2), 6) AS norm2 FROM embeddings")
 def l2_normalise(t: Load) -> DataFrame:
-    made = t("embeddings").select("vec_id", vectors.norm(F.col("embedding")).alias("n"), "embedding").select("vec_id", F.transform(vectors.doubles(F.col("embedding")), lambda x: x / (F.col("n") + F.lit(1e-8))).alias("v"))
+    made = vectors.with_normalised(t("embeddings").select("vec_id", "embedding"), "embedding", "v")
     return rounded(made.select("vec_id", vectors.dot(F.col("v"), F.col("v")).alias("norm2")), "norm2")
 
 
@@ -514,9 +560,9 @@ def stride_sample(t: Load) -> DataFrame:
     return sequence.stride_sample(t("events"), "event_id", 23.976, 2).select("event_id")
 
 
-@query("SELECT n_name, i // 6 AS page, i % 6 // 3 AS r, i % 3 AS c, lpad(CAST(i AS VARCHAR), 5, '0') AS serial FROM (SELECT n_name, row_number() OVER (ORDER BY n_name) - 1 AS i FROM nation)")
+@query("SELECT p_partkey, i // 6 AS page, i % 6 // 3 AS r, i % 3 AS c, format('{:05d}', i) AS serial FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS i FROM part)")
 def page_layout(t: Load) -> DataFrame:
-    return sequence.page_layout(t("nation").select("n_name"), ["n_name"], 6, 3)
+    return sequence.page_layout(t("part").select("p_partkey"), ["p_partkey"], 6, 3)
 
 
 @query("SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 16")
@@ -524,7 +570,7 @@ def top_by_area(t: Load) -> DataFrame:
     return t("part").select("p_partkey", "p_retailprice").orderBy(F.desc("p_retailprice"), "p_partkey").limit(16)
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, fell_back FROM (SELECT *, l_quantity < 30 AS fell_back, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity < 30, CASE WHEN l_quantity >= 30 THEN 0 ELSE -l_quantity END, l_linenumber, l_partkey) AS k FROM
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, fell_back FROM (SELECT *, l_quantity < 30 AS fell_back, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity < 30, CASE WHEN l_quantity >= 30 THEN 0 ELSE -l_quantity END, l_linenumber, l_partkey, l_quantity) AS k FROM
 (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem)) WHERE k = 1""")
 def retry_first_pass_else_best(t: Load) -> DataFrame:
     return sequence.first_pass_else_best(t("lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey"], "l_quantity", 30.0)
@@ -548,12 +594,12 @@ def group_collect_in_order(t: Load) -> DataFrame:
 # ---- pixels and boxes
 
 
-CHANNELS = "(SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(l_quantity * 5 AS DOUBLE) AS r, CAST(l_discount * 2500 AS DOUBLE) AS g, CAST(l_tax * 3000 AS DOUBLE) AS b FROM lineitem WHERE l_linenumber <= 6)"
+CHANNELS = "(SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(l_quantity * 5 AS DOUBLE) AS r, CAST(l_discount * 2500 AS DOUBLE) AS g, CAST(l_tax * 3000 AS DOUBLE) AS b FROM lineitem)"
 KEYS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
 
 
 def channels(t: Load) -> DataFrame:
-    return t("lineitem").filter("l_linenumber <= 6").select(*KEYS, (F.col("l_quantity") * 5).alias("r"), (F.col("l_discount") * 2500).alias("g"), (F.col("l_tax") * 3000).alias("b"))
+    return t("lineitem").select(*KEYS, (F.col("l_quantity") * 5).alias("r"), (F.col("l_discount") * 2500).alias("g"), (F.col("l_tax") * 3000).alias("b"))
 
 
 @query(f"""SELECT l_orderkey, l_partkey, round((x0 + x1) / 2 / 640, 6) AS cx, round((x1 - x0) / 640, 6) AS w, CAST(least(greatest(0, trunc(r - CAST(round(g) AS INTEGER) / 2)), greatest(0, 255 - CAST(round(g) AS INTEGER))) AS INTEGER) AS x_start, count(*) AS n FROM
@@ -591,18 +637,14 @@ def steps(values: list[float]) -> str:
     return "CASE s " + " ".join(f"WHEN {k} THEN {v}::DOUBLE" for k, v in enumerate(values)) + " END"
 
 
-@query(f"""WITH c AS (SELECT *, CAST(l_linenumber - 1 AS INTEGER) AS s FROM {CHANNELS}) SELECT s AS severity, CAST(sum(CASE WHEN s = 0 THEN trunc(r) ELSE trunc(least(greatest(r * {steps(pixels.LOW_LIGHT)} + 1e-7, 0), 255)) END) AS BIGINT) AS dark,
-CAST(sum(CASE WHEN s = 0 THEN trunc(r) ELSE trunc(least(greatest((r - 128) * {steps(pixels.CONTRAST)} + 128 + 1e-7, 0), 255)) END) AS BIGINT) AS flat,
-CAST(sum(CASE WHEN s = 0 THEN trunc(r) ELSE trunc(least(greatest(r * (1 - {steps(pixels.GREY_MIX)}) + g * {steps(pixels.GREY_MIX)} + 1e-7, 0), 255)) END) AS BIGINT) AS grey FROM c GROUP BY 1""")
+@query(f"""WITH c AS (SELECT *, CAST((l_linenumber - 1) % 6 AS INTEGER) AS s FROM {CHANNELS}) SELECT s AS severity, CAST(sum(CASE WHEN s = 0 THEN trunc(r) ELSE trunc(round(least(greatest(r * {steps(pixels.LOW_LIGHT)}, 0), 255), 6)) END) AS BIGINT) AS dark,
+CAST(sum(CASE WHEN s = 0 THEN trunc(r) ELSE trunc(round(least(greatest((r - 128) * {steps(pixels.CONTRAST)} + 128, 0), 255), 6)) END) AS BIGINT) AS flat,
+CAST(sum(CASE WHEN s = 0 THEN trunc(r) ELSE trunc(round(least(greatest(r * (1 - {steps(pixels.GREY_MIX)}) + g * {steps(pixels.GREY_MIX)}, 0), 255), 6)) END) AS BIGINT) AS grey FROM c GROUP BY 1""")
 def pixel_noise_pointwise(t: Load) -> DataFrame:
-    s, tiny = F.col("severity"), F.lit(1e-7)
-    c = channels(t).withColumn("severity", (F.col("l_linenumber") - 1).cast("int"))
-    # a constant far below a step keeps both engines on one side of it
-    dark = F.when(s == 0, F.col("r").cast("int")).otherwise(pixels.stored(F.col("r") * pixels.by_severity(s, pixels.LOW_LIGHT) + tiny))
-    flat = F.when(s == 0, F.col("r").cast("int")).otherwise(pixels.stored((F.col("r") - 128) * pixels.by_severity(s, pixels.CONTRAST) + 128 + tiny))
-    f = pixels.by_severity(s, pixels.GREY_MIX)
-    grey = F.when(s == 0, F.col("r").cast("int")).otherwise(pixels.stored(F.col("r") * (1 - f) + F.col("g") * f + tiny))
-    return c.groupBy("severity").agg(F.sum(dark).alias("dark"), F.sum(flat).alias("flat"), F.sum(grey).alias("grey"))
+    s, r, g = F.col("severity"), F.col("r"), F.col("g")
+    c = channels(t).withColumn("severity", ((F.col("l_linenumber") - 1) % 6).cast("int"))
+    noise = {"dark": pixels.low_light(r, s), "flat": pixels.contrast(r, F.lit(128.0), s), "grey": pixels.grey_mix(r, g, s)}
+    return c.groupBy("severity").agg(*[F.sum(x).alias(n) for n, x in noise.items()])
 
 
 @query(f"SELECT l_orderkey, round(avg(abs((255 - (255 - r) * (255 - g) / 255) - r) * (b / 255)), 6) AS visibility FROM {CHANNELS} GROUP BY 1")

@@ -53,7 +53,7 @@ def class_scene(files: DataFrame, root: str, path: str = "path") -> DataFrame:
 
 def pool_of(files: DataFrame, pools: DataFrame, name: Column) -> DataFrame:
     """Adds the pool (key, pool: a small inventory) of each file by its name's first part; unmapped files go."""
-    return files.withColumn("key", F.split(name, "_").getItem(0)).join(F.broadcast(pools), "key")
+    return files.withColumn("key", F.split(name, "_").getItem(0)).join(pools, "key")
 
 
 def pool_members(split: DataFrame) -> DataFrame:

@@ -175,6 +175,50 @@ def test_noise(spark):
     assert (images.corrupt(flat, "defocus", 3, 0) == 77).all() and (images.corrupt(flat, "motion_blur", 2, 0) == 77).all()
 
 
+def test_random_noise_is_drawn_by_id(spark):
+    x = np.random.default_rng(5).integers(0, 256, (17, 23, 3), dtype=np.uint8)
+    df = spark.createDataFrame([(i, 17, 23, bytearray(x.tobytes())) for i in range(60)], "id long, height int, width int, pixels binary")
+    got = images.augmented(df, images.ALL9).collect()
+    assert len({r["noise"] for r in got}) >= 7 and {r["severity"] for r in got} <= {1, 2, 3, 4, 5}
+    assert sorted(map(str, got)) == sorted(map(str, images.augmented(df.repartition(3), images.ALL9).collect()))
+    assert set(images.ALL9) == set(images.NOISE)
+
+
+def test_jpeg_loses_more_at_higher_severity():
+    rows, columns = np.mgrid[:40, :56]
+    x = np.stack([rows * 6, columns * 4, 255 - rows * 3], axis=-1).clip(0, 255).astype(np.uint8)
+    x[10:20, 10:20] = np.random.default_rng(1).integers(0, 256, (10, 10, 3))
+    lost = [np.abs(images.corrupt(x, "jpeg", s, 0).astype(int) - x).mean() for s in range(6)]
+    assert lost[0] == 0 and lost[1] > 0 and lost[5] > 2 * lost[1]
+    grey = np.full((16, 16, 3), 128, np.uint8)
+    assert (images.corrupt(grey, "jpeg", 5, 0) == 128).all()
+
+
+def test_composite():
+    under = np.full((60, 80, 3), 40, np.uint8)
+    sprite = np.zeros((20, 20, 4), np.uint8)
+    sprite[5:15, 5:15] = (255, 220, 120, 255)
+    plain = images.composite(under, sprite, (40, 30), feather=False, colour=False, screened=False, bloom=False, spill=False)
+    assert images.bounding_box((plain != under).any(-1)) == (35, 25, 45, 35) and tuple(plain[30, 40]) == (255, 220, 120)
+    edge = images.composite(under, sprite, (-50, 500), False, False, False, False, False)
+    assert images.bounding_box((edge != under).any(-1)) == (5, 45, 15, 55)
+    lit = images.composite(under, sprite, (40, 30))
+    assert lit[30, 40, 0] == 255 and lit[30, 46, 0] > lit[30, 46, 2] > 40 and (lit[0, 0] == 40).all()
+
+
+def test_backbones(spark):
+    from cindertally.operators import backbones
+
+    def broken():
+        raise OSError("no weights")
+
+    registry = {"a": [broken, lambda: None, backbones.hashed_text], "b": [broken], "c": [backbones.stored_vectors]}
+    assert backbones.available(["c", "b", "a", "z"], registry) == ["c", "a"]
+    df = spark.createDataFrame([(1, "a b b"), (2, None)], "id long, t string")
+    got = {r["id"]: r for r in backbones.embedded(df, "id", "t", "a", registry, batch=1).collect()}
+    assert got[1]["used"] == 2 and sum(map(abs, got[1]["embedding"])) == 3 and not any(got[2]["embedding"])
+
+
 def test_shapes_in_images():
     mask = np.zeros((40, 40), bool)
     mask[2:12, 3:20] = True
