@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from ..session import stored
 from .columns import sliced, small_batches
 
 CACHE = "content string, tokenizer string, n_tokens long"
@@ -85,6 +86,9 @@ def fill(docs: DataFrame, cache_path: str, tokenizer_path: str) -> None:
     keyed = digests(docs).withColumn("key", F.coalesce("doc_id", F.lit(-1)))
     # one document stands for each missing content; rows carry digests, not texts
     missing = keyed.select("content", "key").join(cached(read_cache(docs, cache_path), name, docs).select("content"), "content", "left_anti").groupBy("content").agg(F.min("key").alias("key"))
+    missing = stored(missing, "counts-missing", compression="zstd")
+    if not missing.limit(1).count():
+        return  # no text is read, shuffled or encoded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(tokenizer_path)
