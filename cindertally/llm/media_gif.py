@@ -9,8 +9,10 @@ what the stream gave at code p and one sample more; each output sample therefore
 earlier one, and pointer doubling resolves them all.
 
 Cases: a null text is empty; an empty one still has one row of padding. Very long texts become
-many frames. Repeated texts give repeated media. An empty table gives an empty result. Damaged
-streams raise ValueError. Other columns play no part.
+many frames. Repeated texts give repeated media. An empty table gives an empty result. A damaged file
+(cut off, without its end marker, with codes or sizes that can't be, or a canvas over MOST_PIXELS)
+raises ValueError when decoded alone; in a column it becomes a row of nulls with an error, and has no
+frames. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from ..session import stored
 from .columns import sliced, small_batches
 
 WIDTH, ROWS, DELAY = 192, 64, 4
+#: No canvas or frame may be larger.
+MOST_PIXELS = 1 << 26
 GREY = bytes(x for v in range(256) for x in (v, v, v))
 
 
@@ -168,10 +172,19 @@ def encode_gif(payload: bytes, width: int = WIDTH, rows: int = ROWS, delay: int
 
 
 def decode_gif(data: bytes) -> tuple[int, int, list[Frame]]:
-    """Canvas width and height, and the frames in order."""
+    """Canvas width and height, and the frames in order; ValueError for a damaged file."""
+    try:
+        return decoded_blocks(data)
+    except (struct.error, IndexError, KeyError) as e:
+        raise ValueError(f"damaged: {e}") from e
+
+
+def decoded_blocks(data: bytes) -> tuple[int, int, list[Frame]]:
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     width, height, flags, _, _ = struct.unpack_from("<HHBBB", data, 6)
+    if width * height > MOST_PIXELS:
+        raise ValueError("the canvas is too large")
     at, shared = 13, np.zeros((0, 3), dtype=np.uint8)
     if flags & 0x80:
         n = 2 << (flags & 7)
@@ -197,6 +210,8 @@ def decode_gif(data: bytes) -> tuple[int, int, list[Frame]]:
         if data[at] != 0x2C:
             raise ValueError("unknown block")
         left, top, w, h, flags = struct.unpack_from("<HHHHB", data, at + 1)
+        if w * h > MOST_PIXELS:
+            raise ValueError("a frame is too large")
         at += 10
         palette = shared
         if flags & 0x80:
@@ -215,6 +230,8 @@ def decode_gif(data: bytes) -> tuple[int, int, list[Frame]]:
             samples = rows
         frames.append(Frame(left, top, samples, palette, delay, disposal, transparent))
         delay, disposal, transparent = 0, 0, None
+    if at >= len(data):
+        raise ValueError("the end marker is missing")
     return width, height, frames
 
 
@@ -255,12 +272,15 @@ def frame_rows(media: bytes) -> Iterator[tuple[int, int, int, list[int]]]:
 
 
 def gif_frames(media: DataFrame, column: str = "media", key: str = "doc_id") -> DataFrame:
-    """Timed frames of a column of GIF files: key, frame, start_ms, duration_ms, histogram. Null media have none."""
+    """Timed frames of a column of GIF files: key, frame, start_ms, duration_ms, histogram. Null and damaged media have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = [(k, *r) for r in frame_rows(data)] if data else []
+                try:
+                    rows = [(k, *r) for r in frame_rows(data)] if data is not None else []
+                except ValueError:
+                    rows = []
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)], ["key", "frame", "start_ms", "duration_ms", "histogram"])
 
@@ -288,20 +308,24 @@ def text_media(docs: DataFrame) -> DataFrame:
 
 def media_features(media: DataFrame) -> DataFrame:
     """Decodes stored media: doc_id, n_bytes and digests of the payload and of the file, frames, time, histogram."""
-    out = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, duration_ms long"
+    out = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, duration_ms long, error string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in sliced(whole, "media"):
                 rows = []
                 for doc, n, data in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media")), strict=True):
-                    width, height, frames = decode_gif(data)
+                    try:
+                        width, height, frames = decode_gif(data or b"")
+                    except ValueError as e:
+                        rows.append((doc, n, *[None] * 8, str(e)))
+                        continue
                     payload = b"".join(f.samples.tobytes() for f in frames)
                     seen = [histogram(f, width, height) if f.transparent is None and f.samples.shape == (height, width) else None for f in frames]
                     if any(x is None for x in seen):
                         seen = [x if x is not None else histogram(f, width, height, shown) for x, f, shown in zip(seen, frames, compose(width, height, frames), strict=True)]
-                    total = np.sum(seen, axis=0)
-                    rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), " ".join(f"{k}:{v}" for k, v in enumerate(total.tolist()) if v), len(frames), sum(10 * f.delay for f in frames)))
+                    total = np.sum(seen, axis=0) if seen else np.zeros(64, dtype=np.int64)
+                    rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), " ".join(f"{k}:{v}" for k, v in enumerate(total.tolist()) if v), len(frames), sum(10 * f.delay for f in frames), None))
                 kinds = [pa.string() if t.endswith("string") else pa.int64() for t in out.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], [t.split(" ")[0] for t in out.split(", ")])
 
