@@ -13,8 +13,9 @@ their sets' Jaccard similarity is 0.8 or more; the join is exact.
    tokens, one is rare or two share a bucket, so no link is lost. B depends on the size's power of
    two; sizes whose partners may lie in the power below use both.
 4. Round one verifies documents against the first ones of their index keys: enough to join groups of
-   near copies without their pairs. Each meets one partner first, and others only while they are apart. Components follow. Round two takes only keys that
-   still hold several components, and of these the pairs of documents of different components for
+   near copies without their pairs. Each meets one partner first, and others only while they are apart. Components follow. Then each meets, at every key
+   that still holds several components, one member of the most common of them. Round two takes only keys
+   that hold several components even so, and of these the pairs of documents of different components for
    which sizes and positions allow a link: what two documents can still share behind a key's later
    token, and before it among frequent tokens only, must reach the overlap that a link needs. So
    documents that share a passage too short for a link never meet, however many they are, and a
@@ -233,7 +234,7 @@ def label_of(labels: DataFrame | None, keys: DataFrame, column: str) -> DataFram
 
 
 def combinations_of(postings: DataFrame) -> DataFrame:
-    """Keys of pairs of tokens of one bucket, from the frequent tokens (doc, n, token, pos).
+    """Keys of pairs of tokens of one bucket, from the frequent tokens (doc, n, label, token, pos); labels go along.
 
     room: what a set can share with another of which the first B + 1 shared tokens are frequent and
     two of them make the key: all from the later one on, and B or the frequent tokens before it.
@@ -242,7 +243,7 @@ def combinations_of(postings: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple[np.ndarray, ...]] = []
-            for doc, k, tokens, pos in zip(*(batch.column(c).to_pylist() for c in ("doc", "n", "tokens", "pos")), strict=True):
+            for doc, k, label, tokens, pos in zip(*(batch.column(c).to_pylist() for c in ("doc", "n", "label", "tokens", "pos")), strict=True):
                 tokens, pos = np.array(tokens, dtype=np.int64).astype(np.uint64), np.array(pos, dtype=np.int64)
                 before = np.argsort(np.argsort(pos))
                 power = k.bit_length() - 1
@@ -260,13 +261,13 @@ def combinations_of(postings: DataFrame) -> DataFrame:
                         same, later = same[fits], later[fits]
                         with np.errstate(over="ignore"):
                             key = mix(mix(t[same] + np.uint64(p)) * np.uint64(3) + t[same + d])
-                        out.append((key.astype(np.int64), np.full(len(same), doc), np.full(len(same), k, dtype=np.int32), room[later].astype(np.int32), (KEEP + OF) * room[later] >= 2 * KEEP * k))
+                        out.append((key.astype(np.int64), np.full(len(same), doc), np.full(len(same), k, dtype=np.int32), np.full(len(same), label), room[later].astype(np.int32), (KEEP + OF) * room[later] >= 2 * KEEP * k))
                         d += 1
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["token", "doc", "n", "room", "idx"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["token", "doc", "n", "label", "room", "idx"])
 
-    grouped = postings.groupBy("doc", "n").agg(F.collect_list(F.struct("token", "pos")).alias("t"))  # a document's own prefix at most
-    return grouped.select("doc", "n", F.col("t.token").alias("tokens"), F.col("t.pos").alias("pos")).mapInArrow(run, "token long, doc long, n int, room int, idx boolean")
+    grouped = postings.groupBy("doc", "n", "label").agg(F.collect_list(F.struct("token", "pos")).alias("t"))  # a document's own prefix at most
+    return grouped.select("doc", "n", "label", F.col("t.token").alias("tokens"), F.col("t.pos").alias("pos")).mapInArrow(run, "token long, doc long, n int, label long, room int, idx boolean")
 
 
 def several(postings: DataFrame) -> DataFrame:
@@ -275,6 +276,18 @@ def several(postings: DataFrame) -> DataFrame:
     return postings.join(stored(mixed, "ngram-several", compression="zstd").hint("merge"), "token")
 
 
+def partners(postings: DataFrame) -> DataFrame:
+    """Pairs, one a row of postings at most: documents and a member of the label that is most common at their key.
+
+    The member is drawn by key, so that a document meets several members of a large component.
+    """
+    drawn = F.struct(F.xxhash64("token", "doc").alias("h"), F.col("doc").alias("p"), F.col("n").alias("pn"), F.col("pos").alias("pp"))
+    sides = postings.groupBy("token", "label").agg(F.struct(F.count("*").alias("many"), F.min(drawn).alias("of"), F.col("label").alias("pl")).alias("side"))
+    main = sides.groupBy("token").agg(F.max("side").alias("m")).select("token", "m.pl", "m.of.p", "m.of.pn", "m.of.pp")
+    met = postings.join(main.hint("merge"), "token").filter("label <> pl").filter(may_link("pn", "pp", "n", "pos"))
+    return met.select(F.least("p", "doc").alias("a"), F.greatest("p", "doc").alias("b")).distinct()
+
+
 def cross_pairs(postings: DataFrame) -> DataFrame:
     """Pairs of documents of different labels that share a key, as sizes and rooms allow."""
     x = postings.filter("idx").select("token", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("room").alias("ra"), F.col("label").alias("la"))
@@ -319,12 +332,17 @@ def links_and_classes(docs: DataFrame, n: int = N) -> tuple[DataFrame, DataFrame
     links = staged(tested, sets_of(ends(tested), docs, n, key))
     labels = components(links)
 
-    left = stored(several(label_of(labels, kept.select("token", "doc", "n", "pos", "idx"), "doc")), "ngram-left", compression="zstd")
+    apart = stored(several(label_of(labels, kept.select("token", "doc", "n", "pos", "idx"), "doc")), "ngram-apart", compression="zstd")
+    drawn = stored(partners(apart).join(tested, ["a", "b"], "left_anti"), "ngram-partners")
+    links = staged(drawn, sets_of(ends(drawn), docs, n, key), links)
+    labels = components(links)
+
+    left = stored(several(label_of(labels, apart.drop("label", "many"), "doc")), "ngram-left", compression="zstd")
     spare_ = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.length(F.bin(F.col("n").cast("long"))) - 6 + 1, F.lit(0))).cast("int")  # of the partner too, at most one power up
     alone = left.filter(F.col("many") <= FREQUENT).select("token", "doc", "n", (F.col("n") - F.col("pos") + spare_).alias("room"), "idx", "label")
-    paired = several(label_of(labels, combinations_of(left.filter(F.col("many") > FREQUENT)), "doc"))
+    paired = several(combinations_of(left.filter(F.col("many") > FREQUENT)))
     paired = stored(paired.select("token", "doc", "n", "room", "idx", "label"), "ngram-pairs", compression="zstd")
-    more = stored(cross_pairs(alone).union(cross_pairs(paired)).distinct().join(tested, ["a", "b"], "left_anti"), "ngram-more")
+    more = stored(cross_pairs(alone).union(cross_pairs(paired)).distinct().join(tested.union(drawn), ["a", "b"], "left_anti"), "ngram-more")
     return members, classes, components(staged(more, sets_of(ends(more), docs, n, key), links))
 
 
