@@ -16,7 +16,9 @@ their sets' Jaccard similarity is 0.8 or more; the join is exact.
    near copies without their pairs. Each meets one partner first, and others only while they are apart. Components follow. Round two takes only keys that
    still hold several components, and of these the pairs of documents of different components for
    which sizes and positions allow a link: what two documents can still share behind a key's later
-   token, and before it among frequent tokens only, must reach the overlap that a link needs. So
+   token, and before it among frequent tokens only, must reach the overlap that a link needs, and
+   their marks (256 bits a set, the parities of its tokens dealt to them) must not differ by more than
+   a link allows; this holds for the pairs of round one, too. So
    documents that share a passage too short for a link never meet, however many they are, and a
    group that is already one component yields no pairs. All that remains is verified on whole sets.
 
@@ -47,7 +49,9 @@ SKETCH, SKETCH_BLOCK = 1 << 20, 1 << 12
 FREQUENT = 16
 #: Keys that the sketch holds to be this common are dealt to several tasks in round one.
 CROWD = 256
-SCANNED = "doc_id long, n int, d1 long, d2 long, block int, counts binary"
+#: Bits of a set's marks, in longs.
+MARKS = ["p0", "p1", "p2", "p3"]
+SCANNED = f"doc_id long, n int, d1 long, d2 long, {', '.join(f'{p} long' for p in MARKS)}, block int, counts binary"
 
 
 def token_sets(texts: pa.Array, n: int = N, key: int = 0) -> list[np.ndarray]:
@@ -70,12 +74,25 @@ def digest(tokens: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
+def marks_of(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of marks for each set: whether the number of its tokens dealt to a bit is odd.
+
+    Two sets' marks differ in a bit only if a token of one of them alone was dealt to it, so that they
+    differ in as many tokens as their marks in bits, at least.
+    """
+    width = 64 * len(MARKS)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    tokens = np.concatenate([*sets, np.zeros(0, np.uint64)])
+    odd = np.bincount(owner * width + (tokens >> np.uint64(64 - width.bit_length() + 1)).astype(np.int64), minlength=width * len(sets)) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").reshape(-1, len(MARKS))
+
+
 def scan(docs: DataFrame, n: int, key: int) -> DataFrame:
     """Size and digest of every set, and rows of sketch counts: stored, a few bytes a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split(" ")[0] for x in SCANNED.split(", ")]
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), *(pa.int64() for _ in MARKS), pa.int32(), pa.binary()]
         counts = np.zeros(SKETCH, dtype=np.uint32)
         some = False
         for whole in batches:
@@ -85,10 +102,10 @@ def scan(docs: DataFrame, n: int, key: int) -> DataFrame:
                 tokens = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
                 counts += np.bincount((tokens & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
                 d = [digest(s) for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], kinds[1]), pa.array([x for x, _ in d], kinds[2]), pa.array([x for _, x in d], kinds[3]), pa.nulls(len(sets), kinds[4]), pa.nulls(len(sets), kinds[5])], names)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], kinds[1]), pa.array([x for x, _ in d], kinds[2]), pa.array([x for _, x in d], kinds[3]), *(pa.array(x) for x in marks_of(sets).T), pa.nulls(len(sets), kinds[-2]), pa.nulls(len(sets), kinds[-1])], names)
         if some:
             k = SKETCH // SKETCH_BLOCK
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(k, t) for t in kinds[:4]), pa.array(range(k), kinds[4]), pa.array([x.tobytes() for x in counts.reshape(k, -1)], kinds[5])], names)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(k, t) for t in kinds[:-2]), pa.array(range(k), kinds[-2]), pa.array([x.tobytes() for x in counts.reshape(k, -1)], kinds[-1])], names)
 
     return stored(docs.select("doc_id", "text").mapInArrow(run, SCANNED), "ngram-scan", compression="zstd")
 
@@ -155,6 +172,17 @@ def may_link(na: str, pa: str, nb: str, pb: str) -> Column:
     return (OF * small >= KEEP * large) & ((KEEP + OF) * (spare_ + behind) >= KEEP * (small + large))
 
 
+def close(na: str, nb: str, a: str, b: str) -> Column:
+    """Whether sets of na and nb tokens can link, by their marks: columns whose names begin with a and b."""
+    differ = sum((F.bit_count(F.col(a + p).bitwiseXOR(F.col(b + p))) for p in MARKS), F.lit(0))
+    return (KEEP + OF) * differ <= (OF - KEEP) * (F.col(na) + F.col(nb))
+
+
+def marked(rows: DataFrame, marks: DataFrame, column: str, prefix: str) -> DataFrame:
+    """rows with size and marks of a column of ids; by shuffle at any size, as marks grow with the input."""
+    return rows.join(marks.select(F.col("id").alias(column), *(F.col(c).alias(prefix + c) for c in ("n", *MARKS))).hint("merge"), column)
+
+
 def sets_of(ids: DataFrame, docs: DataFrame, n: int, key: int) -> DataFrame:
     """id, tokens (sorted 64-bit hashes) of these documents (doc_id): made again from their texts and stored."""
 
@@ -275,12 +303,12 @@ def several(postings: DataFrame) -> DataFrame:
     return postings.join(stored(mixed, "ngram-several", compression="zstd").hint("merge"), "token")
 
 
-def cross_pairs(postings: DataFrame) -> DataFrame:
-    """Pairs of documents of different labels that share a key, as sizes and rooms allow."""
-    x = postings.filter("idx").select("token", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("room").alias("ra"), F.col("label").alias("la"))
-    y = postings.select(F.col("token").alias("t"), F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("room").alias("rb"), F.col("label").alias("lb"))
-    later = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    fits = (OF * F.col("na") >= KEEP * F.col("nb")) & ((KEEP + OF) * F.least("ra", "rb") >= KEEP * (F.col("na") + F.col("nb")))
+def cross_pairs(postings: DataFrame, marks: DataFrame) -> DataFrame:
+    """Pairs of documents of different labels that share a key, as sizes, rooms and marks allow."""
+    x = marked(postings.filter("idx").select("token", F.col("doc").alias("a"), F.col("room").alias("ra"), F.col("label").alias("la")), marks, "a", "x")
+    y = marked(postings.select(F.col("token").alias("t"), F.col("doc").alias("b"), F.col("room").alias("rb"), F.col("label").alias("lb")), marks, "b", "y")
+    later = (F.col("xn") < F.col("yn")) | ((F.col("xn") == F.col("yn")) & (F.col("a") < F.col("b")))
+    fits = (OF * F.col("xn") >= KEEP * F.col("yn")) & ((KEEP + OF) * F.least("ra", "rb") >= KEEP * (F.col("xn") + F.col("yn"))) & close("xn", "yn", "x", "y")
     met = x.join(y.hint("merge"), (F.col("token") == F.col("t")) & (F.col("la") != F.col("lb")) & later & fits)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -291,10 +319,11 @@ def links_and_classes(docs: DataFrame, n: int = N) -> tuple[DataFrame, DataFrame
     key = new_key()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scanned = scan(docs, n, key)
-    sets = scanned.filter(F.col("block").isNull()).select("doc_id", "n", "d1", "d2")
-    classes = sets.filter((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("stands"))
+    sets = scanned.filter(F.col("block").isNull()).select("doc_id", "n", "d1", "d2", *MARKS)
+    classes = sets.filter((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("stands"), *(F.min(p).alias(p) for p in MARKS))
     classes = stored(classes, "ngram-classes")
-    members = sets.join(classes, ["n", "d1", "d2"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("stands", "doc_id")).alias("stands"))
+    marks = classes.select(F.col("stands").alias("id"), "n", *MARKS)
+    members = sets.drop(*MARKS).join(classes.drop(*MARKS), ["n", "d1", "d2"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("stands", "doc_id")).alias("stands"))
 
     found = prefixes(docs, classes.filter(F.col("n") >= KEEP).select(F.col("stands").alias("doc_id")), levels(scanned), n, key)
     by_key = Window.partitionBy("token", "salt").orderBy("pos", "n", "doc")
@@ -314,6 +343,7 @@ def links_and_classes(docs: DataFrame, n: int = N) -> tuple[DataFrame, DataFrame
     heads = kept.filter("salt >= 0").select("token", F.struct(F.col("head_pos").alias("pos"), F.col("head").alias("doc")).alias("h")).distinct()
     across = heads.join(heads.groupBy("token").agg(F.min("h").alias("t")), "token").select(F.col("t.doc").alias("p"), F.col("h.doc").alias("doc")).filter("p <> doc")
     tested = star.union(across).select(F.least("p", "doc").alias("a"), F.greatest("p", "doc").alias("b")).distinct()
+    tested = marked(marked(tested, marks, "a", "x"), marks, "b", "y").filter(close("xn", "yn", "x", "y")).select("a", "b").distinct()
     tested = stored(tested, "ngram-tested")
     ends = lambda pairs: pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
     links = staged(tested, sets_of(ends(tested), docs, n, key))
@@ -321,10 +351,10 @@ def links_and_classes(docs: DataFrame, n: int = N) -> tuple[DataFrame, DataFrame
 
     left = stored(several(label_of(labels, kept.select("token", "doc", "n", "pos", "idx"), "doc")), "ngram-left", compression="zstd")
     spare_ = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.length(F.bin(F.col("n").cast("long"))) - 6 + 1, F.lit(0))).cast("int")  # of the partner too, at most one power up
-    alone = left.filter(F.col("many") <= FREQUENT).select("token", "doc", "n", (F.col("n") - F.col("pos") + spare_).alias("room"), "idx", "label")
+    alone = left.filter(F.col("many") <= FREQUENT).select("token", "doc", (F.col("n") - F.col("pos") + spare_).alias("room"), "idx", "label")
     paired = several(combinations_of(left.filter(F.col("many") > FREQUENT)))
-    paired = stored(paired.select("token", "doc", "n", "room", "idx", "label"), "ngram-pairs", compression="zstd")
-    more = stored(cross_pairs(alone).union(cross_pairs(paired)).distinct().join(tested, ["a", "b"], "left_anti"), "ngram-more")
+    paired = stored(paired.select("token", "doc", "room", "idx", "label"), "ngram-pairs", compression="zstd")
+    more = stored(cross_pairs(alone, marks).union(cross_pairs(paired, marks)).distinct().join(tested, ["a", "b"], "left_anti"), "ngram-more")
     return members, classes, components(staged(more, sets_of(ends(more), docs, n, key), links))
 
 
