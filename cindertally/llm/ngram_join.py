@@ -18,7 +18,8 @@ their sets' Jaccard similarity is 0.8 or more; the join is exact.
    which sizes and positions allow a link: what two documents can still share behind a key's later
    token, and before it among frequent tokens only, must reach the overlap that a link needs, and
    their marks (256 bits a set, the parities of its tokens dealt to them) must not differ by more than
-   a link allows; this holds for the pairs of round one, too. So
+   a link allows; what is left meets wider marks, of two bits a token and more, before sets are read.
+   Both hold for the pairs of round one, too. So
    documents that share a passage too short for a link never meet, however many they are, and a
    group that is already one component yields no pairs. All that remains is verified on whole sets.
 
@@ -51,7 +52,7 @@ FREQUENT = 16
 CROWD = 256
 #: Bits of a set's marks, in longs.
 MARKS = ["p0", "p1", "p2", "p3"]
-SCANNED = f"doc_id long, n int, d1 long, d2 long, {', '.join(f'{p} long' for p in MARKS)}, block int, counts binary"
+SCANNED = f"doc_id long, n int, d1 long, d2 long, {', '.join(f'{p} long' for p in MARKS)}, wide binary, block int, counts binary"
 
 
 def token_sets(texts: pa.Array, n: int = N, key: int = 0) -> list[np.ndarray]:
@@ -87,12 +88,25 @@ def marks_of(sets: list[np.ndarray]) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").reshape(-1, len(MARKS))
 
 
+def wide_mark(tokens: np.ndarray) -> bytes:
+    """Marks as above in more than two bits a token, as a power of two and 64 at least: long sets fill the narrow ones."""
+    power = max(6, (2 * len(tokens)).bit_length())
+    odd = np.bincount((tokens >> np.uint64(64 - power)).astype(np.int64), minlength=1 << power) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def bits_apart(x: bytes, y: bytes) -> int:
+    """Bits in which two wide marks differ; the wider one is folded to the other's width first."""
+    u, v = sorted((np.unpackbits(np.frombuffer(m, np.uint8), bitorder="little") for m in (x, y)), key=len)
+    return int((u ^ np.bitwise_xor.reduce(v.reshape(len(u), -1), axis=1)).sum())
+
+
 def scan(docs: DataFrame, n: int, key: int) -> DataFrame:
     """Size and digest of every set, and rows of sketch counts: stored, a few bytes a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split(" ")[0] for x in SCANNED.split(", ")]
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), *(pa.int64() for _ in MARKS), pa.int32(), pa.binary()]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), *(pa.int64() for _ in MARKS), pa.binary(), pa.int32(), pa.binary()]
         counts = np.zeros(SKETCH, dtype=np.uint32)
         some = False
         for whole in batches:
@@ -102,7 +116,7 @@ def scan(docs: DataFrame, n: int, key: int) -> DataFrame:
                 tokens = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
                 counts += np.bincount((tokens & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
                 d = [digest(s) for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], kinds[1]), pa.array([x for x, _ in d], kinds[2]), pa.array([x for _, x in d], kinds[3]), *(pa.array(x) for x in marks_of(sets).T), pa.nulls(len(sets), kinds[-2]), pa.nulls(len(sets), kinds[-1])], names)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], kinds[1]), pa.array([x for x, _ in d], kinds[2]), pa.array([x for _, x in d], kinds[3]), *(pa.array(x) for x in marks_of(sets).T), pa.array([wide_mark(s) for s in sets], pa.binary()), pa.nulls(len(sets), kinds[-2]), pa.nulls(len(sets), kinds[-1])], names)
         if some:
             k = SKETCH // SKETCH_BLOCK
             yield pa.RecordBatch.from_arrays([*(pa.nulls(k, t) for t in kinds[:-2]), pa.array(range(k), kinds[-2]), pa.array([x.tobytes() for x in counts.reshape(k, -1)], kinds[-1])], names)
@@ -183,6 +197,25 @@ def marked(rows: DataFrame, marks: DataFrame, column: str, prefix: str) -> DataF
     return rows.join(marks.select(F.col("id").alias(column), *(F.col(c).alias(prefix + c) for c in ("n", *MARKS))).hint("merge"), column)
 
 
+def ends(pairs: DataFrame) -> DataFrame:
+    """The ids in pairs (a, b)."""
+    return pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+
+
+def ruled(pairs: DataFrame, scanned: DataFrame) -> DataFrame:
+    """The pairs (a, b) that can link by their wide marks."""
+
+    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [(KEEP + OF) * bits_apart(x, y) <= (OF - KEEP) * (m + n) for x, y, m, n in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "na", "nb")), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    ids = stored(ends(pairs), "ngram-ids", compression="zstd")
+    wide = scanned.filter(F.col("block").isNull() & (F.col("n") > 0)).select("doc_id", "n", "wide").join(sized(ids), "doc_id", "left_semi")
+    met = pairs.join(wide.toDF("a", "na", "x").hint("merge"), "a").join(wide.toDF("b", "nb", "y").hint("merge"), "b")
+    return met.select("a", "b", "na", "nb", "x", "y").mapInArrow(left, "a long, b long").distinct()
+
+
 def sets_of(ids: DataFrame, docs: DataFrame, n: int, key: int) -> DataFrame:
     """id, tokens (sorted 64-bit hashes) of these documents (doc_id): made again from their texts and stored."""
 
@@ -249,7 +282,9 @@ def staged(pairs: DataFrame, sets: DataFrame, links: DataFrame | None = None) ->
     labels = components(found)
     rest = label_of(labels, pairs, "a").withColumnRenamed("label", "la")
     rest = label_of(labels, rest, "b").filter("la <> label").select("a", "b").join(one, ["a", "b"], "left_anti")
-    return found.union(stored(verified(stored(rest, "ngram-rest"), sets), "ngram-links"))
+    rest = stored(rest, "ngram-rest")
+    few = sets.join(sized(ends(rest).withColumnRenamed("doc_id", "id")), "id", "left_semi")
+    return found.union(stored(verified(rest, few), "ngram-links"))
 
 
 def label_of(labels: DataFrame | None, keys: DataFrame, column: str) -> DataFrame:
@@ -344,8 +379,7 @@ def links_and_classes(docs: DataFrame, n: int = N) -> tuple[DataFrame, DataFrame
     across = heads.join(heads.groupBy("token").agg(F.min("h").alias("t")), "token").select(F.col("t.doc").alias("p"), F.col("h.doc").alias("doc")).filter("p <> doc")
     tested = star.union(across).select(F.least("p", "doc").alias("a"), F.greatest("p", "doc").alias("b")).distinct()
     tested = marked(marked(tested, marks, "a", "x"), marks, "b", "y").filter(close("xn", "yn", "x", "y")).select("a", "b").distinct()
-    tested = stored(tested, "ngram-tested")
-    ends = lambda pairs: pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
+    tested = stored(ruled(stored(tested, "ngram-close"), scanned), "ngram-tested")
     links = staged(tested, sets_of(ends(tested), docs, n, key))
     labels = components(links)
 
@@ -354,7 +388,8 @@ def links_and_classes(docs: DataFrame, n: int = N) -> tuple[DataFrame, DataFrame
     alone = left.filter(F.col("many") <= FREQUENT).select("token", "doc", (F.col("n") - F.col("pos") + spare_).alias("room"), "idx", "label")
     paired = several(combinations_of(left.filter(F.col("many") > FREQUENT)))
     paired = stored(paired.select("token", "doc", "room", "idx", "label"), "ngram-pairs", compression="zstd")
-    more = stored(cross_pairs(alone, marks).union(cross_pairs(paired, marks)).distinct().join(tested, ["a", "b"], "left_anti"), "ngram-more")
+    more = cross_pairs(alone, marks).union(cross_pairs(paired, marks)).distinct().join(tested, ["a", "b"], "left_anti")
+    more = stored(ruled(stored(more, "ngram-close"), scanned), "ngram-more")
     return members, classes, components(staged(more, sets_of(ends(more), docs, n, key), links))
 
 
