@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir, table
-from . import line_dedup, media_gif, ngram_join, packing, piece_lattice, quality_gam, quality_rules, sharding, token_counts, token_files
+from . import chat_queries, line_dedup, media_gif, ngram_join, packing, piece_lattice, quality_gam, quality_rules, sharding, token_counts, token_files
 
 
 def tokenizer(name: str) -> str:
@@ -112,5 +112,5 @@ SELECT doc_id, n_lines, n_removed, strlen(text) AS n_bytes, sha256(text) AS text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_ngram_join, op2_line_dedup, op3_piece_lattice, op4_token_files, op5_gif_media, op6_token_counts, op7_packing, op8_quality_gam, op9_quality_rules, op10_sharding)
-}
-ORACLES: dict[str, str] = {"op1_ngram_join": OP1, "op2_line_dedup": OP2}
+} | chat_queries.QUERIES
+ORACLES: dict[str, str] = {"op1_ngram_join": OP1, "op2_line_dedup": OP2} | chat_queries.ORACLES
