@@ -23,6 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .columns import words
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -74,10 +75,14 @@ def failures(text: Column) -> list[Column]:
 
 
 def with_copies(rows: DataFrame, digest: str, key: str) -> DataFrame:
-    """Adds `copy`: whether a row of smaller key has the same digest."""
+    """Adds `copy`: whether a row of smaller key has the same digest.
+
+    The first keys are stored, so that both sides of the join are plain shuffles and a text that very many
+    rows hold can be split over tasks.
+    """
     known = rows.filter(F.col(key).isNotNull())
     first = known.groupBy(digest).agg(F.min(key).alias("_first"), F.max(key).alias("_last")).filter("_first < _last").select(digest, "_first")
-    return rows.join(first, digest, "left").withColumn("copy", F.coalesce(F.col(key) > F.col("_first"), F.lit(False))).drop("_first")
+    return rows.join(stored(first, "audit-first", compression="zstd"), digest, "left").withColumn("copy", F.coalesce(F.col(key) > F.col("_first"), F.lit(False))).drop("_first")
 
 
 def filter_audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -87,6 +92,6 @@ def filter_audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     bits = sum((F.when(f, 1 << k).otherwise(0) for k, f in enumerate(own)), F.lit(0))
     read = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), "doc_id", text.alias("body")).select("lang", "doc_id", F.unhex(F.sha2("body", 256)).alias("digest"), bits.alias("bits"))
     marked = labels.groupBy("doc_id").agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
-    flagged = with_copies(read, "digest", "doc_id").join(marked, "doc_id", "left")
+    flagged = with_copies(stored(read, "audit-rows", compression="zstd"), "digest", "doc_id").join(marked, "doc_id", "left")
     rows = flagged.select("lang", (F.col("bits") + F.when(F.col("copy"), 16).otherwise(0)).cast("int").alias("mask"), F.coalesce("good", F.lit(0)).alias("good"), F.coalesce("toxic", F.lit(0)).alias("toxic"))
     return interactions(rows, "lang", "mask", "ABCDE", ["good", "toxic"])
