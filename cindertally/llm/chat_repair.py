@@ -170,6 +170,7 @@ def placed(rows: DataFrame) -> DataFrame:
     dealt = small.repartitionByRange(*order).sortWithinPartitions(*order)
     held = stored(dealt.select("*", F.monotonically_increasing_id().alias("pos")).drop("_n"), "chat-rows", compression="zstd")
     first = held.groupBy(F.col("conv_id").alias("_c"), F.col("role").alias("_r"), F.col("digest").alias("_d")).agg(F.min("pos").alias("_first"), F.max("pos").alias("_last")).filter("_first < _last")
+    first = stored(first, "chat-first", compression="zstd")  # a plain shuffle on both sides, so that a hot row can be split
     met = held.join(first, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("role") == F.col("_r")) & (F.col("digest") == F.col("_d")), "left")
     duplicate = ~F.col("blank") & F.coalesce(F.col("pos") > F.col("_first"), F.lit(False))
     fault = F.when(F.col("blank"), 1).when(duplicate, 2).when(F.col("open"), 3).otherwise(0)
