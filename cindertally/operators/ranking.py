@@ -8,31 +8,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ratio_or_null
+from . import nearest
+from .ordered import exact_quantiles, prefix_sums
 
 
 def auroc(df: DataFrame, score: str, positive: Column, by: Sequence[str] = ()) -> DataFrame:
     """n_pos, n_neg and AUROC (ties count half); null where a class is missing.
 
-    Rows meet by (group, score) before any order matters, so that what is ranked is distinct scores.
+    Rows meet by (group, score) first. The negatives below each score are prefix sums over ranges of
+    scores, so that no task sees a whole group.
     """
     cells = df.groupBy(*by, score).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("q"))
-    below = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = cells.withColumn("_w", F.coalesce(F.sum("q").over(below), F.lit(0)) + F.col("q") / F.lit(2.0).cast("double"))
+    ranked = prefix_sums(cells, by, [score], "q", "_below").withColumn("_w", F.col("_below") + F.col("q") / F.lit(2.0).cast("double"))
     out = ranked.groupBy(*by).agg(F.coalesce(F.sum("p"), F.lit(0)).alias("n_pos"), F.coalesce(F.sum("q"), F.lit(0)).alias("n_neg"), F.sum(F.col("p") * F.col("_w")).alias("_u"))
     return out.withColumn("auroc", F.try_divide(F.col("_u"), (F.col("n_pos") * F.col("n_neg")).cast("double"))).drop("_u")
 
 
 def calibrated_rates(df: DataFrame, score: str, positive: Column, cluster: str, fpr: float = 0.1) -> DataFrame:
     """One row: the threshold that `fpr` of the negatives exceed, mean recall over clusters, pooled FPR."""
-    cut = df.filter(~positive).agg(F.coalesce(F.percentile(score, F.lit(1 - fpr)), F.lit(0.5)).alias("threshold"))
-    met = df.withColumn("_p", positive).join(F.broadcast(cut))  # one row
-    over = F.col(score) >= F.col("threshold")
-    per = met.groupBy("threshold", cluster).agg(
+    cut = exact_quantiles(df.filter(~positive), [], score, {"threshold": 1 - fpr}).first()
+    threshold = 0.5 if cut is None or cut["threshold"] is None else cut["threshold"]
+    over = F.col(score) >= threshold
+    per = df.withColumn("_p", positive).groupBy(cluster).agg(
         ratio_or_null(F.count_if(F.col("_p") & over), F.count_if(F.col("_p"))).alias("recall"),
         F.count_if(~F.col("_p") & over).alias("_f"),
         F.count_if(~F.col("_p")).alias("_n"),
     )
-    return per.groupBy("threshold").agg(F.avg("recall").alias("recall"), F.count("recall").alias("clusters"), ratio_or_null(F.sum("_f"), F.sum("_n")).alias("fpr"))
+    return per.groupBy(F.lit(threshold).alias("threshold")).agg(F.avg("recall").alias("recall"), F.count("recall").alias("clusters"), ratio_or_null(F.sum("_f"), F.sum("_n")).alias("fpr"))
 
 
 def paired_wins(df: DataFrame, unit: str, side: str, a: str, b: str, value: str) -> DataFrame:
@@ -49,18 +51,12 @@ def best_and_converged(df: DataFrame, by: Sequence[str], step: str, metric: str,
     return met.filter(F.col(metric) >= F.col("best") * share).groupBy(*by, "best", "best_step").agg(F.min(step).alias("converged_step"))
 
 
-def knn_votes(corpus: DataFrame, queries: DataFrame, key: str, vector: str, positive: str, k: int = 5, block: int = 256) -> DataFrame:
+def knn_votes(corpus: DataFrame, queries: DataFrame, key: str, vector: str, positive: str, k: int = 5, cells: int = 64) -> DataFrame:
     """Share of positives among each query's k nearest rows by cosine, itself left out; ties go to lower keys.
 
-    queries is the stated, bounded set: it is broadcast, each partition of the corpus keeps its own k
-    nearest of every query, and only those meet. No pair of corpus rows is made.
+    Exact, over an index of all rows (see `nearest`). Rows and queries without a direction (null, zero) take no part.
     """
-    from ..functions.vectors import doubles, dot, norm
-
-    q = queries.select(F.col(key).alias("query"), doubles(F.col(vector)).alias("_q"), norm(F.col(vector)).alias("_m"))
-    c = corpus.select(F.col(key).alias("_id"), doubles(F.col(vector)).alias("_v"), norm(F.col(vector)).alias("_n"), F.col(positive).cast("double").alias("_y"), F.spark_partition_id().alias("_at"))
-    near = c.join(F.broadcast(q), F.col("query") != F.col("_id")).select("query", "_id", "_y", "_at", F.round(dot(F.col("_q"), F.col("_v")) / (F.col("_m") * F.col("_n")), 9).alias("_s"))
-    order = [F.desc("_s"), F.asc("_id")]
-    local = near.withColumn("_k", F.row_number().over(Window.partitionBy("query", "_at").orderBy(*order))).filter(F.col("_k") <= k)
-    last = local.withColumn("_k", F.row_number().over(Window.partitionBy("query").orderBy(*order))).filter(F.col("_k") <= k)
-    return last.groupBy("query").agg(F.avg("_y").alias("score"))
+    index = nearest.build(corpus, key, vector, positive, cells)
+    if index is None:
+        return queries.select(F.col(key).alias("query"), F.lit(None).cast("double").alias("score")).filter("false")
+    return nearest.nearest(index, queries, key, vector, k).groupBy("query").agg(F.avg("y").alias("score"))

@@ -2,27 +2,67 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
+from .ordered import met, prefix_sums, starts_of_groups
+
+
+def kept_places(values: np.ndarray, begins: np.ndarray, last: float | None, threshold: float) -> tuple[np.ndarray, float | None]:
+    """Places that the fold keeps, and the last kept value; begins: where groups start, last: the value carried in.
+
+    From each kept value the next one is looked for in windows that double, so that long stretches
+    without a change cost vector operations only. Null values (NaN here) are kept only at a group's start.
+    """
+    out: list[int] = []
+    edges = [0, *(int(b) for b in begins if b), len(values)]
+    starts = set(begins.tolist())
+    for lo, hi in zip(edges, edges[1:], strict=False):
+        at = lo
+        if lo in starts:
+            out.append(lo)
+            last, at = float(values[lo]), lo + 1
+        while at < hi:
+            size, found = 16, -1
+            while at < hi:
+                part = values[at : min(at + size, hi)]
+                far = np.flatnonzero(np.abs(part - last) >= threshold) if last == last else np.flatnonzero(part == part)
+                if len(far):
+                    found = at + int(far[0])
+                    break
+                at, size = at + len(part), min(2 * size, 1 << 16)
+            if found < 0:
+                break
+            out.append(found)
+            last, at = float(values[found]), found + 1
+    return np.array(out, dtype=np.int64), last
 
 
 def last_kept(df: DataFrame, by: str, order: Sequence[str], value: str, key: str, threshold: float) -> DataFrame:
     """by, key of the rows that differ from the last *kept* row of their group by `threshold` or more.
 
-    Sequential by nature: each group is one ordered array, folded once.
+    Sequential by nature: the rows of a group are sorted within their partition and pass a fold over Arrow
+    batches, which carries one value; nothing of a group is held but a batch. The first row of a group is
+    kept; a null value is kept only there, and then the first value that isn't null is.
     """
-    rows = df.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(*order, F.col(key).alias("_k"), F.col(value).cast("double").alias("_v")))).alias("_a"))
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<bigint>").alias("kept"))
+    dealt = df.select(by, *[c for c in order if c not in (by, key)], *([key] if key != by else []), F.col(value).cast("double").alias("_v")).repartition(by).sortWithinPartitions(by, *order)
 
-    def step(state: Column, row: Column) -> Column:
-        keep = state.getField("last").isNull() | (F.abs(row.getField("_v") - state.getField("last")) >= threshold)
-        return F.struct(F.when(keep, row.getField("_v")).otherwise(state.getField("last")).alias("last"), F.when(keep, F.concat(state.getField("kept"), F.array(row.getField("_k").cast("long")))).otherwise(state.getField("kept")).alias("kept"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, last = None, None
+        for batch in batches:
+            if batch.num_rows:
+                values = batch.column("_v").to_numpy(zero_copy_only=False).astype(np.float64)
+                kept, last = kept_places(values, np.flatnonzero(starts_of_groups(batch, [by], before)), last, threshold)
+                before = [batch.column(by).slice(batch.num_rows - 1)]
+                yield batch.select([by, key]).take(pa.array(kept))
 
-    return rows.select(by, F.explode(F.aggregate("_a", start, step, lambda s: s.getField("kept"))).alias(key))
+    kind = dict(df.dtypes)
+    return dealt.mapInArrow(run, f"`{by}` {kind[by]}, `{key}` {kind[key]}")
 
 
 def two_level_cap(df: DataFrame, group: str, item: str, available: str, cap: int) -> DataFrame:
@@ -48,10 +88,9 @@ def top_per_kind(df: DataFrame, kind: Column, limits: dict[str, int], order: Seq
 
 
 def systematic(df: DataFrame, by: Sequence[str], order: Sequence[str], m: int, with_last: bool = False) -> DataFrame:
-    """Every max(1, n // m)-th row of a group; the last one too if asked for."""
-    n = F.count("*").over(Window.partitionBy(*by))
-    k = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
-    ranked = df.withColumn("_n", n).withColumn("_k", k)
+    """Every max(1, n // m)-th row of a group; the last one too if asked for. Places are prefix sums over ranges."""
+    sizes = df.groupBy(*by).agg(F.count("*").alias("_n"))
+    ranked = met(prefix_sums(df.withColumn("_1", F.lit(1)), by, order, "_1", "_k").drop("_1"), sizes, by)
     keep = F.col("_k") % F.greatest(F.lit(1), F.floor(F.col("_n") / m)) == 0
     return ranked.filter(keep | (F.col("_k") == F.col("_n") - 1) if with_last else keep).drop("_n", "_k")
 

@@ -82,10 +82,11 @@ def sample_per_class(df: DataFrame, by: str, key: str, n: int, seed: int = 0) ->
 
 
 def keep_first_by_hash(df: DataFrame, content: Column, order: Sequence[str | Column]) -> DataFrame:
-    """One row for each content, the first in order; rows without content go."""
-    digest = F.md5(content)
-    first = Window.partitionBy("_d").orderBy(*order)
-    return df.withColumn("_d", digest).filter(F.col("_d").isNotNull()).withColumn("_k", F.row_number().over(first)).filter("_k = 1").drop("_d", "_k")
+    """One row for each content, the first in order; rows without content go. A least struct, so that copies meet partly summed."""
+    kept = df.withColumn("_d", F.md5(content)).filter(F.col("_d").isNotNull())
+    order = [F.col(c) if isinstance(c, str) else c for c in order]
+    rank = F.struct(*[c.alias(f"_o{k}") for k, c in enumerate(order)], F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
+    return kept.groupBy("_d").agg(F.min(rank).alias("_m")).select("_m._row.*")
 
 
 def fallback_ratio(df: DataFrame, by: Sequence[str], fell_back: Column) -> DataFrame:

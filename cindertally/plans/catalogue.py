@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import pixels, scalar, vectors
-from ..operators import matching, ranking, rates, sequence, splits
+from ..operators import matching, ordered, ranking, rates, sequence, splits
 from ..session import table
 from ..sources import inventory
 
@@ -293,6 +293,32 @@ def match_status(t: Load) -> DataFrame:
     return matching.match_status(fragments(t), t("nation"), "fragment", "n_name")
 
 
+HOSTS = r"(SELECT DISTINCT fragment FROM (SELECT regexp_extract(url, '://[^/]*', 0) AS fragment FROM pages UNION SELECT substr(url, 10, 5) FROM pages UNION SELECT 'q' || substr(url, -2) FROM pages))"
+
+
+def page_fragments(t: Load) -> DataFrame:
+    """Hosts, short pieces of addresses, and ends of addresses that seldom occur."""
+    url = F.col("url")
+    parts = [F.regexp_extract(url, "://[^/]*", 0), F.substring(url, 10, 5), F.concat(F.lit("q"), F.right(url, F.lit(2)))]
+    return t("pages").select(F.explode(F.array(*parts)).alias("fragment")).distinct()
+
+
+@query(f"SELECT fragment, min(url) AS url FROM {HOSTS} JOIN pages ON contains(url, fragment) GROUP BY 1 HAVING count(*) = 1")
+def unique_fragment_in_pages(t: Load) -> DataFrame:
+    return matching.unique_match(page_fragments(t), t("pages").select("url"), "fragment", "url")
+
+
+@query(f"SELECT fragment, count(url) AS hits, CASE count(url) WHEN 0 THEN 'none' WHEN 1 THEN 'one' ELSE 'ambiguous' END AS status FROM {HOSTS} LEFT JOIN pages ON contains(url, fragment) GROUP BY 1")
+def fragment_status_in_pages(t: Load) -> DataFrame:
+    return matching.match_status(page_fragments(t), t("pages").select("url"), "fragment", "url")
+
+
+@query("SELECT item_id, min(doc_id) AS doc_id, count(*) AS hits FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 40)) GROUP BY 1")
+def benchmark_openings_in_documents(t: Load) -> DataFrame:
+    items = t("benchmark").select("item_id", F.substring("text", 1, 40).alias("opening"))
+    return matching.fragment_hits(items, t("documents").select("doc_id", "text"), "opening", "text").groupBy("item_id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("hits"))
+
+
 @query("""WITH b AS (SELECT l_orderkey, l_partkey FROM (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey DESC) AS k FROM lineitem WHERE l_returnflag = 'N') WHERE k = 1)
 SELECT DISTINCT p.l_orderkey, p.l_partkey AS pos_part, b.l_partkey AS bg_part FROM lineitem p JOIN b ON p.l_orderkey = b.l_orderkey WHERE p.l_returnflag = 'R'""")
 def paired_lookup(t: Load) -> DataFrame:
@@ -447,7 +473,7 @@ def inside_outside_ratio(t: Load) -> DataFrame:
 
 @query("SELECT event_type, round(median(value), 6) AS median, round(quantile_cont(value, 0.9), 6) AS p90 FROM events GROUP BY 1")
 def medians(t: Load) -> DataFrame:
-    return rounded(t("events").groupBy("event_type").agg(F.median("value").alias("median"), F.percentile("value", F.lit(0.9)).alias("p90")), "median", "p90")
+    return rounded(ordered.exact_quantiles(t("events"), ["event_type"], "value", {"median": 0.5, "p90": 0.9}), "median", "p90")
 
 
 # ---- ranking
