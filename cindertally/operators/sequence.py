@@ -148,15 +148,40 @@ def grid_times(duration: Column, stride: int) -> Column:
     return F.filter(F.transform(F.sequence(F.lit(0), F.ceil(duration / stride).cast("int")), lambda j: j * stride), lambda t: t < duration)
 
 
-def interval_join(points: DataFrame, at: str, spans: DataFrame, closed: bool = True, width: int = 3600) -> DataFrame:
+def dyadic_cover(a: Column, b: Column, levels: int = 62) -> Column:
+    """The fewest aligned ranges of a power of two that make up the whole numbers a to b: (level, place) with place = t >> level.
+
+    Two ranges a level at most: a span of n numbers has under 2 log2(n) + 2.
+    """
+    low = lambda k: F.shiftright(a + F.shiftleft(F.lit(1).cast("long"), k) - 1, k)
+    high = lambda k: F.shiftright(b + 1, k)
+    node = lambda k, at: F.struct(F.lit(k).alias("level"), at.alias("place"))
+    ends = []
+    for k in range(levels):
+        open_ = low(k) < high(k)
+        ends += [F.when(open_ & (low(k) % 2 != 0), node(k, low(k))), F.when(open_ & (high(k) % 2 != 0), node(k, high(k) - 1))]
+    return F.array_compact(F.array(*ends))
+
+
+def interval_join(points: DataFrame, at: str, spans: DataFrame, closed: bool = True) -> DataFrame:
     """Points within spans (a, b): t <= b, or t < b + 1 if not closed.
 
-    Spans are cut into buckets of `width`, so that the join is on equal keys at any size.
+    A span becomes the aligned ranges of powers of two that cover it, some 2 log2 of its length, and a point
+    those that it lies in, one for each level that some span has: the join is on equal keys, and neither
+    long nor short spans cost more than that. Times lie within 2^61; a null time or bound meets nothing.
     """
     end = F.col("b") if closed else F.col("b") + 1
-    cut = spans.withColumn("_w", F.explode(F.sequence(F.floor(F.col("a") / width), F.floor(end / width))))
-    met = points.withColumn("_w", F.floor(F.col(at) / width)).join(cut, "_w")
-    return met.filter((F.col(at) >= F.col("a")) & (F.col(at) <= end if closed else F.col(at) < end)).drop("_w")
+    first, last = F.floor("a").cast("long"), F.floor(end).cast("long")
+    top = spans.agg(F.max(last - first)).first()[0]
+    if top is None:
+        return points.join(spans, F.lit(False))
+    levels = max(1, int(top).bit_length() + 1)
+    cut = stored(spans.filter("a is not null and b is not null").withColumn("_c", F.explode(dyadic_cover(first, last, levels))), "covers", compression="zstd")
+    used = [r["level"] for r in cut.select("_c.level").distinct().collect()]  # 62 at most
+    t = F.floor(at).cast("long")
+    own = F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(t, k).alias("place")) for k in sorted(used)]) if used else F.array().cast("array<struct<level:int,place:bigint>>")
+    met = points.filter(F.col(at).isNotNull()).withColumn("_c", F.explode(own)).join(cut, "_c").drop("_c")
+    return met.filter((F.col(at) >= F.col("a")) & (F.col(at) <= end if closed else F.col(at) < end))
 
 
 def nearest_to(df: DataFrame, by: Sequence[str], at: str, target: Column, key: str) -> DataFrame:

@@ -13,12 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import pixels, scalar, vectors
-from ..operators import matching, ordered, ranking, rates, sequence, splits
+from ..operators import distinct, matching, nested, ordered, ranking, rates, sequence, splits
 from ..session import table
 from ..sources import inventory
+from . import stores
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(stores.QUERIES)
+ORACLES: dict[str, str] = dict(stores.ORACLES)
 Load = Callable[[str], DataFrame]
 
 
@@ -260,6 +261,22 @@ def set_operations(t: Load) -> DataFrame:
     return out
 
 
+@query("""SELECT event_id, '$.props.k' AS path, CAST(props->>'$.k' AS VARCHAR) AS old, CAST(CAST(props->>'$.k' AS BIGINT) + 1 AS VARCHAR) AS new, 'changed' AS status FROM events WHERE event_id % 7 = 0
+UNION ALL SELECT event_id, '$.tags[1].n', CAST(user_id % 5 AS VARCHAR), NULL, 'missing' FROM events WHERE event_id % 11 = 0
+UNION ALL SELECT event_id, '$.type', '"' || event_type || '"', 'null', 'changed' FROM events WHERE event_id % 13 = 0
+UNION ALL SELECT event_id, '$.note', NULL, '{}', 'extra' FROM events WHERE event_id % 17 = 0""")
+def nested_audit(t: Load) -> DataFrame:
+    """A JSON text against structs made of the same columns: a row for each path that differs."""
+    i = F.col("event_id")
+    tag = lambda n: F.struct((F.col("user_id") % n).alias("n"))
+    events = t("events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    made = F.concat(F.lit('{"props":'), "props", F.lit(',"type":"'), "event_type", F.lit('","tags":[{"n":'), (F.col("user_id") % 3).cast("string"), F.lit('},{"n":'), (F.col("user_id") % 5).cast("string"), F.lit("}]}"))
+    plain = F.struct(F.struct(F.when(i % 7 == 0, F.col("k") + 1).otherwise(F.col("k")).alias("k")).alias("props"), F.when(i % 13 != 0, F.col("event_type")).alias("type"), F.when(i % 11 == 0, F.array(tag(3))).otherwise(F.array(tag(3), tag(5))).alias("tags"))
+    with_note = F.parse_json(F.concat(F.expr("substr(to_json(v), 1, length(to_json(v)) - 1)"), F.lit(',"note":{}}')))
+    new = events.select("event_id", F.to_variant_object(plain).alias("v")).withColumn("v", F.when(i % 17 == 0, with_note).otherwise(F.col("v")))
+    return nested.differences(events.select("event_id", F.parse_json(made).alias("v")), new, "event_id", "v")
+
+
 # ---- joins and matching
 
 
@@ -350,12 +367,25 @@ def spans(t: Load) -> DataFrame:
 
 @query(f"SELECT event_id, span FROM events JOIN {SPANS} ON event_id >= a AND event_id <= b")
 def interval_join_closed(t: Load) -> DataFrame:
-    return sequence.interval_join(t("events"), "event_id", spans(t), True, 64).select("event_id", "span")
+    return sequence.interval_join(t("events"), "event_id", spans(t), True).select("event_id", "span")
 
 
 @query(f"SELECT event_id, span FROM events JOIN {SPANS} ON event_id >= a AND event_id < b + 1")
 def interval_join_halfopen(t: Load) -> DataFrame:
-    return sequence.interval_join(t("events"), "event_id", spans(t), False, 64).select("event_id", "span")
+    return sequence.interval_join(t("events"), "event_id", spans(t), False).select("event_id", "span")
+
+
+LONG_SPANS = "(SELECT user_id AS span, user_id * user_id AS a, user_id * 400 AS b FROM (SELECT DISTINCT user_id FROM events) UNION ALL SELECT -1, min(event_id), max(event_id) FROM events)"
+
+
+@query(f"SELECT span, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events JOIN {LONG_SPANS} ON event_id >= a AND event_id <= b GROUP BY 1")
+def interval_join_long(t: Load) -> DataFrame:
+    """Spans of very different lengths, one of them over all events."""
+    u = F.col("user_id")
+    own = t("events").select("user_id").distinct().select(u.alias("span"), (u * u).alias("a"), (u * 400).alias("b"))
+    whole = t("events").agg(F.lit(-1).cast("long").alias("span"), F.min("event_id").alias("a"), F.max("event_id").alias("b"))
+    met = sequence.interval_join(t("events").select("event_id"), "event_id", own.unionByName(whole), True)
+    return met.groupBy("span").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 
 
 @query(f"""SELECT span, count(*) AS closed, (max(b) - max(a) + 1) * 2 AS halfopen, max(grid)::BIGINT AS grid FROM
@@ -552,6 +582,23 @@ def distinct_by_hash(t: Load) -> DataFrame:
     return t("documents").agg(F.countDistinct(F.md5("text")).alias("distinct_hashes")).join(F.broadcast(bits))  # one row each
 
 
+FLIPS = "xor(xor(xor(('0x' || substr(md5(CAST(user_id % 40 AS VARCHAR)), 1, 15))::BIGINT, 1::BIGINT << (event_id % 62)::INT), 1::BIGINT << (event_id * 7 % 62)::INT), 1::BIGINT << (event_id * 13 % 62)::INT)"
+
+
+@query(f"""WITH RECURSIVE h AS (SELECT user_id % 40 AS base, {FLIPS} AS hash, min(event_id) AS event_id FROM events GROUP BY 1, 2),
+o AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY event_id) AS k FROM h),
+r AS (SELECT base, k, event_id, hash, true AS kept, [hash] AS seen FROM o WHERE k = 1
+UNION ALL SELECT o.base, o.k, o.event_id, o.hash, len(list_filter(r.seen, lambda x: bit_count(xor(x, o.hash)) <= 3)) = 0, CASE WHEN len(list_filter(r.seen, lambda x: bit_count(xor(x, o.hash)) <= 3)) = 0 THEN list_append(r.seen, o.hash) ELSE r.seen END FROM r JOIN o ON o.base = r.base AND o.k = r.k + 1)
+SELECT event_id, hash FROM r WHERE kept""")
+def distinct_within_radius(t: Load) -> DataFrame:
+    """Hashes with a few bits flipped: of those within three bits the first stays (hashes of different users are far apart)."""
+    i = F.col("event_id")
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), (i * k % 62).cast("int"))
+    base = F.conv(F.substring(F.md5((F.col("user_id") % 40).cast("string")), 1, 15), 16, 10).cast("long")
+    rows = t("events").select("event_id", base.bitwiseXOR(bit(1)).bitwiseXOR(bit(7)).bitwiseXOR(bit(13)).alias("hash"))
+    return distinct.distinct_within(rows, "event_id", "hash", 3)
+
+
 # ---- sequences
 
 

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
-from pyspark.sql.utils import AnalysisException
 
 from ..functions.scalar import suffix
 
@@ -23,9 +22,14 @@ def json_document(spark: SparkSession, path: str, schema: str | StructType) -> D
     return spark.read.schema(schema).json(path, multiLine=True)
 
 
-def unnested(document: DataFrame, array: str) -> DataFrame:
-    """A row for each element of a document's array of structs, with its position."""
-    return document.select(F.posexplode(array).alias("pos", "item")).select("pos", "item.*")
+def json_rows(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
+    """JSON lines, as `write_json` leaves them; absent fields are null."""
+    return spark.read.schema(schema).json(path)
+
+
+def unnested(document: DataFrame, array: str, *keep: str) -> DataFrame:
+    """A row for each element of a document's array of structs, with its position and columns of the document."""
+    return document.select(*keep, F.posexplode(array).alias("pos", "item")).select(*keep, "pos", "item.*")
 
 
 def intervals(sources: DataFrame, shots: str) -> DataFrame:
@@ -97,24 +101,6 @@ def duration(probe: Column) -> Column:
     return F.get_json_object(probe, "$.format.duration").try_cast("double")
 
 
-def existing(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
-    """A result table, empty where there is none yet."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], schema)
-
-
-def read_through(wanted: DataFrame, path: str, keys: Sequence[str], compute: Callable[[DataFrame], DataFrame], schema: str | StructType) -> DataFrame:
-    """Results of all wanted keys: only those that the table at path lacks are computed, and appended."""
-    spark = wanted.sparkSession
-    missing = wanted.join(existing(spark, path, schema), list(keys), "left_anti")
-    compute(missing).write.mode("append").parquet(path)
-    return existing(spark, path, schema).join(wanted.select(*keys).distinct(), list(keys), "left_semi")
-
-
 def to_do(grid: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The rows of a grid that aren't done: a run can be taken up again."""
     return grid.join(done, list(keys), "left_anti")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
-from ..sources.inventory import existing, to_do
+from ..sources import results
 
 
 def last_kept_stream(stream: DataFrame, by: str, order: Sequence[str], value: str, key: str, threshold: float) -> DataFrame:
@@ -97,10 +97,12 @@ def last_kept_in_time(stream: DataFrame, by: str, at: str, order: Sequence[str],
 
 
 def append_new(path: str, keys: Sequence[str], compute: Callable[[DataFrame], DataFrame], schema: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: computes and appends the results of keys that the table at path lacks."""
+    """A foreachBatch function: computes and commits the results of keys that the store at path lacks.
+
+    A batch that is run again adds nothing.
+    """
 
     def run(batch: DataFrame, _: int) -> None:
-        new = to_do(batch.dropDuplicates(list(keys)), existing(batch.sparkSession, path, schema), keys)
-        compute(new).write.mode("append").parquet(path)
+        results.read_through(batch.dropDuplicates(list(keys)), path, keys, compute, schema)
 
     return run

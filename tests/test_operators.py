@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cindertally.functions import images, scalar, vectors
 from cindertally.operators import matching, probe, ranking, rates, sequence, splits
-from cindertally.sources import inventory
+from cindertally.sources import inventory, results
 from cindertally.streaming import stateful
 
 
@@ -68,9 +68,9 @@ def test_read_through_and_sinks(spark, tmp_path):
         return missing.select("k", (F.col("k") * 2).alias("v"))
 
     wanted = spark.createDataFrame([(1,), (2,)], "k long")
-    assert rows(inventory.read_through(wanted, path, ["k"], compute, "k long, v long")) == [(1, 2), (2, 4)]
+    assert rows(results.read_through(wanted, path, ["k"], compute, "k long, v long")) == [(1, 2), (2, 4)]
     more = spark.createDataFrame([(2,), (3,)], "k long")
-    assert rows(inventory.read_through(more, path, ["k"], compute, "k long, v long")) == [(2, 4), (3, 6)]
+    assert rows(results.read_through(more, path, ["k"], compute, "k long, v long")) == [(2, 4), (3, 6)]
     assert asked == [[1, 2], [3]]
     inventory.write_json(wanted, str(tmp_path / "out"))
     inventory.write_json(more, str(tmp_path / "out"))

@@ -31,7 +31,7 @@ def values(df):
     return sorted([tuple(map(plain, r)) for r in df.itertuples(index=False)], key=str)
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
 def test_query_equals_its_sql(spark, sf, duck, name):
     got, want = catalogue.QUERIES[name](spark, sf).toPandas(), duck.sql(catalogue.ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
