@@ -37,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
@@ -230,7 +230,8 @@ def sets_of(ids: DataFrame, docs: DataFrame, n: int, key: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose sets link."""
+    """Those of the pairs (a, b, and other ids that go along) whose sets link."""
+    names = pairs.columns
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,48 +244,76 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 at[at == len(y)] = len(y) - 1
                 both = int((y[at] == x).sum())
                 keep.append(OF * both >= KEEP * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(names).filter(pa.array(keep, pa.bool_()))
 
     left, right = sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("id").alias("b"), F.col("tokens").alias("y"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(linked, "a long, b long").distinct()
+    return pairs.join(left, "a").join(right, "b").select(*names, "x", "y").mapInArrow(linked, ", ".join(f"{c} long" for c in names)).distinct()
+
+
+def both_ways(links: DataFrame) -> DataFrame:
+    """Pairs (a, b) and (b, a), once each: stored."""
+    return stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "links")
 
 
-def components(links: DataFrame, most: int = 200) -> DataFrame:
-    """id, label of every linked document: the least id that links lead to. Small rows, no lineage kept.
+def settled(edges: DataFrame, most: int = 200) -> DataFrame:
+    """id, label of every document with an edge (both ways): the least id that edges lead to. No lineage kept.
 
-    Each turn takes the least label among neighbours and then the label of the label, so that
-    chains shorten by doubling; it ends when no label changes, and raises after `most` turns.
+    Each turn takes the least of the neighbours' labels and the label's own label, so that chains
+    shorten by doubling; it ends when no label changes, and raises after `most` turns.
     """
-    edges = stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "links")
     labels = stored(edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("label")), "labels")
     for _ in range(most):
         # a hub's messages are summed up where they arise
         sent = edges.join(labels.select(F.col("id").alias("b"), "label").hint("merge"), "b").select(F.col("a").alias("id"), "label", F.lit(None).cast("long").alias("was"))
-        low = stored(sent.union(labels.select("id", "label", F.col("label").alias("was"))).groupBy("id").agg(F.min("label").alias("l"), F.max("was").alias("was")), "labels")
-        up = low.select(F.col("id").alias("l"), F.col("l").alias("top"))
-        after = stored(low.join(up.hint("merge"), "l", "left").select("id", "was", F.least("l", F.coalesce("top", "l")).alias("label")), "labels")
-        labels = after.select("id", "label")
-        if not after.filter("was <> label").limit(1).count():
+        jumped = labels.withColumnRenamed("label", "was").join(labels.toDF("was", "label").hint("merge"), "was").select("id", "label", "was")
+        after = sent.union(jumped).groupBy("id").agg(F.min("label").alias("label"), F.max("was").alias("was"))
+        changed = Observation()
+        labels = stored(after.observe(changed, F.count_if(F.col("was") != F.col("label")).alias("n")), "labels").select("id", "label")
+        if not changed.get["n"]:
             return labels
     raise RuntimeError("components did not settle")
 
 
-def staged(pairs: DataFrame, sets: DataFrame, links: DataFrame | None = None) -> DataFrame:
-    """links (those found before) and enough of the linking pairs to join the same components.
+def components(links: DataFrame) -> DataFrame:
+    """id, label of every linked document: the least id that links lead to."""
+    return settled(both_ways(links))
+
+
+def joined_up(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """labels (id, label) after more edges (a, b) between components, each told by its label, or by its id where it is one document.
+
+    Only the graph of components is gone through; labels are the least ids as before.
+    """
+    edges = both_ways(edges)
+    if labels is None:
+        return settled(edges)
+    if not edges.limit(1).count():
+        return labels
+    new = settled(edges)
+    again = labels.join(new.toDF("label", "least").hint("merge"), "label", "left").select("id", F.coalesce("least", "label").alias("label"))
+    alone = new.join(labels.select("id"), "id", "left_anti")  # documents that had no link before
+    return stored(again.unionByName(alone.select("id", "label")), "labels")
+
+
+def staged(pairs: DataFrame, sets: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """Components after enough of the pairs (a, b) that link: the same as after all of them.
 
     First each document meets one of its partners; then only the pairs are verified whose ends are
     still in different components.
     """
     both = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).union(pairs.select("b", "a"))
     one = stored(both.groupBy("x").agg(F.min("y").alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "ngram-one")
-    found = stored(verified(one, sets), "ngram-links")
-    found = found if links is None else links.union(found)
-    labels = components(found)
-    rest = label_of(labels, pairs, "a").withColumnRenamed("label", "la")
-    rest = label_of(labels, rest, "b").filter("la <> label").select("a", "b").join(one, ["a", "b"], "left_anti")
-    rest = stored(rest, "ngram-rest")
+    found = verified(one, sets) if labels is None else verified(with_labels(labels, one), sets).select(F.col("la").alias("a"), F.col("lb").alias("b")).filter("a <> b")
+    labels = joined_up(labels, found)
+    rest = stored(with_labels(labels, pairs).filter("la <> lb").join(one, ["a", "b"], "left_anti"), "ngram-rest")
     few = sets.join(sized(ends(rest).withColumnRenamed("doc_id", "id")), "id", "left_semi")
-    return found.union(stored(verified(rest, few), "ngram-links"))
+    return joined_up(labels, verified(rest, few).select(F.col("la").alias("a"), F.col("lb").alias("b")))
+
+
+def with_labels(labels: DataFrame, pairs: DataFrame) -> DataFrame:
+    """a, b, la, lb: pairs with the labels of both ends."""
+    first = label_of(labels, pairs.select("a", "b"), "a").withColumnRenamed("label", "la")
+    return label_of(labels, first, "b").withColumnRenamed("label", "lb").select("a", "b", "la", "lb")
 
 
 def label_of(labels: DataFrame | None, keys: DataFrame, column: str) -> DataFrame:
@@ -380,17 +409,17 @@ def links_and_classes(docs: DataFrame, n: int = N) -> tuple[DataFrame, DataFrame
     tested = star.union(across).select(F.least("p", "doc").alias("a"), F.greatest("p", "doc").alias("b")).distinct()
     tested = marked(marked(tested, marks, "a", "x"), marks, "b", "y").filter(close("xn", "yn", "x", "y")).select("a", "b").distinct()
     tested = stored(ruled(stored(tested, "ngram-close"), scanned), "ngram-tested")
-    links = staged(tested, sets_of(ends(tested), docs, n, key))
-    labels = components(links)
+    labels = staged(tested, sets_of(ends(tested), docs, n, key))
 
     left = stored(several(label_of(labels, kept.select("token", "doc", "n", "pos", "idx"), "doc")), "ngram-left", compression="zstd")
     spare_ = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.length(F.bin(F.col("n").cast("long"))) - 6 + 1, F.lit(0))).cast("int")  # of the partner too, at most one power up
     alone = left.filter(F.col("many") <= FREQUENT).select("token", "doc", (F.col("n") - F.col("pos") + spare_).alias("room"), "idx", "label")
     paired = several(combinations_of(left.filter(F.col("many") > FREQUENT)))
-    paired = stored(paired.select("token", "doc", "room", "idx", "label"), "ngram-pairs", compression="zstd")
-    more = cross_pairs(alone, marks).union(cross_pairs(paired, marks)).distinct().join(tested, ["a", "b"], "left_anti")
+    # keys of one token and of two are hashes alike: one join for both
+    keys = stored(alone.unionByName(paired.select("token", "doc", "room", "idx", "label")), "ngram-pairs", compression="zstd")
+    more = cross_pairs(keys, marks).join(tested, ["a", "b"], "left_anti")
     more = stored(ruled(stored(more, "ngram-close"), scanned), "ngram-more")
-    return members, classes, components(staged(more, sets_of(ends(more), docs, n, key), links))
+    return members, classes, staged(more, sets_of(ends(more), docs, n, key), labels)
 
 
 def ngram_join(docs: DataFrame, n: int = N) -> DataFrame:

@@ -132,7 +132,7 @@ def test_pipeline(spark, sf):
 
 
 def test_registered_queries(spark, sf):
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES] == list(range(1, 14))
     for name in ("op1_ngram_join", "op10_sharding"):
         assert queries.QUERIES[name](spark, sf).count() == 200
 
