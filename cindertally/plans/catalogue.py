@@ -599,6 +599,31 @@ def distinct_within_radius(t: Load) -> DataFrame:
     return distinct.distinct_within(rows, "event_id", "hash", 3)
 
 
+POOLS = "list_transform(range(0, 16), lambda k: list_transform(range(0, 4), lambda j: embedding[j * 16 + k + 1]::DOUBLE))"
+
+
+@query(f"""SELECT vec_id, round(list_sum(list_transform({POOLS}, lambda x: list_avg(x))), 6) AS means, round(list_sum(list_transform({POOLS}, lambda x: list_max(x))), 6) AS tops, len({POOLS}) * 2 AS size FROM embeddings""")
+def pooled_vectors(t: Load) -> DataFrame:
+    """Four vectors of 16 an embedding, pooled by mean and maximum."""
+    parts = F.array(*[F.slice("embedding", 16 * j + 1, 16) for j in range(4)])
+    made = t("embeddings").select("vec_id", parts.alias("parts")).select("vec_id", vectors.pooled(F.col("parts")).alias("v"))
+    sums = made.select("vec_id", vectors.total(F.slice("v", 1, 16)).alias("means"), vectors.total(F.slice("v", 17, 16)).alias("tops"), F.size("v").cast("long").alias("size"))
+    return rounded(sums, "means", "tops")
+
+
+@query(f"""WITH u AS (SELECT event_type, video, avg(value) FILTER (WHERE cond = 1) AS x, avg(value) FILTER (WHERE cond = 0) AS y FROM {TRIALS} GROUP BY 1, 2),
+d AS (SELECT event_type, count(*) AS n, count(*) FILTER (WHERE x > y) AS wins, avg(x - y) AS delta, stddev_samp(x - y) / sqrt(count(*)) AS se FROM u WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1)
+SELECT event_type, n, wins, round(delta, 6) AS delta, CASE WHEN NOT n >= 4 THEN 'withheld' WHEN delta >= 0.10 AND (wins >= 0.8 * n OR abs(delta) > 2 * se) THEN 'go' WHEN abs(delta) < 0.05 THEN 'no-go' WHEN delta <= -0.05 THEN 'worse' ELSE 'ambiguous' END AS verdict FROM d""")
+def go_decisions(t: Load) -> DataFrame:
+    """Whether condition 1 is worth going on with, by event type: paired means of users."""
+    side = lambda k: F.avg(F.when(F.col("cond") == k, F.col("value")))
+    units = trials(t).groupBy("event_type", "video").agg(side(1).alias("x"), side(0).alias("y")).filter("x is not null and y is not null")
+    gap = F.col("x") - F.col("y")
+    d = units.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(gap > 0).alias("wins"), F.avg(gap).alias("delta"), (F.stddev_samp(gap) / F.sqrt(F.count("*").cast("double"))).alias("se"))
+    made = d.select("event_type", "n", "wins", "delta", rates.go_verdict(F.col("delta"), F.col("wins"), F.col("n"), F.abs(F.col("delta")) > 2 * F.col("se"), F.col("n") >= 4).alias("verdict"))
+    return rounded(made, "delta")
+
+
 # ---- sequences
 
 
@@ -706,6 +731,22 @@ def pixel_alpha(t: Load) -> DataFrame:
     return made.groupBy(*made.columns).agg(F.count("*").alias("n"))
 
 
+@query(f"SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, {', '.join(f'round({c} + g / 255 * ({v} / 255.0::DOUBLE * 0.35 * 60), 4) AS {c}' for c, v in zip('rb', (pixels.GLOW[0], pixels.GLOW[2]), strict=True))}, count(*) AS n FROM {CHANNELS} GROUP BY ALL")
+def pixel_glow(t: Load) -> DataFrame:
+    halo = F.col("g") / 255
+    made = channels(t).select(*KEYS, *[pixels.bloom_glow(F.col(c), halo, float(v)).alias(c) for c, v in zip("rb", (pixels.GLOW[0], pixels.GLOW[2]), strict=True)])
+    made = rounded(made, "r", "b", digits=4)
+    return made.groupBy(*made.columns).agg(F.count("*").alias("n"))
+
+
+@query(f"""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round((r / 255 - g / 510) * 640, 6) AS x0, round((b / 510 - g / 1020) * 480, 6) AS y0, round((r / 255 + g / 510) * 640, 6) AS x1, round((b / 510 + g / 1020) * 480, 6) AS y1, count(*) AS n FROM {CHANNELS} GROUP BY ALL""")
+def box_corners(t: Load) -> DataFrame:
+    """Corners of boxes given as shares of the canvas."""
+    cx, cy, w, h = F.col("r") / 255, F.col("b") / 510, F.col("g") / 255, F.col("g") / 510
+    made = rounded(channels(t).select(*KEYS, *scalar.centre_to_corners(cx, cy, w, h, F.lit(640), F.lit(480))), "x0", "y0", "x1", "y1")
+    return made.groupBy(*made.columns).agg(F.count("*").alias("n"))
+
+
 def steps(values: list[float]) -> str:
     return "CASE s " + " ".join(f"WHEN {k} THEN {v}::DOUBLE" for k, v in enumerate(values)) + " END"
 
