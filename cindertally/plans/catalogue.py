@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import pixels, scalar, vectors
-from ..operators import distinct, matching, nested, ordered, ranking, rates, sequence, splits
+from ..operators import backbones, distinct, matching, nested, ordered, ranking, rates, sequence, splits
 from ..session import table
 from ..sources import inventory
 from . import stores
@@ -599,6 +599,18 @@ def distinct_within_radius(t: Load) -> DataFrame:
     return distinct.distinct_within(rows, "event_id", "hash", 3)
 
 
+def missing_weights() -> None:
+    """A loader whose weights aren't there."""
+
+
+@query("SELECT vec_id, 1::INT AS used, round(list_sum(embedding::DOUBLE[]), 5) AS total, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)), 5) AS squares FROM embeddings")
+def backbone_embeddings(t: Load) -> DataFrame:
+    """Batched inference with the first backbone that loads; here the second, which takes vectors as they are."""
+    made = backbones.embedded(t("embeddings"), "vec_id", "embedding", "any", {"any": [missing_weights, backbones.stored_vectors]})
+    v = vectors.doubles(F.col("embedding"))
+    return rounded(made.select("vec_id", "used", vectors.total(v).alias("total"), vectors.dot(v, v).alias("squares")), "total", "squares", digits=5)
+
+
 POOLS = "list_transform(range(0, 16), lambda k: list_transform(range(0, 4), lambda j: embedding[j * 16 + k + 1]::DOUBLE))"
 
 
