@@ -1,7 +1,9 @@
 """GIF columns: an encoder and a decoder of the format's LZW code streams, in Python and numpy.
 
 Decoding is general: local and global palettes, interlace, transparency, the four disposal
-methods, delays, clear codes at any place. Encoding makes frames of 8-bit palette indices.
+methods, delays, clear codes at any place. Encoding makes frames of 8-bit palette indices. An opened
+file is stored as a row with its timed frames, each with the colour histogram of what is shown;
+features are sums over these, by Spark's own functions.
 
 A code stream is decoded a run between two clear codes at a time. Inside a run the width of each
 code is known from its position, so all codes are cut out at once. The string of entry 258 + p is
@@ -35,6 +37,14 @@ WIDTH, ROWS, DELAY = 192, 64, 4
 #: No canvas or frame may be larger.
 MOST_PIXELS = 1 << 26
 GREY = bytes(x for v in range(256) for x in (v, v, v))
+#: A timed frame, and an opened file.
+FRAME = ("frame", "start_ms", "duration_ms", "histogram")
+FRAMES = "array<struct<frame:bigint,start_ms:bigint,duration_ms:bigint,histogram:array<bigint>>>"
+FRAME_TYPE = pa.struct([*((c, pa.int64()) for c in FRAME[:3]), (FRAME[3], pa.list_(pa.int64()))])
+OPENED = {
+    "doc_id": pa.int64(), "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(),
+    "media_bytes": pa.int64(), "media_sha256": pa.string(), "frames": pa.list_(FRAME_TYPE), "error": pa.string(),
+}
 
 
 def schedule(bits: int, n: int = 4200) -> tuple[np.ndarray, np.ndarray]:
@@ -262,29 +272,24 @@ def histogram(frame: Frame, width: int, height: int, shown: np.ndarray | None =
     return np.bincount(seen[:, 0].astype(np.int64) * 16 + seen[:, 1] * 4 + seen[:, 2], minlength=64)
 
 
-def frame_rows(media: bytes) -> Iterator[tuple[int, int, int, list[int]]]:
+def timed(width: int, height: int, frames: list[Frame]) -> Iterator[tuple[int, int, int, list[int]]]:
     """frame, start and duration in milliseconds, colour histogram of the canvas as shown."""
-    width, height, frames = decode_gif(media)
+    plain = [f.transparent is None and f.samples.shape == (height, width) for f in frames]
+    canvases = compose(width, height, frames) if not all(plain) else [None] * len(frames)
     at = 0
-    for k, (f, shown) in enumerate(zip(frames, compose(width, height, frames), strict=True)):
-        yield k, at, 10 * f.delay, histogram(f, width, height, shown).tolist()
+    for k, (f, whole, shown) in enumerate(zip(frames, plain, canvases, strict=True)):
+        yield k, at, 10 * f.delay, histogram(f, width, height, None if whole else shown).tolist()
         at += 10 * f.delay
 
 
-def gif_frames(media: DataFrame, column: str = "media", key: str = "doc_id") -> DataFrame:
-    """Timed frames of a column of GIF files: key, frame, start_ms, duration_ms, histogram. Null and damaged media have none."""
+def frame_rows(media: bytes) -> Iterator[tuple[int, int, int, list[int]]]:
+    """The timed frames of a file."""
+    return timed(*decode_gif(media))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                try:
-                    rows = [(k, *r) for r in frame_rows(data)] if data is not None else []
-                except ValueError:
-                    rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)], ["key", "frame", "start_ms", "duration_ms", "histogram"])
 
-    return media.select(F.col(key).cast("long").alias("key"), F.col(column).alias("media")).mapInArrow(run, "key long, frame long, start_ms long, duration_ms long, histogram array<bigint>").withColumnRenamed("key", key)
+def gif_frames(files: DataFrame) -> DataFrame:
+    """A row for each timed frame of opened files: doc_id, frame, start_ms, duration_ms, histogram. Damaged files have none."""
+    return files.select("doc_id", F.explode("frames").alias("f")).select("doc_id", "f.*")
 
 
 def padded(text: str | None, unit: int = WIDTH) -> tuple[bytes, int]:
@@ -306,9 +311,12 @@ def text_media(docs: DataFrame) -> DataFrame:
     return stored(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary"), "gif-media", compression="none")
 
 
-def media_features(media: DataFrame) -> DataFrame:
-    """Decodes stored media: doc_id, n_bytes and digests of the payload and of the file, frames, time, histogram."""
-    out = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, duration_ms long, error string"
+def open_media(media: DataFrame) -> DataFrame:
+    """Decodes stored media (doc_id, n_bytes, media) and stores what is in them.
+
+    A row for each file: doc_id, n_bytes, digests of the payload and of the file, its timed frames with
+    colour histograms (one entry for each 12,288 bytes of payload), and the error of a damaged one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -316,22 +324,29 @@ def media_features(media: DataFrame) -> DataFrame:
                 rows = []
                 for doc, n, data in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media")), strict=True):
                     try:
-                        width, height, frames = decode_gif(data or b"")
+                        gif = decode_gif(data or b"")
                     except ValueError as e:
-                        rows.append((doc, n, *[None] * 8, str(e)))
+                        rows.append((doc, n, *[None] * 6, str(e)))
                         continue
-                    payload = b"".join(f.samples.tobytes() for f in frames)
-                    seen = [histogram(f, width, height) if f.transparent is None and f.samples.shape == (height, width) else None for f in frames]
-                    if any(x is None for x in seen):
-                        seen = [x if x is not None else histogram(f, width, height, shown) for x, f, shown in zip(seen, frames, compose(width, height, frames), strict=True)]
-                    total = np.sum(seen, axis=0) if seen else np.zeros(64, dtype=np.int64)
-                    rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), " ".join(f"{k}:{v}" for k, v in enumerate(total.tolist()) if v), len(frames), sum(10 * f.delay for f in frames), None))
-                kinds = [pa.string() if t.endswith("string") else pa.int64() for t in out.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], [t.split(" ")[0] for t in out.split(", ")])
+                    payload = b"".join(f.samples.tobytes() for f in gif[2])
+                    frames = [dict(zip(FRAME, r, strict=True)) for r in timed(*gif)]
+                    rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), frames, None))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), OPENED.values(), strict=True)], list(OPENED))
+
+    columns = ", ".join(f"{c} {'string' if t == pa.string() else 'long' if t == pa.int64() else FRAMES}" for c, t in OPENED.items())
+    return stored(media.mapInArrow(run, columns), "gif-frames", compression="zstd")
+
 
-    return media.mapInArrow(run, out)
+def media_features(files: DataFrame) -> DataFrame:
+    """Opened files with their feature (visible pixels by colour, summed over the stored frames), number of frames and time."""
+    zeros = F.array_repeat(F.lit(0).cast("long"), 64)
+    total = F.aggregate("frames", zeros, lambda acc, f: F.zip_with(acc, f["histogram"], lambda a, b: a + b))
+    named = F.transform(total, lambda n, k: F.when(n > 0, F.concat(k.cast("string"), F.lit(":"), n.cast("string"))))
+    time = F.aggregate("frames", F.lit(0).cast("long"), lambda acc, f: acc + f["duration_ms"])
+    kept = [c for c in OPENED if c not in ("frames", "error")]
+    return files.select(*kept, F.array_join(named, " ").alias("feature"), F.when(F.col("frames").isNotNull(), F.size("frames")).cast("long").alias("n_frames"), time.alias("duration_ms"), "error")
 
 
 def text_as_gif(docs: DataFrame) -> DataFrame:
-    """Stores every text losslessly as a GIF, reads the files back and computes their features."""
-    return media_features(text_media(docs))
+    """Stores every text losslessly as a GIF, reads the files back, stores their timed frames and computes features of these."""
+    return media_features(open_media(text_media(docs)))

@@ -283,8 +283,10 @@ def test_text_as_gif(odd, make, spark):
         payload, n = media_gif.padded(texts[r["doc_id"]])
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
     media = media_gif.text_media(odd)
-    frames = media_gif.gif_frames(media.union(spark.createDataFrame([(77, 0, None)], media.schema)))
-    assert {r["doc_id"] for r in frames.collect()} == set(texts)
+    files = media_gif.open_media(media.union(spark.createDataFrame([(77, 0, None)], media.schema)))
+    frames = media_gif.gif_frames(files).collect()
+    assert {r["doc_id"] for r in frames} == set(texts)
+    assert all((r["start_ms"], r["duration_ms"], len(r["histogram"])) == (40 * r["frame"], 40, 64) for r in frames)
     assert media_gif.text_as_gif(make([])).count() == 0
 
 
@@ -297,19 +299,24 @@ def test_damaged_gifs_are_rows_with_an_error(make, spark):
     bad = {k: whole[:k] for k in (0, 5, 9, 20, 790, len(whole) - 1)} | {1000: bytes(huge), 1001: b"\x00" * 50, 1002: whole[:800] + b"\xff" * 40 + whole[840:]}
     rows = [(k, 1, bytearray(v)) for k, v in bad.items()] + [(2000, 184, bytearray(whole)), (2001, 0, None)]
     media = spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")
-    got = {r["doc_id"]: r for r in media_gif.media_features(media).collect()}
+    got = {r["doc_id"]: r for r in media_gif.media_features(media_gif.open_media(media)).collect()}
     assert len(got) == len(rows) and all(got[k]["error"] and got[k]["payload_bytes"] is None for k in [*bad, 2001])
     assert got[2000]["error"] is None and got[2000]["payload_bytes"] == 192
-    assert [r["doc_id"] for r in media_gif.gif_frames(media).select("doc_id").distinct().collect()] == [2000]
+    assert [r["doc_id"] for r in media_gif.gif_frames(media_gif.open_media(media)).select("doc_id").distinct().collect()] == [2000]
     # the feature by brute force: grey levels of what is shown (a short last frame leaves the rest of the one
     # before), in 64 colours of two bits a channel
     text = "Grey: naïve ÿ " * 2000
-    (row,) = media_gif.text_as_gif(make([(1, text)])).select("feature", "n_frames").collect()
+    files = media_gif.open_media(media_gif.text_media(make([(1, text)])))
+    (row,) = media_gif.media_features(files).select("feature", "n_frames", "duration_ms").collect()
     raw = media_gif.padded(text)[0]
-    want, shown = {}, bytearray()
+    want, shown, by_frame = {}, bytearray(), []
     for k in range(0, len(raw), 192 * 64):
         part = raw[k : k + 192 * 64]
         shown[: len(part)] = part
+        by_frame.append([0] * 64)
         for x in shown:
             want[(x >> 6) * 21] = want.get((x >> 6) * 21, 0) + 1
+            by_frame[-1][(x >> 6) * 21] += 1
+    frames = media_gif.gif_frames(files).orderBy("frame").collect()
+    assert [(r["start_ms"], r["histogram"]) for r in frames] == [(40 * k, h) for k, h in enumerate(by_frame)] and row["duration_ms"] == 40 * len(frames)
     assert row["feature"] == " ".join(f"{k}:{v}" for k, v in sorted(want.items())) and row["n_frames"] == -(-len(raw) // (192 * 64))
