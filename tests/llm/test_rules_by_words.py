@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from cindertally.llm import quality_gam, quality_rules, queries
@@ -78,3 +79,15 @@ def test_accepted_returns_whole_rows(docs, odd, make, spark, sf):
     twice = make([(1, long), (1, long), (None, long), (2, None), (3, "short")])
     assert sorted((r["doc_id"] for r in quality_rules.accepted(twice, good, threshold=-9.0).collect()), key=str) == [1, 1, None]
     assert quality_rules.accepted(make([]), good).count() == 0
+
+
+def test_threshold_is_of_all_held_out_documents(make, spark):
+    """More of them than any bound on their number that this operator once had."""
+    rnd = random.Random(5)
+    usual, odd_ = [f"w{k}" for k in range(300)], [f"v{k}" for k in range(3000)]
+    rows = [(i, " ".join(rnd.choice(odd_ if rnd.random() < i % 97 / 300 else usual) for _ in range(52))) for i in range(9600)]
+    got = quality_rules.quality_rules(make(rows), spark.range(9600).toDF("doc_id"), 1 << 12).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 2).collect()
+    own = [r["llr"] for r in got if r["own"] and not r["base_failed"]]
+    assert len(own) > 2200
+    low = round(float(np.quantile(own, 0.01)), 6)
+    assert [r["doc_id"] for r in got if r["kept"] != (not r["base_failed"] and round(r["llr"], 6) >= low)] == []
