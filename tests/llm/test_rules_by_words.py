@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from cindertally.llm import quality_gam, quality_rules, queries
 
 BAD = "qxzjkv"
@@ -91,3 +92,17 @@ def test_threshold_is_of_all_held_out_documents(make, spark):
     assert len(own) > 2200
     low = round(float(np.quantile(own, 0.01)), 6)
     assert [r["doc_id"] for r in got if r["kept"] != (not r["base_failed"] and round(r["llr"], 6) >= low)] == []
+
+
+def test_pipeline_stage_takes_its_threshold_from_all_held_out_documents(make, spark, tmp_path):
+    rnd = random.Random(6)
+    usual, odd_ = [f"w{k}" for k in range(300)], [f"v{k}" for k in range(3000)]
+    docs = make([(i, " ".join(rnd.choice(odd_ if rnd.random() < i % 97 / 300 else usual) for _ in range(52))) for i in range(12800)])
+    spark.range(12800).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality")).write.parquet(f"{tmp_path}/labels.parquet")
+    good = queries.trusted(spark, str(tmp_path))
+    got = quality_rules.quality_rules(docs, good, threshold=None).join(good.withColumn("own", quality_rules.held_out(F.col("doc_id"))), "doc_id", "left").collect()
+    own = [r["llr"] for r in got if r["own"] and not r["base_failed"]]
+    assert len(own) > 2200
+    low = round(float(np.quantile(own, 0.01)), 6)
+    want = {r["doc_id"] for r in got if not r["base_failed"] and round(r["llr"], 6) >= low}
+    assert {r["doc_id"] for r in corpus_pipeline.by_rules(spark, docs, str(tmp_path)).select("doc_id").collect()} == want
