@@ -12,7 +12,7 @@ reach that were held out of the target (a quarter of them by hash, all that pass
 are scored as any other document is, and their quantile is exact at any number of them.
 
 Counting and scoring explode the word hashes of a text into rows, so that both run in generated code;
-the table of ratios is of fixed size and reaches every task as a scalar subquery.
+the table of ratios is one row of fixed size and is broadcast.
 
 Cases: a null text has no words, fails the base rules and scores 0.0; an empty one likewise.
 Repeated rows are judged alike, each for itself. An empty table gives an empty result. With no
@@ -115,8 +115,9 @@ def judge(docs: DataFrame, ratios: DataFrame, buckets: int = BUCKETS) -> DataFra
     counted = split.select("doc_id", "key", "word_chars", "n_symbols", F.size("_ws").cast("long").alias("n_words"), (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"), F.transform("_ws", lambda w: F.xxhash64(w)).alias("_w"))
     # a row number for each document: what a text explodes into is summed where it lies
     whole = with_repeated_words(counted).withColumn("_at", F.monotonically_increasing_id())
-    table = ratios.select("ratios").scalar()
     each = neighbours(whole, "_w", "_at", "doc_id", "key", "word_chars", "n_symbols", "n_words", "n_dup_lines", "n_repeat_words", outer=True)
+    # one row, broadcast once: as a scalar subquery each use of it would be a literal of the tasks' binary
+    each, table = each.crossJoin(F.broadcast(ratios.select(F.col("ratios").alias("_ratios")))), F.col("_ratios")
     value = F.coalesce(F.get(table, slot(F.col("a"), buckets)), F.lit(0.0)) + F.coalesce(F.when(F.col("b").isNotNull(), F.get(table, slot(F.xxhash64("a", "b"), buckets))), F.lit(0.0))
     summed = each.groupBy("_at").agg(F.sum(value).alias("_sum"), *[F.first(c).alias(c) for c in ("doc_id", "key", "word_chars", "n_symbols", "n_words", "n_dup_lines", "n_repeat_words")])
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))

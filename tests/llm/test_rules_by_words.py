@@ -106,3 +106,10 @@ def test_pipeline_stage_takes_its_threshold_from_all_held_out_documents(make, sp
     low = round(float(np.quantile(own, 0.01)), 6)
     want = {r["doc_id"] for r in got if not r["base_failed"] and round(r["llr"], 6) >= low}
     assert {r["doc_id"] for r in corpus_pipeline.by_rules(spark, docs, str(tmp_path)).select("doc_id").collect()} == want
+
+
+def test_ratios_are_broadcast_once(make, spark):
+    """As a scalar subquery, the table was a literal of the tasks' binary at each of its uses, in the driver's memory."""
+    ratios = spark.createDataFrame([([0.5] * 16,)], "ratios array<double>")
+    plan = quality_rules.judge(make([(1, "a b c")]), ratios, 16)._jdf.queryExecution().toString()
+    assert "scalar-subquery" not in plan and "BroadcastNestedLoopJoin" in plan
