@@ -1,16 +1,17 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
 Texts are cut into units wherever two neighbouring characters stand together in no piece: no merge and
-no path reaches over such a place, so the units of a text have the ids of the whole. Units are gathered
-from all texts and made distinct. For each, every substring of bounded length is exploded and equi-joined
-to the piece table, which is of the vocabulary's size and broadcast; the edges found are grouped by unit
-again (units are dealt by hash once, so grouping moves nothing) and folded to ids:
+no path reaches over such a place, so the units of a text have the ids of the whole. Every substring of
+bounded length of a unit is exploded and equi-joined to the piece table, which is of the vocabulary's size
+and broadcast; the edges found are grouped by unit again and folded to ids:
 - `unigram` models: Viterbi, a Spark higher-order aggregate over the edges in order of their ends;
 - `bpe` models: the library joins neighbouring symbols in order of score, which no sum over a path
   gives. The same edges are folded by that rule, in Arrow batches.
-The most frequent units' ids (`hot` at most) go to every worker. A text of such units is laid out where
-it lies; of the others, the ids with holes are stored, the holes are joined to the table of units, and
-only these texts' ids (not the texts) are shuffled. Decoding looks pieces up by id.
+Units are counted over all texts. The most frequent ones (`hot` at most, by their exact counts) pass the
+lattice once, grouped by shuffle, and their ids go to every worker. Of the others, the distinct units of
+each slice of texts pass the lattice in their own task, ahead of the slice's texts: exploding and a
+broadcast join keep the order of rows, so that the edges of a unit arrive together and right before the
+texts that need them. Neither texts nor their ids are shuffled or stored. Decoding looks pieces up by id.
 
 Units are found among the hot ones by 64-bit hashes under a key drawn for the run; all other joins are on
 the units themselves.
@@ -24,13 +25,13 @@ boundary sign, which the model turns into a space.
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,23 +63,25 @@ START, LENGTH, NO_ID = 1 << 32, 1 << 24, (1 << 24) - 1
 
 
 def spans(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """word, n (its uses), s (first character, from 1), l and the id and score of every piece in a word.
+    """words (word and any other columns), s (first character, from 1), l and the id and score of every piece in a word.
 
-    A single character stays without a piece (id null), so that no word is lost.
+    A single character stays without a piece (id null), so that no word is lost; a null word stays as one row.
     """
-    size = F.length("word")
-    starts = words.select("word", "n", F.explode(F.sequence(F.lit(1), size)).alias("s"))
-    ahead = starts.select("word", "n", "s", F.substring(F.col("word"), F.col("s"), F.lit(longest)).alias("ahead"))
-    cut = ahead.select("word", "n", "s", "ahead", F.explode(F.sequence(F.lit(1), F.length("ahead"))).alias("l"))
-    return cut.withColumn("piece", F.substring(F.col("ahead"), F.lit(1), F.col("l"))).drop("ahead").join(F.broadcast(pieces), "piece", "left").filter("id is not null or l = 1")
+    keep = words.columns
+    starts = words.select(*keep, F.explode_outer(F.sequence(F.lit(1), F.length("word"))).alias("s"))
+    ahead = starts.select(*keep, "s", F.substring(F.col("word"), F.col("s"), F.lit(longest)).alias("ahead"))
+    cut = ahead.select(*keep, "s", "ahead", F.explode_outer(F.sequence(F.lit(1), F.length("ahead"))).alias("l"))
+    return cut.withColumn("piece", F.substring(F.col("ahead"), F.lit(1), F.col("l"))).drop("ahead").join(F.broadcast(pieces), "piece", "left").filter("id is not null or l = 1 or l is null")
+
+
+def packed() -> Column:
+    """An edge of spans as one number; null for a null word."""
+    return (F.col("s") - 1).cast("long") * START + F.col("l") * LENGTH + F.coalesce("id", F.lit(NO_ID))
 
 
 def edges(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """word, n and its lattice as an array of packed numbers."""
-    if longest >= 256:
-        raise ValueError("pieces of 256 characters or more don't fit a packed edge")
-    edge = (F.col("s") - 1).cast("long") * START + F.col("l") * LENGTH + F.coalesce("id", F.lit(NO_ID))
-    return spans(words, pieces, longest).groupBy("word", "n").agg(F.collect_list(edge).alias("edges"))
+    """word and its lattice as an array of packed numbers."""
+    return spans(words, pieces, longest).groupBy("word").agg(F.collect_list(packed()).alias("edges"))
 
 
 def viterbi(word: Column, lattice: Column, longest: int, unknown: float, zero_byte: int | None, unknown_id: int = 0) -> Column:
@@ -118,11 +121,11 @@ def viterbi(word: Column, lattice: Column, longest: int, unknown: float, zero_by
 
 
 def unigram_ids(words: DataFrame, pieces: DataFrame, longest: int, unknown: float, zero_byte: int | None) -> DataFrame:
-    """word, n, ids by Viterbi."""
+    """word, ids by Viterbi."""
     end = (F.col("s") + F.col("l") - 1).alias("end")
-    ends = spans(words, pieces, longest).groupBy("word", "n", end).agg(F.collect_list(F.struct((F.col("s") - 1).alias("start"), "id", "score")).alias("own"))
-    lattice = ends.groupBy("word", "n").agg(F.sort_array(F.collect_list(F.struct("end", "own"))).alias("lattice"))
-    return lattice.select("word", "n", viterbi(F.col("word"), F.col("lattice"), longest, unknown, zero_byte).alias("ids"))
+    ends = spans(words, pieces, longest).groupBy("word", end).agg(F.collect_list(F.struct((F.col("s") - 1).alias("start"), "id", "score")).alias("own"))
+    lattice = ends.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("end", "own"))).alias("lattice"))
+    return lattice.select("word", viterbi(F.col("word"), F.col("lattice"), longest, unknown, zero_byte).alias("ids"))
 
 
 SPAN = 1 << 24
@@ -174,61 +177,84 @@ def merged_long(n: int, found: dict[int, int], rank: list[float]) -> list[int]:
     return [k for k in range(n + 1) if not gone[k]]
 
 
+def folded(words: list[str], flat: np.ndarray, offsets: np.ndarray, byte_id: dict[int, int], rank: list[float]) -> list[list[int]]:
+    """The ids of words by merges; word k has the packed edges flat[offsets[k]:offsets[k + 1]]."""
+    ids = flat & NO_ID
+    start = flat // START
+    key = start * SPAN + start + (flat // LENGTH & 0xFF)
+    some = np.flatnonzero(ids != NO_ID)
+    ends = np.searchsorted(some, offsets).tolist()
+    key, ids = key[some].tolist(), ids[some].tolist()
+    out = []
+    for word, a, b in zip(words, ends, ends[1:], strict=False):
+        found = dict(zip(key[a:b], ids[a:b], strict=True))
+        cuts = merged(len(word), found, rank)
+        own: list[int] = []
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            edge = found.get(x * SPAN + y)
+            if edge is None:
+                own += [byte_id[v] for v in word[x:y].encode()]
+            else:
+                own.append(edge)
+        out.append(own)
+    return out
+
+
 def bpe_ids(words: DataFrame, pieces: DataFrame, longest: int, byte_id: dict[int, int], rank: list[float]) -> DataFrame:
-    """word, n, ids by merges over the lattice."""
+    """word, ids by merges over the lattice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("edges")
-            flat = np.asarray(lists.flatten())
-            ids = flat & NO_ID
-            start = flat // START
-            key = start * SPAN + start + (flat // LENGTH & 0xFF)
-            some = np.flatnonzero(ids != NO_ID)
-            offsets = np.searchsorted(some, np.asarray(lists.offsets) - lists.offsets[0].as_py()).tolist()
-            key, ids = key[some].tolist(), ids[some].tolist()
-            out = []
-            for word, a, b in zip(batch.column("word").to_pylist(), offsets, offsets[1:], strict=False):
-                found = dict(zip(key[a:b], ids[a:b], strict=True))
-                cuts = merged(len(word), found, rank)
-                own: list[int] = []
-                for x, y in zip(cuts, cuts[1:], strict=False):
-                    edge = found.get(x * SPAN + y)
-                    if edge is None:
-                        own += [byte_id[v] for v in word[x:y].encode()]
-                    else:
-                        own.append(edge)
-                out.append(own)
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(out, pa.list_(pa.int32()))], ["word", "n", "ids"])
+            offsets = np.asarray(lists.offsets) - lists.offsets[0].as_py()
+            out = folded(batch.column("word").to_pylist(), np.asarray(lists.flatten()), offsets, byte_id, rank)
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(out, pa.list_(pa.int32()))], ["word", "ids"])
+
+    return edges(words, pieces, longest).mapInArrow(run, "word string, ids array<int>")
+
 
-    return edges(words, pieces, longest).mapInArrow(run, "word string, n long, ids array<int>")
+def lattices(words: list[str], flat: np.ndarray, offsets: np.ndarray, score: np.ndarray) -> pa.Array:
+    """The lattice of each word as viterbi() takes it: its ends in order, each with the edges (start, id, score) there."""
+    of = np.repeat(np.arange(len(words)), np.diff(offsets))
+    start, ids = flat // START, flat & NO_ID
+    end = start + (flat // LENGTH & 0xFF)
+    order = np.lexsort((start, end, of))
+    of, start, end, ids = of[order], start[order], end[order], ids[order]
+    new = np.append(True, (of[1:] != of[:-1]) | (end[1:] != end[:-1]))[: len(of)]
+    first = np.flatnonzero(new)
+    none = ids == NO_ID
+    edge = pa.StructArray.from_arrays([pa.array(start, pa.int32()), pa.array(ids, pa.int32(), mask=none), pa.array(score[np.where(none, 0, ids)], pa.float32(), mask=none)], ["start", "id", "score"])
+    own = pa.ListArray.from_arrays(pa.array(np.append(first, len(of)), pa.int32()), edge)
+    at = pa.StructArray.from_arrays([pa.array(end[first], pa.int32()), own], ["end", "own"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(of[first], np.arange(len(words) + 1)), pa.int32()), at)
 
 
 @lru_cache(maxsize=2)
-def neighbours(path: str) -> tuple[np.ndarray, np.ndarray]:
-    """The characters of a model's pieces, and which two of them (by place; the last is any other) stand together in one."""
+def neighbours(path: str) -> tuple[np.ndarray, np.ndarray, int]:
+    """The number of each code point among the characters of a model's pieces (the last for any other), which two of
+    these stand together in one (bit first * n + second, the low bit of a byte first), and n."""
     model = processor(path)
     texts = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
     code = np.frombuffer("\0".join(texts).encode("utf-32-le"), dtype="<u4")
     chars = np.unique(code[code > 0])
-    at = np.searchsorted(chars, code)
-    meet = np.zeros((len(chars) + 1, len(chars) + 1), dtype=bool)
+    n = len(chars) + 1
+    number = np.full(0x110000, n - 1, dtype=np.uint16 if n < 1 << 16 else np.int32)
+    number[chars] = np.arange(n - 1)
+    number[ord(" ")] = number[ord(BOUNDARY)]
+    meet = np.zeros(n * n, dtype=bool)
     both = (code[1:] > 0) & (code[:-1] > 0)
-    meet[at[:-1][both], at[1:][both]] = True
-    return chars, meet
+    meet[number[code[:-1][both]].astype(np.int64) * n + number[code[1:][both]]] = True
+    return number, np.packbits(meet, bitorder="little"), n
 
 
 def pieces_of(texts: pa.Array, path: str) -> Words:
     """Units of texts that begin with a space (empty ones apart): cut where two characters stand together in no piece."""
-    chars, meet = neighbours(path)
+    number, meet, n = neighbours(path)
     raw, ends = text_bytes(texts)
-    code = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), dtype="<u4").copy()
-    place = np.concatenate([[0], np.cumsum(1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))])  # of each character in raw
-    code[code == 0x20] = ord(BOUNDARY)
-    at = np.minimum(np.searchsorted(chars, code), len(chars) - 1)
-    at[chars[at] != code] = len(chars)
-    begins = np.ones(len(code), dtype=bool)
-    begins[1:] = ~meet[at[:-1], at[1:]]
+    at = number[np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), dtype="<u4")]
+    place = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))  # of each character in raw
+    begins, pair = np.ones(len(at), dtype=bool), at[:-1].astype(np.int32 if n * n < 1 << 31 else np.int64) * n + at[1:]
+    begins[1:] = meet[pair >> 3] >> (pair & 7).astype(np.uint8) & 1 == 0
     begins[np.searchsorted(place, ends[:-1][np.diff(ends) > 0])] = True
     start = place[np.flatnonzero(begins)]
     end = np.append(start[1:], len(raw)) if len(start) else start
@@ -253,7 +279,7 @@ def distinct_words(docs: DataFrame, path: str, most: int = 200_000) -> DataFrame
             return pa.RecordBatch.from_arrays([pa.array([words[h] for h in met], pa.string()), pa.array(met.values(), pa.int64())], ["word", "n"])
 
         for whole in batches:
-            for batch in sliced(whole, "body", 4 << 20):
+            for batch in sliced(whole, "body", 1 << 20):
                 w = pieces_of(batch.column("body"), path)
                 unique, place, n = np.unique(w.hashes(key=key), return_index=True, return_counts=True)
                 data = w.raw.tobytes()
@@ -281,8 +307,9 @@ class Hot:
         order = np.argsort(key)
         ids = rows["ids"].combine_chunks()
         n = np.diff(np.asarray(ids.offsets)).astype(np.int64)
-        self.key, self.n = key[order], n[order]
-        self.at, self.pool = (np.cumsum(n) - n)[order], np.asarray(ids.flatten()).astype(np.int32)
+        pool = np.asarray(ids.flatten())[spread((np.cumsum(n) - n)[order], n[order])]
+        self.key, self.first = key[order], np.concatenate([[0], np.cumsum(n[order])]).astype(np.int32)
+        self.pool = pool.astype(np.uint16 if len(pool) and pool.max() < 1 << 16 else np.int32)
 
     def find(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
         """Place of each word, and whether it is there."""
@@ -312,89 +339,147 @@ def decoded(ids: np.ndarray, path: str) -> np.ndarray:
 def laid(top: Hot, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids of all hot words in order, how many each word has, and which words are hot."""
     pos, known = top.find(w)
-    n = np.where(known, top.n[pos] if len(top.key) else 0, 0)
-    return top.pool[spread(top.at[pos[known]], n[known])] if known.any() else np.zeros(0, np.int32), n, known
+    pos = pos[known]
+    n = np.zeros(len(known), dtype=np.int64)
+    n[known] = top.first[pos + 1] - top.first[pos]
+    return top.pool[spread(top.first[pos], n[known])], n, known
 
 
 ENCODED = "doc_id long, n_bytes long, ids binary, decodes boolean"
-HOLED = "row long, doc_id long, n_bytes long, digest binary, ids binary, places array<int>, words array<string>"
+LATTICE = "array<struct<end:int,own:array<struct<start:int,id:int,score:float>>>>"
+LATTICE_TYPE = pa.list_(pa.struct([("end", pa.int32()), ("own", pa.list_(pa.struct([("start", pa.int32()), ("id", pa.int32()), ("score", pa.float32())])))]))
+
+
+def in_turn(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.RecordBatch], pa.Array]]:
+    """The rows of units since the last texts (k is theirs), and the texts that follow them."""
+    units: list[pa.RecordBatch] = []
+    for batch in batches:
+        of_text = np.asarray(batch.column("k").is_null())
+        bounds = [0, *(np.flatnonzero(of_text[1:] != of_text[:-1]) + 1).tolist(), batch.num_rows]
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            if b > a and of_text[a]:
+                yield units, batch.column("text").slice(a, b - a)
+                units = []
+            elif b > a:
+                units.append(batch.slice(a, b - a))
+    if units:
+        raise RuntimeError("units without texts after them")
+
+
+def most_frequent(words: DataFrame, most: int) -> DataFrame:
+    """The words of the highest counts, `most` at most: those above a count that a histogram tells (64 classes a power of two)."""
+    level = F.floor(F.log2("n") * 64)
+    held, low = 0, None
+    for r in words.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # 64 rows a power of two
+        if (held := held + r["count"]) > most:
+            break
+        low = r["level"]
+    return words.filter(level >= low) if low is not None else words.limit(0)
+
 
+def digest_of(data: bytes) -> bytes:
+    return blake2b(data, digest_size=16).digest()
 
-def encode(docs: DataFrame, path: str, kind: str = "bpe", hot: int = 1 << 18) -> DataFrame:
+
+def encode(docs: DataFrame, path: str, kind: str = "bpe", hot: int = 1 << 19) -> DataFrame:
     """doc_id, n_bytes, ids, and decodes (whether the ids give the text back) of every document."""
     spark = docs.sparkSession
     small_batches(spark)
     model = processor(path)
     pieces = piece_table(spark, path)
-    longest = max(len(model.id_to_piece(i)) for i in range(model.get_piece_size()))
-    words = distinct_words(docs, path)
-    byte_id = {int(model.id_to_piece(i)[3:5], 16): i for i in range(model.get_piece_size()) if model.is_byte(i)}
-    if kind == "bpe":
-        table = bpe_ids(words, pieces, longest, byte_id, [-model.get_score(i) for i in range(model.get_piece_size())])
-    else:
-        low = min(model.get_score(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i)))
-        table = unigram_ids(words, pieces, longest, low - 10.0, byte_id.get(0))
-    table = stored(table, "word-ids", compression="zstd")
-    top = Hot(table.orderBy(F.desc("n"), "word").limit(hot).select("word", "ids").toArrow())  # `hot` rows at most
-    body = spaced(docs)
-
-    def whole_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Texts of hot words alone."""
-        for whole in batches:
-            for batch in sliced(whole, "body", 2 << 20):
-                w = pieces_of(batch.column("body"), path)
-                ids, n, known = laid(top, w)
-                ends = np.concatenate([[0], np.cumsum(n)])[w.first]
-                unknown = np.concatenate([[0], np.cumsum(~known)])[w.first]
-                k = np.flatnonzero(unknown[1:] == unknown[:-1])
-                flat, docs_ = ids.astype("<u4"), batch.column("doc_id").take(pa.array(k))
-                own = [flat[ends[j] : ends[j + 1]] for j in k.tolist()]
-                back = [np.array_equal(decoded(x, path), w.raw[w.ends_of[j] : w.ends_of[j + 1]]) for j, x in zip(k.tolist(), own, strict=True)]
-                yield pa.RecordBatch.from_arrays([docs_, pa.array(np.maximum(np.diff(w.ends_of)[k] - 1, 0), pa.int64()), pa.array([x.tobytes() for x in own], pa.binary()), pa.array(back, pa.bool_())], ["doc_id", "n_bytes", "ids", "decodes"])
-
-    def with_holes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The other texts: ids of their hot words, where words are missing among these, and the words."""
-        row = TaskContext.get().partitionId() << 40
+    size = model.get_piece_size()
+    longest = max(len(model.id_to_piece(i)) for i in range(size))
+    if longest >= 256:
+        raise ValueError("pieces of 256 characters or more don't fit a packed edge")
+    byte_id = {int(model.id_to_piece(i)[3:5], 16): i for i in range(size) if model.is_byte(i)}
+    score = np.array([model.get_score(i) for i in range(size)])
+    rank, low = (-score).tolist(), float(min(score[i] for i in range(size) if not (model.is_control(i) or model.is_unknown(i))))
+    words = most_frequent(stored(distinct_words(docs, path), "word-counts", compression="zstd"), hot)
+    table = bpe_ids(words, pieces, longest, byte_id, rank) if kind == "bpe" else unigram_ids(words, pieces, longest, low - 10.0, byte_id.get(0))
+    top = Hot(table.select("word", "ids").toArrow())  # `hot` rows at most
+    short = "<u2" if size < 1 << 16 else "<u4"
+
+    def with_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each slice of texts the distinct units that aren't hot, numbered through the task, then the texts.
+
+        A text is packed into one value, since rows of edges are many and each would carry its columns as nulls:
+        doc_id, n_bytes, digest, the ids of its hot units, before which of these others are missing, and their numbers.
+        """
+        given = 0
         for whole in batches:
-            for batch in sliced(whole, "body", 2 << 20):
+            for batch in sliced(whole, "body", 1 << 19):
                 w = pieces_of(batch.column("body"), path)
                 ids, n, known = laid(top, w)
                 ends = np.concatenate([[0], np.cumsum(n)])
-                unknown = np.concatenate([[0], np.cumsum(~known)])[w.first]
-                k = np.flatnonzero(unknown[1:] > unknown[:-1])
-                flat, data = ids.astype("<u2" if model.get_piece_size() < 1 << 16 else "<u4"), w.raw.tobytes()
+                gaps, data = np.flatnonzero(~known), w.raw.tobytes()
+                met: dict[bytes, int] = {}
+                unit = np.array([met.setdefault(data[a:b], len(met)) for a, b in zip(w.start[gaps].tolist(), w.end[gaps].tolist(), strict=True)], dtype=np.int64)
+                if met:
+                    yield pa.RecordBatch.from_arrays([pa.array(range(given, given + len(met)), pa.int64()), pa.array([x.decode().replace(" ", BOUNDARY) for x in met], pa.string()), pa.nulls(len(met), pa.binary())], ["k", "word", "text"])
+                of, flat = np.searchsorted(gaps, w.first), ids.astype(short)
                 rows = []
-                for j, doc in zip(k.tolist(), batch.column("doc_id").take(pa.array(k)).to_pylist(), strict=True):
-                    a, b = int(w.first[j]), int(w.first[j + 1])
-                    gaps = a + np.flatnonzero(~known[a:b])
+                for j, doc in enumerate(batch.column("doc_id").to_pylist()):
+                    a, own = w.first[j], slice(of[j], of[j + 1])
                     text = data[w.ends_of[j] : w.ends_of[j + 1]]
-                    own = [data[x:y].decode().replace(" ", BOUNDARY) for x, y in zip(w.start[gaps].tolist(), w.end[gaps].tolist(), strict=True)]
-                    rows.append((row, doc, len(text) - 1, blake2b(text, digest_size=16).digest(), flat[ends[a] : ends[b]].tobytes(), (ends[gaps] - ends[a]).tolist(), own))
-                    row += 1
+                    rows.append(pickle.dumps((doc, max(len(text) - 1, 0), digest_of(text), flat[ends[a] : ends[w.first[j + 1]]], ends[gaps[own]] - ends[a], unit[own] + given), 5))
+                given += len(met)
                 if rows:
-                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.string()))
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split(" ")[0] for x in HOLED.split(", ")])
-
-    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.string()), pa.array(rows, pa.binary())], ["k", "word", "text"])
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """Units (numbers, words, edges end to end, where each unit's begin; or None) and texts of a slice."""
+        for units, texts in in_turn(batches):
+            got = None
+            if units:
+                k, edge = (np.concatenate([np.asarray(x.column(c)) for x in units]) for c in ("k", "edge"))
+                own = [v for x in units for v in x.column("word").drop_null().to_pylist()]
+                first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+                if len(first) != len(own) or not (np.diff(k[first]) > 0).all():
+                    raise RuntimeError("the edges of a unit don't stand together")
+                got = k[first], own, edge, np.append(first, len(k))
+            yield got, texts
+
+    def filled(slices: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        """The ids of whole texts, from those of the units before them (numbers, and a list each)."""
+        number, n, at, pool = (np.zeros(0, dtype=np.int64) for _ in range(4))
+        for units, texts in slices:
+            if units:
+                number, lists = units
+                n = np.diff(np.asarray(lists.offsets)).astype(np.int64)
+                at, pool = np.cumsum(n) - n, np.asarray(lists.flatten())
             rows = []
-            for doc, n, digest, ids, places, late in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "digest", "ids", "places", "late")), strict=True):
-                own = np.frombuffer(ids, dtype="<u2" if model.get_piece_size() < 1 << 16 else "<u4").astype("<u4")
-                found = {r["k"]: r["ids"] for r in late}
-                parts, a = [], 0
-                for k, b in enumerate(places):
-                    parts += [own[a:b], np.array(found[k], dtype="<u4")]
-                    a = b
-                whole = np.concatenate([*parts, own[a:]])
-                rows.append((doc, n, whole.tobytes(), blake2b(decoded(whole, path).tobytes(), digest_size=16).digest() == digest))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.bool_()), strict=True)], ["doc_id", "n_bytes", "ids", "decodes"])
-
-    holed = stored(body.mapInArrow(with_holes, HOLED), "word-holes", compression="zstd")
-    holes = holed.select("row", F.posexplode("words").alias("k", "word")).join(table.select("word", "ids").hint("merge"), "word")
-    late = holes.groupBy("row").agg(F.collect_list(F.struct("k", "ids")).alias("late"))  # a text's own words
-    rest = holed.drop("words").join(late.hint("merge"), "row").select("doc_id", "n_bytes", "digest", "ids", "places", "late").mapInArrow(filled, ENCODED)
-    return body.mapInArrow(whole_texts, ENCODED).union(rest)
+            for x in texts.to_pylist():
+                doc, n_bytes, digest, whole, places, missing = pickle.loads(x)
+                whole = whole.astype("<u4")
+                if len(missing):
+                    k = np.minimum(np.searchsorted(number, missing), len(number) - 1)
+                    if not len(number) or not np.array_equal(number[k], missing):
+                        raise RuntimeError("a text stands before its units")
+                    whole = np.insert(whole, np.repeat(places, n[k]), pool[spread(at[k], n[k])])
+                rows.append((doc, n_bytes, whole.tobytes(), digest_of(decoded(whole, path).tobytes()) == digest))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.bool_()), strict=True)], ["doc_id", "n_bytes", "ids", "decodes"])
+
+    def by_merges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from filled((u and (u[0], pa.array(folded(*u[1:], byte_id, rank), pa.list_(pa.int32()))), texts) for u, texts in gathered(batches))
+
+    def to_lattices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for u, texts in gathered(batches):
+            if u:
+                yield pa.RecordBatch.from_arrays([pa.array(u[0]), pa.array(u[1], pa.string()), lattices(*u[1:], score), pa.nulls(len(u[1]), pa.binary())], ["k", "word", "lattice", "text"])
+            none = (pa.nulls(len(texts), t) for t in (pa.int64(), pa.string(), LATTICE_TYPE))
+            yield pa.RecordBatch.from_arrays([*none, texts], ["k", "word", "lattice", "text"])
+
+    def by_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        joined = lambda units, c: pa.chunked_array([x.column(c) for x in units]).combine_chunks()
+        yield from filled(((np.asarray(joined(units, "k")), joined(units, "ids")) if units else None, texts) for units, texts in in_turn(batches))
+
+    mixed = spaced(docs).mapInArrow(with_units, "k long, word string, text binary")
+    edged = spans(mixed, pieces, longest).select("k", F.when((F.col("s") == 1) & (F.col("l") == 1), F.col("word")).alias("word"), packed().alias("edge"), "text")
+    if kind == "bpe":
+        return edged.mapInArrow(by_merges, ENCODED)
+    paths = edged.mapInArrow(to_lattices, f"k long, word string, lattice {LATTICE}, text binary")
+    ids = F.when(F.col("k").isNotNull(), viterbi(F.col("word"), F.col("lattice"), longest, low - 10.0, byte_id.get(0)))
+    return paths.select("k", ids.alias("ids"), "text").mapInArrow(by_paths, ENCODED)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

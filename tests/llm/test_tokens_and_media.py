@@ -215,6 +215,20 @@ def test_lattice_of_a_very_long_word(make):
         assert r["decodes"] and r["n_bytes"] == 20_000
 
 
+@pytest.mark.parametrize("hot", [0, 300])
+def test_rare_units_pass_the_lattice_where_their_texts_lie(odd, docs, hot):
+    """Neither texts nor ids with holes are shuffled or stored, at any share of rare units; the ids stay the library's."""
+    model = piece_lattice.processor(PIECES)
+    both = odd.union(docs.filter("doc_id < 30").withColumn("doc_id", docs["doc_id"] + 1000))
+    texts = {r["doc_id"]: r["text"] or "" for r in both.collect()}
+    encoded = piece_lattice.encode(both, PIECES, hot=hot)
+    plan = encoded._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == plan.count("BroadcastExchange") > 0 and "SortMergeJoin" not in plan and "word-" not in plan
+    got = encoded.collect()
+    assert sorted((str(r["doc_id"]), r["ids"]) for r in got) == sorted((str(r["doc_id"]), np.array(model.encode(r["text"] or ""), dtype="<u4").tobytes()) for r in both.collect())
+    assert all(r["decodes"] and r["n_bytes"] == len(texts[r["doc_id"]].encode()) for r in got)
+
+
 @pytest.mark.parametrize("n", [1, 2, 192, 5000, 70_000])
 def test_gif_code_streams(n):
     rnd = random.Random(n)
