@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import ratio_or_null
 from . import nearest
+from .means import exact_means
 from .ordered import exact_quantiles, prefix_sums
 
 
@@ -38,10 +39,14 @@ def calibrated_rates(df: DataFrame, score: str, positive: Column, cluster: str,
 
 
 def paired_wins(df: DataFrame, unit: str, side: str, a: str, b: str, value: str) -> DataFrame:
-    """One row: units in which a's mean exceeds b's, of those that have both, and the mean difference."""
-    means = df.groupBy(unit).agg(F.avg(F.when(F.col(side) == a, F.col(value))).alias("x"), F.avg(F.when(F.col(side) == b, F.col(value))).alias("y"))
-    both = means.filter(F.col("x").isNotNull() & F.col("y").isNotNull())
-    return both.agg(F.count_if(F.col("x") > F.col("y")).alias("wins"), F.count("*").alias("n"), F.avg(F.col("x") - F.col("y")).alias("delta"))
+    """One row: units in which a's mean exceeds b's, of those that have both, and the mean difference.
+
+    Means are exact, so that equal ones are no win in any order of rows.
+    """
+    sides = exact_means(df.filter((F.col(side) == a) | (F.col(side) == b)), [unit, side], value, "_m")
+    mean = lambda k: F.max(F.when(F.col(side) == k, F.col("_m")))  # noqa: E731  (one a side)
+    both = sides.groupBy(unit).agg(mean(a).alias("x"), mean(b).alias("y")).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+    return exact_means(both.withColumn("d", F.col("x") - F.col("y")), [], "d", "delta", wins=F.col("x") > F.col("y"), n=F.lit(True))
 
 
 def best_and_converged(df: DataFrame, by: Sequence[str], step: str, metric: str, share: float = 0.99) -> DataFrame:

@@ -1,6 +1,7 @@
 """Edge cases and operators that SQL doesn't check."""
 
 import json
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cindertally.functions import images, scalar, vectors
-from cindertally.operators import matching, probe, ranking, rates, sequence, splits
+from cindertally.operators import matching, means, probe, ranking, rates, sequence, splits
 from cindertally.sources import inventory, results
 from cindertally.streaming import stateful
 
@@ -108,6 +109,30 @@ def test_auroc(spark):
     assert np.isclose(ranking.auroc(big, "s", F.col("y")).first()["auroc"], want)
 
 
+def test_equal_means_are_no_win_in_any_order(spark):
+    a, b = [0.1, 0.2, 0.3], [0.3, 0.2, 0.1]  # as sums in order 0.6000000000000001 and 0.6
+    data = [("u", "a", v) for v in a] + [("u", "b", v) for v in b] + [("v", "a", v) for v in b] + [("v", "b", v) for v in a]
+    data += [("w", "a", 1.0 + 2.0**-52), ("w", "b", 1.0), ("x", "a", 1e16), ("x", "a", 1.0), ("x", "a", -1e16), ("x", "b", 0.5), ("y", "a", 5.0), ("y", "b", None), ("z", "c", 9.0)]
+    want = (1, 4, (2.0**-52 + (1 / 3 - 0.5)) / 4)
+    for rows_ in (data, data[::-1]):
+        df = spark.createDataFrame(rows_, "u string, s string, v double").coalesce(1)
+        for d in (df, df.repartition(5)):
+            assert tuple(ranking.paired_wins(d, "u", "s", "a", "b", "v").first()) == want
+    assert tuple(ranking.paired_wins(df.filter("false"), "u", "s", "a", "b", "v").first()) == (0, 0, None)
+
+
+def test_exact_means(spark):
+    rng, inf, nan = np.random.default_rng(8), float("inf"), float("nan")
+    groups = {g: (rng.normal(size=40) * 2.0 ** rng.integers(-1074, 1020, 40)).tolist() for g in range(20)}
+    groups |= {20: [5e-324, 5e-324], 21: [1.7e308] * 3, 22: [8.0, 2.0**-3, 2.0**52, 0.0], 23: [-0.0], 24: rng.exponential(50, 999).round(2).tolist(), 25: [2.0**k for k in range(-1074, 1024)]}
+    want = {g: (lambda q: q.numerator / q.denominator)(sum(map(Fraction, v)) / len(v)) for g, v in groups.items()}
+    odd = {26: ([1.0, nan], nan), 27: ([1.0, inf], inf), 28: ([inf, -inf], nan), 29: ([None, None], None), 30: ([None, 3.0], 3.0), None: ([1.0, 2.0], 1.5)}
+    data = [(g, x) for g, v in [*groups.items(), *((g, v) for g, (v, _) in odd.items())] for x in v]
+    got = {r["g"]: (r["big"], r["m"]) for r in means.exact_means(spark.createDataFrame(data, "g int, v double").repartition(7), ["g"], "v", "m", big=F.col("v") > 1).collect()}
+    assert repr({g: got[g][1] for g in (*want, *odd)}) == repr(want | {g: m for g, (_, m) in odd.items()})
+    assert len(got) == len(groups) + len(odd) and got[24][0] == sum(x > 1 for x in groups[24]) and got[29][0] == 0
+
+
 def test_last_kept_is_not_lag(spark):
     df = spark.createDataFrame([(1, 1, 0.0), (1, 2, 0.6), (1, 3, 1.2), (2, 1, 5.0)], "g long, k long, v double")
     assert rows(sequence.last_kept(df, "g", ["k"], "v", "k", 1.0)) == [(1, 1), (1, 3), (2, 1)]
